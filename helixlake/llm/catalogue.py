@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe_prefix_dp
 from .exact_dedup import OP10_SQL, op10_exact_dedup
-from .secrets import OP8_SQL, op8_secret_scan
+from .language_id import op1_language_id
+from .packing import op4_vector_packing
+from .quality import op3_quality_pu
+from .secrets import op8_secret_scan
 from .syncmers import op2_closed_syncmers
+from .toxicity import op6_toxicity_ftrl
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op2_closed_syncmers": op2_closed_syncmers,
+        "op3_quality_pu": op3_quality_pu,
+        "op4_vector_packing": op4_vector_packing,
+        "op6_toxicity_ftrl": op6_toxicity_ftrl,
         "op8_secret_scan": op8_secret_scan,
+        "op9_bpe_prefix_dp": op9_bpe_prefix_dp,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": OP10_SQL, **({"op8_secret_scan": OP8_SQL} if OP8_SQL else {})}
+    return {"op10_exact_dedup": OP10_SQL}

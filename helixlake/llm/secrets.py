@@ -250,4 +250,3 @@ def brute_force(text: str | None) -> list[tuple[int, str, int]]:
     return [(s, kind, e) for s, _, kind, e in sorted(out)]
 
 
-OP8_SQL = None

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textbatch import slices
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a folder of our own only where none is set."""
@@ -48,3 +52,24 @@ def body(text: str = "text") -> Column:
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def answers(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, str], make: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
+    """The id of each row and what make()(texts) returns for its text, a list or array for each column.
+
+    The ids pass through as Arrow arrays, whatever their type, nulls included.  Null
+    texts count as empty.  Texts are handed over in slices of bounded size.
+    """
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "binary": pa.binary()}
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answer = make()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in slices([len(t) for t in texts]):
+                got = [pa.array(x, kinds[k]) for x, k in zip(answer(texts[a:b]), columns.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *got], names=[id_col, *columns])
+
+    kind = dict(docs.dtypes)[id_col]
+    schema = ", ".join([f"`{id_col}` {kind}", *(f"{c} {k}" for c, k in columns.items())])
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(mapped, schema)
