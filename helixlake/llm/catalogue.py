@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op9_bpe_prefix_dp
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .language_id import op1_language_id
+from .near_dedup import op5_minhash_near_dedup
 from .packing import op4_vector_packing
 from .quality import op3_quality_pu
 from .secrets import op8_secret_scan
+from .suffix_dedup import op7_suffix_dedup
 from .syncmers import op2_closed_syncmers
 from .toxicity import op6_toxicity_ftrl
 
@@ -18,7 +20,9 @@ def queries() -> dict:
         "op2_closed_syncmers": op2_closed_syncmers,
         "op3_quality_pu": op3_quality_pu,
         "op4_vector_packing": op4_vector_packing,
+        "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_toxicity_ftrl": op6_toxicity_ftrl,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_secret_scan": op8_secret_scan,
         "op9_bpe_prefix_dp": op9_bpe_prefix_dp,
         "op10_exact_dedup": op10_exact_dedup,

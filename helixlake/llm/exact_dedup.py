@@ -72,11 +72,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, without the copies that exact_dedup() drops.
 
-    Only the ids that go are joined to the documents.  A row without an id stays
-    if it has no copy with an id.
+    Only the ids that go are joined to the documents.  Rows without an id stay.
     """
     gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 
 def op10_exact_dedup(spark, sf_dir):
