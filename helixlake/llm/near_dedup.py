@@ -82,10 +82,10 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
         if count[i] >= size:
             sets[i] = at[cuts[i] : cuts[i + 1]]
         elif count[i]:
-            total = np.uint64(count[i])
-            for x in h[first[i] : first[i + 1]]:
-                total = mix(np.array([total * np.uint64(7) + x]))[0]
-            sets[i] = np.array([total], np.uint64)
+            total = np.array([count[i]], np.uint64)
+            for k in range(first[i], first[i + 1]):
+                total = mix(total * np.uint64(7) + h[k : k + 1])
+            sets[i] = total
     return sets
 
 
