@@ -1,11 +1,585 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import parsing as X
+from ..functions.dna import kmers, reverse_complement
+from ..operators import assign as A
+from ..operators import graph as G
+from ..operators import mapping as R
+from ..operators import mixture as M
+from ..operators import search as S
+from ..operators import sketch as K
+from . import profile as P
+from . import testmap as T
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+r6 = lambda c: F.round(c, 6)
+
+# --- sketches and banks
+
+
+@query("sketch_genome", f"WITH {T.INDEX} SELECT name, h FROM idx")
+def _(spark, d):
+    return T.genome_index(spark, d).select("name", "h")
+
+
+@query("sketch_bottom_n", f"WITH {T.GENOME_KMERS}, u AS (SELECT DISTINCT name, substr(md5(kmer), 1, 15) AS h FROM gk), n AS (SELECT name, h, row_number() OVER (PARTITION BY name ORDER BY h) AS i FROM u) SELECT name, h FROM n WHERE i <= 50")
+def _(spark, d):
+    return T.genome_index(spark, d, n=50).select("name", "h")
+
+
+@query("sketch_union_species", f"WITH {T.INDEX} SELECT DISTINCT species, h FROM idx")
+def _(spark, d):
+    return K.merged(T.genome_index(spark, d), ["species"])
+
+
+@query("sketch_sizes", f"WITH {T.INDEX} SELECT name, count(*) AS n_hashes FROM idx GROUP BY name")
+def _(spark, d):
+    return K.sizes(T.genome_index(spark, d), ["name"])
+
+
+@query("sketch_min_count", f"WITH {T.GENOME_KMERS}, c AS (SELECT species, substr(md5(kmer), 1, 15) AS h FROM gk) SELECT species, h FROM c WHERE h < '{T.LIMIT}' GROUP BY species, h HAVING count(*) >= 3")
+def _(spark, d):
+    return K.sketch(T.genomes(spark, d), "seq", ["species"], T.K, T.SCALED, min_count=3)
+
+
+# --- search
+
+_PAIRS = f"""WITH {T.INDEX}, {T.QUERY},
+nq AS (SELECT query, count(*) AS nq FROM q GROUP BY query), nm AS (SELECT name, count(*) AS nm FROM idx GROUP BY name),
+o AS (SELECT query, name, count(*) AS s FROM q JOIN idx USING (h) GROUP BY query, name),
+p AS (SELECT query, name, s, nq, nm, s / CAST(nq + nm - s AS DOUBLE) AS jac, s / CAST(nq AS DOUBLE) AS con, s / CAST(least(nq, nm) AS DOUBLE) AS mx, s / CAST(nm AS DOUBLE) AS mc FROM o JOIN nq USING (query) JOIN nm USING (name))
+"""
+_SCORED = "SELECT query, name, round({0}, 4) AS score, round(jac, 4) AS coverage, round(mc, 4) AS match_containment FROM p WHERE {0} >= {1}"
+
+
+def _search(mode, threshold):
+    return lambda spark, d: S.search(T.read_sketches(spark, d), T.genome_index(spark, d), mode, threshold)
+
+
+for _mode, _col in (("jaccard", "jac"), ("containment", "con"), ("max_containment", "mx")):
+    query(f"search_{_mode}", _PAIRS + _SCORED.format(_col, 0.01))(_search(_mode, 0.01))
+query("search_threshold", _PAIRS + _SCORED.format("con", 0.5))(_search("containment", 0.5))
+
+
+@query("search_species", f"""WITH {T.INDEX}, {T.QUERY}, sp AS (SELECT DISTINCT species AS name, h FROM idx),
+nq AS (SELECT query, count(*) AS nq FROM q GROUP BY query), o AS (SELECT query, name, count(*) AS s FROM q JOIN sp USING (h) GROUP BY query, name)
+SELECT query, name, round(s / CAST(nq AS DOUBLE), 4) AS score FROM o JOIN nq USING (query) WHERE s / CAST(nq AS DOUBLE) >= 0.05""")
+def _(spark, d):
+    index = K.merged(T.genome_index(spark, d), ["species"]).withColumnRenamed("species", "name")
+    return S.search(T.read_sketches(spark, d), index, "containment", 0.05).select("query", "name", "score")
+
+
+@query("species_hits", _PAIRS + "SELECT split_part(name, '@', 1) AS species, count(*) AS hits, count(DISTINCT query) AS queries, round(max(con), 4) AS best FROM p GROUP BY 1")
+def _(spark, d):
+    both = S.overlaps(T.read_sketches(spark, d), T.genome_index(spark, d))
+    return both.groupBy(X.species_of(F.col("name")).alias("species")).agg(F.count("*").alias("hits"), F.countDistinct("query").alias("queries"), F.round(F.max(F.col("shared") / F.col("n_query")), 4).alias("best"))
+
+
+@query("search_top_labels", _PAIRS + ", k AS (SELECT query, name, s, row_number() OVER (PARTITION BY query ORDER BY s DESC, name) AS place FROM p) SELECT query, name, s AS shared, place FROM k WHERE place <= 3")
+def _(spark, d):
+    both = S.overlaps(T.read_sketches(spark, d), T.genome_index(spark, d))
+    return both.select("query", "name", "shared", F.row_number().over(W.partitionBy("query").orderBy(F.desc("shared"), "name")).alias("place")).where("place <= 3")
+
+
+_ROUNDS = f"""WITH {T.INDEX}, {T.SAMPLE},
+nm AS (SELECT name, count(*) AS nm FROM idx GROUP BY name), w AS (SELECT count(*) AS nq FROM smp),
+o1 AS (SELECT name, count(*) AS s FROM smp JOIN idx USING (h) GROUP BY name), b1 AS (SELECT * FROM o1 ORDER BY s DESC, name LIMIT 1),
+l1 AS (SELECT h FROM smp WHERE h NOT IN (SELECT h FROM idx JOIN b1 USING (name))),
+o2 AS (SELECT name, count(*) AS s FROM l1 JOIN idx USING (h) GROUP BY name), b2 AS (SELECT * FROM o2 ORDER BY s DESC, name LIMIT 1),
+l2 AS (SELECT h FROM l1 WHERE h NOT IN (SELECT h FROM idx JOIN b2 USING (name))),
+o3 AS (SELECT name, count(*) AS s FROM l2 JOIN idx USING (h) GROUP BY name), b3 AS (SELECT * FROM o3 ORDER BY s DESC, name LIMIT 1),
+b AS (SELECT 1 AS round, * FROM b1 UNION ALL SELECT 2, * FROM b2 UNION ALL SELECT 3, * FROM b3),
+f AS (SELECT round, name, round(s / CAST(nq AS DOUBLE), 4) AS f_query, round(s / CAST(nm AS DOUBLE), 4) AS f_match FROM b JOIN nm USING (name), w)
+"""
+
+
+@query("gather_rounds3", _ROUNDS + "SELECT round, name, f_query, f_match FROM f")
+def _(spark, d):
+    return S.gather_rounds(T.sample(spark, d), T.genome_index(spark, d), 3)
+
+
+@query("gather_full")
+def _gather(spark, d):
+    return S.gather(T.sample(spark, d), T.genome_index(spark, d), 0.0)
+
+
+@query("gather_per_read")
+def _(spark, d):
+    return S.gather(T.read_sketches(spark, d).withColumn("query", F.col("query").cast("string")), T.genome_index(spark, d), 0.05)
+
+
+@query("gather_excluding", _ROUNDS.split("\no1 AS")[0] + "\nnx AS (SELECT * FROM idx WHERE species <> 'src0'), o AS (SELECT name, count(*) AS s FROM smp JOIN nx USING (h) GROUP BY name), b AS (SELECT * FROM o ORDER BY s DESC, name LIMIT 1) SELECT name, round(s / CAST(nq AS DOUBLE), 4) AS f_query, round(s / CAST(nm AS DOUBLE), 4) AS f_match FROM b JOIN nm USING (name), w")
+def _(spark, d):
+    index = T.genome_index(spark, d)
+    out = index.where("species = 'src0'").select("name")
+    return S.gather(T.sample(spark, d), index, 0.0, out).where("round = 1").select("name", "f_query", "f_match")
+
+
+@query("detection_cumsum", _ROUNDS + "SELECT round, name AS genome, split_part(name, '@', 1) AS species, printf('%.6f', f_query) AS f_query, printf('%.6f', f_match) AS f_match, printf('%.6f', sum(f_query) OVER (ORDER BY round)) AS cum_f_query FROM f")
+def _(spark, d):
+    found = S.gather_rounds(T.sample(spark, d), T.genome_index(spark, d), 3)
+    return P.detection(found.withColumn("query", F.lit("sample"))).drop("query")
+
+
+@query("candidates_first_seen", _ROUNDS + "SELECT split_part(name, '@', 1) AS species, min(round) AS first_round FROM f GROUP BY 1")
+def _(spark, d):
+    found = S.gather_rounds(T.sample(spark, d), T.genome_index(spark, d), 3)
+    return P.candidates(found.withColumn("query", F.lit("sample"))).drop("query")
+
+
+# --- k-mer index and mapping
+
+_LABELS = f"{T.GENOME_KMERS}, lab AS (SELECT DISTINCT substr(md5(kmer), 1, 15) AS h, species AS label FROM gk)"
+_HITS = f"""WITH {_LABELS}, {T.READ_KMERS}, rh AS (SELECT read, substr(md5(kmer), 1, 15) AS h FROM rk),
+n AS (SELECT read, count(*) AS n_kmers FROM rh GROUP BY read), hit AS (SELECT read, label, count(*) AS hits FROM rh JOIN lab USING (h) GROUP BY read, label),
+hits AS (SELECT read, label, hits, n_kmers FROM hit JOIN n USING (read)),
+good AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY hits DESC, label) AS rank FROM hits WHERE hits >= ceil(CAST(0.15 AS DOUBLE) * n_kmers))
+"""
+
+
+def _labels(spark, d):
+    return R.kmer_labels(T.genomes(spark, d), "seq", "species", T.K)
+
+
+def _hits(spark, d):
+    return R.label_hits_of_reads(T.reads(spark, d), "seq", "read", _labels(spark, d), T.K)
+
+
+@query("kmer_label_index", f"WITH {_LABELS} SELECT label, count(*) AS n_kmers, min(h) AS least, max(h) AS greatest FROM lab GROUP BY label")
+def _(spark, d):
+    return _labels(spark, d).groupBy("label").agg(F.count("*").alias("n_kmers"), F.min("h").alias("least"), F.max("h").alias("greatest"))
+
+
+@query("kmer_label_within", f"WITH {_LABELS}, {T.READ_KMERS} SELECT label, count(*) AS n_kmers FROM lab WHERE h IN (SELECT substr(md5(kmer), 1, 15) FROM rk) GROUP BY label")
+def _(spark, d):
+    known = R.kmer_labels(T.reads(spark, d), "seq", "read", T.K)
+    return R.kmer_labels(T.genomes(spark, d), "seq", "species", T.K, within=known).groupBy("label").agg(F.count("*").alias("n_kmers"))
+
+
+@query("read_kmer_hits", _HITS + "SELECT read, label, hits, n_kmers FROM hits")
+def _(spark, d):
+    return _hits(spark, d).select("read", "label", "hits", "n_kmers")
+
+
+@query("read_min_fraction", _HITS + "SELECT read, label, hits, rank FROM good")
+def _(spark, d):
+    return R.mapped(_hits(spark, d)).select("read", "label", "hits", "rank")
+
+
+@query("read_top_label", _HITS + "SELECT read, label, hits FROM good WHERE rank = 1")
+def _(spark, d):
+    return R.mapped(_hits(spark, d), most=1).select("read", "label", "hits")
+
+
+@query("mapping_tsv", """SELECT l_orderkey, l_linenumber <> 3 AS mapped, CASE WHEN l_linenumber <> 3 THEN 'fam' || l_partkey END AS family, CASE WHEN l_linenumber <> 3 THEN CAST(l_quantity AS BIGINT) END AS hits FROM lineitem""")
+def _(spark, d):
+    items = T.table(spark, d, "lineitem")
+    label = F.concat(F.lit("<fam"), F.col("l_partkey").cast("string"), F.lit(">:"), F.col("l_quantity").cast("bigint").cast("string"))
+    line = F.when(F.col("l_linenumber") != 3, F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.lit("read"), label)).otherwise(F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.lit("read")))
+    lines = items.select("l_orderkey", line.alias("line"))
+    parts = F.split(F.trim("line"), "\t")
+    given = F.when(F.size(parts) >= 3, F.get(parts, F.lit(2)))
+    return lines.select("l_orderkey", (F.size(parts) >= 3).alias("mapped"), X.label_family(given).alias("family"), X.label_hits(given).alias("hits"))
+
+
+@query("annotate_counts", f"WITH {T.NODES} SELECT nid, read_count, kmer_count, round(weight, 6) AS weight FROM nodes")
+def _(spark, d):
+    return T.nodes(spark, d).select("nid", "read_count", "kmer_count", r6(F.col("weight")).alias("weight"))
+
+
+@query("annotate_report", f"WITH {T.NODES} SELECT count(*) AS total_seq, count(nid) AS total_seq_mapped FROM mapping LEFT JOIN bare ON nid = family")
+def _(spark, d):
+    return R.annotation_report(T.mapping(spark, d), T.bare_nodes(spark, d))
+
+
+# --- graph
+
+
+@query("nodes", f"WITH {T.NODES} SELECT nid, n_strains, partition, CAST(length AS BIGINT) AS length FROM bare")
+def _(spark, d):
+    return T.bare_nodes(spark, d).withColumn("length", F.col("length").cast("bigint"))
+
+
+@query("presence", f"WITH {T.PRESENCE} SELECT nid, strain FROM presence")
+def _(spark, d):
+    return T.presence(spark, d)
+
+
+@query("edges_adjacency", f"WITH {T.EDGES} SELECT src, dst FROM edges")
+def _(spark, d):
+    return T.edges(spark, d)
+
+
+@query("subgraph_filter", f"WITH {T.NODES}, {T.EDGES}, k AS (SELECT nid FROM nodes WHERE partition = 'P' AND weight > 0) SELECT src, dst FROM edges WHERE src IN (SELECT nid FROM k) AND dst IN (SELECT nid FROM k)")
+def _(spark, d):
+    return G.subgraph(T.nodes(spark, d), T.edges(spark, d), F.expr("partition = 'P' and weight > 0"))[1]
+
+
+@query("view_no_persistent", f"WITH {T.NODES} SELECT nid, partition FROM nodes WHERE partition <> 'P'")
+def _(spark, d):
+    return T.nodes(spark, d).where("partition <> 'P'").select("nid", "partition")
+
+
+@query("node_update", f"WITH {T.NODES}, up AS (SELECT l_partkey AS nid, CAST(count(*) AS BIGINT) AS v FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) SELECT nid, read_count + coalesce(v, 0) AS read_count FROM nodes LEFT JOIN up USING (nid)")
+def _(spark, d):
+    up = T.table(spark, d, "lineitem").where("l_returnflag = 'N'").groupBy(F.col("l_partkey").alias("nid")).agg(F.count("*").alias("value"))
+    return G.set_values(T.nodes(spark, d), "read_count", up, add=True).select("nid", "read_count")
+
+
+@query("coverage_partition", f"WITH {T.NODES} SELECT " + ", ".join(f"round(count(*) FILTER (partition = '{p}' AND weight > 0) / CAST(count(*) AS DOUBLE), 6) AS {p}_coverage, round(count(*) FILTER (partition = '{p}' AND weight > 0) / CAST(nullif(count(*) FILTER (partition = '{p}'), 0) AS DOUBLE), 6) AS {p}_fraction" for p in "PSC") + " FROM nodes")
+def _(spark, d):
+    out = G.partition_coverage(T.nodes(spark, d))
+    return out.select(*[r6(F.col(c)).alias(c) for c in out.columns])
+
+
+_CLASSES = f"WITH {T.NODES}, x AS (SELECT strain, partition, weight, read_count FROM presence JOIN nodes USING (nid)), c AS (SELECT strain, 'all' AS class, weight, read_count FROM x UNION ALL SELECT strain, partition, weight, read_count FROM x UNION ALL SELECT strain, 'SC', weight, read_count FROM x WHERE partition <> 'P') "
+
+
+@query("coverage_per_strain", _CLASSES + "SELECT strain, class, round(avg(CASE WHEN weight > 0 THEN 1.0 ELSE 0.0 END), 4) AS coverage FROM c GROUP BY 1, 2")
+def _(spark, d):
+    return G.coverage_per_strain(T.nodes(spark, d), T.presence(spark, d))
+
+
+@query("mean_per_strain", _CLASSES + "SELECT strain, class, round(avg(CAST(read_count AS DOUBLE)), 4) AS mean FROM c GROUP BY 1, 2")
+def _(spark, d):
+    return G.per_strain(T.nodes(spark, d), T.presence(spark, d), F.col("read_count"), "mean")
+
+
+_GC = ", ".join(f"count(*) FILTER (partition = '{p}') AS nb_{p}, count(*) FILTER (partition = '{p}' AND weight > 0) AS cov_{p}" for p in "PSC")
+
+
+@query("genome_coverage", f"WITH {T.NODES}, g AS (SELECT strain, {_GC} FROM presence JOIN nodes USING (nid) GROUP BY strain) SELECT *, " + ", ".join(f"round(cov_{p} / CAST(nullif(nb_{p}, 0) AS DOUBLE), 6) AS r_{p}" for p in "PSC") + ", round((cov_P + cov_S + cov_C) / CAST(nullif(nb_P + nb_S + nb_C, 0) AS DOUBLE), 6) AS r FROM g")
+def _(spark, d):
+    return G.genome_coverage(T.nodes(spark, d), T.presence(spark, d))
+
+
+@query("nodes_per_strain", f"WITH {T.NODES} SELECT strain, " + ", ".join(f"count(*) FILTER (partition = '{p}') AS {p}" for p in "PSC") + ", count(*) AS sum FROM presence JOIN nodes USING (nid) GROUP BY strain")
+def _(spark, d):
+    return G.nodes_per_strain(T.bare_nodes(spark, d), T.presence(spark, d))
+
+
+@query("persistent_mean", f"WITH {T.NODES} SELECT round(coalesce(avg(weight), 0.0), 6) AS mean_weight FROM nodes WHERE partition = 'P'")
+def _(spark, d):
+    return G.persistent_mean(T.nodes(spark, d)).select(r6(F.col("mean_weight")).alias("mean_weight"))
+
+
+@query("specific_nodes_mean", f"WITH {T.NODES} SELECT count(*) AS n, round(coalesce(avg(weight), 0.0), 6) AS mean_weight FROM nodes WHERE nid IN (SELECT nid FROM presence WHERE strain = 1) AND nid NOT IN (SELECT nid FROM presence WHERE strain IN (2, 3))")
+def _(spark, d):
+    own = G.specific_nodes(T.nodes(spark, d), T.presence(spark, d), 1, [2, 3])
+    return own.agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg("weight"), F.lit(0.0)), 6).alias("mean_weight"))
+
+
+# --- mixtures
+
+
+def _fam(spark, d):
+    return T.presence(spark, d).withColumnRenamed("nid", "fam")
+
+
+_GRAM = "gram AS (SELECT a.strain AS s, b.strain AS t, count(*) AS g FROM presence a JOIN presence b USING (nid) WHERE a.strain <= b.strain GROUP BY 1, 2)"
+
+
+@query("gram", f"WITH {T.PRESENCE}, {_GRAM} SELECT s, t, g FROM gram")
+def _(spark, d):
+    return M.gram(_fam(spark, d))
+
+
+@query("gram_rhs", f"WITH {T.NODES} SELECT strain, round(sum(weight), 6) AS b FROM presence JOIN nodes USING (nid) GROUP BY strain")
+def _(spark, d):
+    return M.rhs(_fam(spark, d), M.families(T.nodes(spark, d))).select("strain", r6(F.col("b")).alias("b"))
+
+
+_FOLDS = f"{T.NODES}, o AS (SELECT nid, weight AS y, row_number() OVER (ORDER BY nid) - 1 AS fam_ord FROM nodes), folds AS (SELECT nid, y, fam_ord % 5 AS fold FROM o)"
+
+
+def _folds(spark, d):
+    return M.ordered(M.families(T.nodes(spark, d))).withColumn("fold", F.col("fam_ord") % 5)
+
+
+@query("gram_fold", f"WITH {_FOLDS} SELECT f.fold, a.strain AS s, b.strain AS t, count(*) AS g, round(sum(CASE WHEN a.strain = b.strain THEN y END), 6) AS b FROM presence a JOIN presence b USING (nid) JOIN folds f USING (nid) WHERE a.strain <= b.strain GROUP BY 1, 2, 3")
+def _(spark, d):
+    return M.fold_moments(_fam(spark, d), _folds(spark, d)).select("fold", "s", "t", "g", r6(F.col("b")).alias("b"))
+
+
+@query("family_order", f"WITH {_FOLDS} SELECT nid AS fam, fold FROM folds")
+def _(spark, d):
+    return _folds(spark, d).select("fam", "fold")
+
+
+@query("fence", f"WITH {T.NODES}, q AS (SELECT quantile_cont(weight, 0.25) AS q1, quantile_cont(weight, 0.5) AS q2, quantile_cont(weight, 0.75) AS q3 FROM nodes WHERE weight > 0) SELECT nid AS fam, round(weight, 6) AS y FROM nodes, q WHERE weight = 0 OR weight <= CASE WHEN q3 - q1 > 0 THEN q3 + 3 * (q3 - q1) ELSE 20 * q2 END")
+def _(spark, d):
+    return M.fence(M.families(T.nodes(spark, d))).select("fam", r6(F.col("y")).alias("y"))
+
+
+_JACCARD = f"WITH RECURSIVE {T.PRESENCE}, {_GRAM}, n AS (SELECT s, g AS n FROM gram WHERE s = t), sim AS (SELECT gram.s, gram.t, g / CAST(a.n + b.n - g AS DOUBLE) AS jaccard FROM gram JOIN n a ON a.s = gram.s JOIN n b ON b.s = gram.t WHERE gram.s < gram.t)"
+
+
+@query("strain_jaccard_pairs", f"{_JACCARD} SELECT s, t, round(jaccard, 6) AS jaccard FROM sim WHERE jaccard >= 0.08")
+def _(spark, d):
+    return M.similar_strains(_fam(spark, d), 0.08).select("s", "t", r6(F.col("jaccard")).alias("jaccard"))
+
+
+@query("collapse_components", f"""{_JACCARD}, e AS (SELECT s AS a, t AS b FROM sim WHERE jaccard >= 0.085 UNION SELECT t, s FROM sim WHERE jaccard >= 0.085),
+reach(node, other) AS (SELECT DISTINCT strain, strain FROM presence UNION SELECT node, b FROM reach JOIN e ON other = a) SELECT node AS strain, min(other) AS component FROM reach GROUP BY node""")
+def _(spark, d):
+    return M.collapse(_fam(spark, d), 0.085)[1]
+
+
+@query("collapsed_presence", f"""{_JACCARD}, e AS (SELECT s AS a, t AS b FROM sim WHERE jaccard >= 0.085 UNION SELECT t, s FROM sim WHERE jaccard >= 0.085),
+reach(node, other) AS (SELECT DISTINCT strain, strain FROM presence UNION SELECT node, b FROM reach JOIN e ON other = a), c AS (SELECT node, min(other) AS component FROM reach GROUP BY node) SELECT component, count(DISTINCT nid) AS families FROM presence JOIN c ON node = strain GROUP BY component""")
+def _(spark, d):
+    return M.collapse(_fam(spark, d), 0.085)[0].groupBy(F.col("strain").alias("component")).agg(F.count("*").alias("families"))
+
+
+@query("shell_priority", f"WITH {T.NODES} SELECT strain, count(*) FILTER (partition = 'S' AND weight > 0) AS priority FROM presence JOIN nodes USING (nid) GROUP BY strain")
+def _(spark, d):
+    return M.shell_priority(T.nodes(spark, d), _fam(spark, d))
+
+
+_DEV = f"""WITH {_FOLDS}, ks AS (SELECT unnest(generate_series(0, 4)) AS k), m AS (SELECT nid, k, sum(CASE WHEN strain <= k THEN 0.5 ELSE 0.0 END) + 0.05 AS mu FROM presence, ks GROUP BY 1, 2),
+err AS (SELECT fold, CAST(k AS INT) AS k, sum(2 * (CASE WHEN y > 0 THEN y * ln(y / mu) ELSE 0 END - (y - mu))) / count(*) AS error FROM folds JOIN m USING (nid) GROUP BY 1, 2)
+"""
+
+
+def _deviance(spark, d):
+    """Errors of models that give each of the first k strains an abundance of one half."""
+    steps = spark.range(5).select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), F.col("id").alias("fold"))
+    models = steps.withColumn("strain", F.explode_outer(F.when(F.col("k") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("k").cast("bigint"))))).withColumn("x", F.lit(0.5))
+    return M.deviance(_fam(spark, d), _folds(spark, d), models, 0.05)
+
+
+@query("poisson_deviance", _DEV + "SELECT fold, k, round(error, 6) AS error FROM err")
+def _(spark, d):
+    return _deviance(spark, d).select("fold", "k", r6(F.col("error")).alias("error"))
+
+
+@query("kstar_paired_table", _DEV + ", g AS (SELECT fold, k, error, lead(error) OVER (PARTITION BY fold ORDER BY k) AS nxt FROM err), s AS (SELECT k, avg(error - nxt) AS gain, stddev_pop(error - nxt) / sqrt(count(*)) AS se, avg(error - nxt) / avg(error) AS rel FROM g WHERE nxt IS NOT NULL GROUP BY k) SELECT k, round(gain, 6) AS gain, round(se, 6) AS se, gain > se AND rel >= 0.02 AS ok, bool_and(gain > se AND rel >= 0.02) OVER (ORDER BY k) AS accepted FROM s")
+def _(spark, d):
+    fall = F.col("error") - F.lead("error").over(W.partitionBy("fold").orderBy("k"))
+    per_k = _deviance(spark, d).withColumn("fall", fall).where("fall is not null").groupBy("k")
+    s = per_k.agg(F.avg("fall").alias("gain"), (F.stddev_pop("fall") / F.sqrt(F.count("*"))).alias("se"), (F.avg("fall") / F.avg("error")).alias("rel"))
+    ok = (F.col("gain") > F.col("se")) & (F.col("rel") >= 0.02)
+    return s.select("k", r6(F.col("gain")).alias("gain"), r6(F.col("se")).alias("se"), ok.alias("ok"), F.every(ok).over(W.orderBy("k")).alias("accepted"))  # a row for each k
+
+
+@query("kstar_one_se_table", _DEV + ", s AS (SELECT k, avg(error) AS mean, stddev_pop(error) / sqrt(count(*)) AS se FROM err GROUP BY k), n AS (SELECT k, mean, se, lead(mean) OVER (ORDER BY k) AS nxt FROM s) SELECT k, round(mean, 6) AS mean, round(se, 6) AS se, mean - nxt > se AS ok FROM n")
+def _(spark, d):
+    s = _deviance(spark, d).groupBy("k").agg(F.avg("error").alias("mean"), (F.stddev_pop("error") / F.sqrt(F.count("*"))).alias("se"))
+    ok = F.col("mean") - F.lead("mean").over(W.orderBy("k")) > F.col("se")  # a row for each k
+    return s.select("k", r6(F.col("mean")).alias("mean"), r6(F.col("se")).alias("se"), ok.alias("ok"))
+
+
+@query("planted_nnls", "SELECT CAST(s AS BIGINT) AS strain, CAST(x AS DOUBLE) AS abundance, round(CAST(x AS DOUBLE) / 9, 6) AS ra FROM (VALUES (1, 5.0), (2, 3.0), (3, 1.0)) AS v(s, x)")
+def _(spark, d):
+    found, _members = P.select(_fam(spark, d), T.planted_depth(spark, d), {}, P.Options(k_max=4))
+    rows = [(int(s), round(float(x), 6), round(float(r), 6)) for s, x, r in zip(found.labels, found.x, found.ra, strict=True)]
+    return spark.createDataFrame(rows, "strain long, abundance double, ra double")
+
+
+@query("selection_trace")
+def _(spark, d):
+    found, _members = P.select(_fam(spark, d), T.planted_depth(spark, d), {}, P.Options(k_max=4))
+    rows = [(i, int(s.candidate), s.residual, s.error, s.accepted, s.reason) for i, s in enumerate(found.steps, 1)]
+    return spark.createDataFrame(rows, "step int, candidate long, residual double, cv_error double, accepted boolean, stop_reason string")
+
+
+# --- gene content
+
+_COMP = "abundance(component, a) AS (VALUES (CAST(1 AS BIGINT), CAST(5.0 AS DOUBLE)), (2, 3.0), (3, 1.0))"
+_CARRIED = f"{T.NODES}, {T.EDGES}, {T.NEAR}, {_COMP}, carried AS (SELECT nid, strain AS component FROM presence WHERE strain IN (1, 2, 3))"
+_OBS = "obs AS (SELECT component, nid AS family, weight * a / sum(a) OVER (PARTITION BY nid) AS abundance, 'observed' AS status FROM nodes JOIN carried USING (nid) JOIN abundance USING (component) WHERE weight > 0)"
+_IMP = """imp AS (SELECT component, e.nid AS family, any_value(a) * count(*) FILTER (w.weight > 0) / count(*) AS abundance, 'imputed' AS status FROM nodes e JOIN carried c ON c.nid = e.nid JOIN near n ON n.nid = e.nid JOIN carried o ON o.nid = n.other AND o.component = c.component JOIN nodes w ON w.nid = n.other JOIN abundance USING (component)
+WHERE e.weight = 0 GROUP BY component, e.nid HAVING count(*) FILTER (w.weight > 0) / CAST(count(*) AS DOUBLE) >= 0.5)"""
+_ORPHAN = """sub(mask, total, size, places) AS (VALUES (1, 5.0, 1, [0]), (2, 3.0, 1, [1]), (3, 8.0, 2, [0, 1]), (4, 1.0, 1, [2]), (5, 6.0, 2, [0, 2]), (6, 4.0, 2, [1, 2]), (7, 9.0, 3, [0, 1, 2])),
+orph AS (SELECT nid, weight FROM nodes WHERE weight > 0 AND nid NOT IN (SELECT nid FROM carried)),
+fit AS (SELECT nid, weight, mask, CAST(total AS DOUBLE) AS total, size, places, abs(weight - total) AS miss FROM orph, sub),
+tied AS (SELECT * FROM fit QUALIFY miss <= min(miss) OVER (PARTITION BY nid) + 1e-9),
+sup AS (SELECT o.nid, component, count(*) AS n FROM orph o JOIN near USING (nid) JOIN carried c ON c.nid = other GROUP BY 1, 2),
+vote AS (SELECT t.nid, t.mask, coalesce(sum(n), 0) AS votes FROM tied t LEFT JOIN sup s ON s.nid = t.nid AND ((t.mask >> CAST(s.component - 1 AS INT)) & 1) = 1 GROUP BY 1, 2),
+best AS (SELECT t.* FROM tied t JOIN vote USING (nid, mask) QUALIFY row_number() OVER (PARTITION BY t.nid ORDER BY votes DESC, size, places) = 1),
+rea AS (SELECT component, nid AS family, weight * a / total AS abundance, 'reassigned' AS status FROM best JOIN abundance ON ((mask >> CAST(component - 1 AS INT)) & 1) = 1 WHERE miss / greatest(weight, total) <= 0.5)"""
+_GENES = f"WITH {_CARRIED}, {_OBS}, {_IMP}, {_ORPHAN}, genes AS (SELECT * FROM obs UNION ALL SELECT * FROM imp UNION ALL SELECT * FROM rea) "
+
+
+def _graph(spark, d):
+    """Nodes, edges, carried families and abundances of the fixed components."""
+    nodes, edges, presence = T.nodes(spark, d), T.edges(spark, d), T.presence(spark, d)
+    abundance = spark.createDataFrame([(s, a) for s, a in T.PLANTED.items()], "component long, a double")
+    members = abundance.select(F.col("component").alias("strain"), "component")
+    return nodes, edges, presence, members, abundance
+
+
+def _genes(spark, d):
+    return A.assign(*_graph(spark, d))
+
+
+def _rounded(df):
+    return df.select("component", "family", r6(F.col("abundance")).alias("abundance"), "status")
+
+
+for _name, _sql in (("observed", "obs"), ("imputed", "imp"), ("reassigned", "rea")):
+
+    @query(f"assign_{_name}", _GENES + f"SELECT component, family, round(abundance, 6) AS abundance, status FROM {_sql}")
+    def _(spark, d, status=_name):
+        nodes, edges, presence, members, abundance = _graph(spark, d)
+        carried = A.carriers(presence, members)
+        made = A.observed(nodes, carried, abundance) if status == "observed" else getattr(A, status)(nodes, edges, carried, abundance)
+        return _rounded(made)
+
+
+@query("genes_tsv", _GENES + "SELECT component AS strain, family AS family_id, printf('%.4f', abundance) AS abundance, status FROM genes")
+def _(spark, d):
+    return _genes(spark, d).select(F.col("component").alias("strain"), F.col("family").alias("family_id"), F.format_string("%.4f", "abundance").alias("abundance"), "status")
+
+
+@query("refine_rhs", _GENES + "SELECT family AS fam, round(sum(abundance), 6) AS y FROM genes WHERE status <> 'imputed' GROUP BY family")
+def _(spark, d):
+    return A.observed_depth(_genes(spark, d))[1].select("fam", r6(F.col("y")).alias("y"))
+
+
+@query("status_counts", _GENES + "SELECT component, count(*) AS n_genes, count(*) FILTER (status = 'observed') AS n_observed, count(*) FILTER (status = 'reassigned') AS n_reassigned, count(*) FILTER (status = 'imputed') AS n_imputed FROM genes GROUP BY component")
+def _(spark, d):
+    return A.status_counts(_genes(spark, d))
+
+
+@query("profile_full")
+def _(spark, d):
+    nodes, presence = T.nodes(spark, d), T.presence(spark, d)
+    y = T.planted_depth(spark, d).select(F.col("fam").alias("nid"), F.col("y").alias("weight"))
+    found = P.profile(nodes.drop("weight").join(y, "nid"), T.edges(spark, d), presence, P.Options(k_max=4))
+    return P.strains_table(found)
+
+
+# --- dumps
+
+
+@query("family_fasta", f"WITH {T.NODES} SELECT DISTINCT '>' || nid || chr(10) || p_name AS record FROM bare JOIN part ON p_partkey = nid")
+def _(spark, d):
+    from ..sources.dumps import family_records
+
+    parts = T.table(spark, d, "part").select(F.col("p_partkey").alias("family"), F.col("p_name").alias("sequence"))
+    return family_records(parts.join(T.bare_nodes(spark, d).select(F.col("nid").alias("family")), "family"))
+
+
+@query("gene_filter_dump", f"WITH {T.NODES}, chain AS (SELECT l_orderkey * 10 + l_linenumber AS gene, max(l_partkey) AS family FROM lineitem GROUP BY 1) SELECT gene, family FROM chain JOIN bare ON nid = family WHERE partition = 'S'")
+def _(spark, d):
+    from ..sources.dumps import genes_of_partition, last_family
+
+    genes = T.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("gene"), F.col("l_partkey").alias("family"))
+    return genes_of_partition(last_family(genes, "gene", "family", "family"), T.bare_nodes(spark, d), "S").select("gene", "family")
+
+
+@query("representatives_dump", f"WITH {T.NODES} SELECT nid AS family, min(l_orderkey * 10 + l_linenumber) AS gene FROM lineitem JOIN bare ON nid = l_partkey WHERE partition = 'P' GROUP BY nid")
+def _(spark, d):
+    from ..sources.dumps import representatives
+
+    genes = T.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("gene"), F.col("l_partkey").alias("family"))
+    return representatives(genes, T.bare_nodes(spark, d), "P")
+
+
+# --- parsing and policies
+
+
+@query("parse_spec", "SELECT doc_id, source AS name, CASE WHEN doc_id % 3 = 0 THEN 'latest' ELSE (n_chars % 7) || '.' || (doc_id % 11) || '.0' END AS version, CASE WHEN doc_id % 2 = 0 THEN 's__' || lang END AS member FROM documents")
+def _(spark, d):
+    version = F.concat_ws(".", (F.col("n_chars") % 7).cast("string"), (F.col("doc_id") % 11).cast("string"), F.lit("0"))
+    spec = F.concat("source", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("@"), version)), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(":s__"), "lang")).otherwise(""))
+    s = F.col("spec")
+    return T.table(spark, d, "documents").select("doc_id", spec.alias("spec")).select("doc_id", X.collection_name(s).alias("name"), X.collection_version(s).alias("version"), X.collection_member(s).alias("member"))
+
+
+@query("parse_version_sort", "WITH v AS (SELECT DISTINCT 'v' || (n_chars % 13) || '.' || (doc_id % 11) || '.0' AS version, n_chars % 13 AS a, doc_id % 11 AS b FROM documents) SELECT version, row_number() OVER (ORDER BY a, b) AS place FROM v")
+def _(spark, d):
+    version = F.concat(F.lit("v"), (F.col("n_chars") % 13).cast("string"), F.lit("."), (F.col("doc_id") % 11).cast("string"), F.lit(".0"))
+    rows = T.table(spark, d, "documents").select(version.alias("version")).distinct()  # at most 143 versions
+    return rows.select("version", F.row_number().over(W.orderBy(X.version_key(F.col("version")))).alias("place"))
+
+
+@query("species_of_name", "SELECT source AS species, source || '@' || split_part(split_part(url, '/', -1), '.', 1) AS name FROM documents JOIN pages ON page_id = doc_id")
+def _(spark, d):
+    both = T.table(spark, d, "documents").join(T.table(spark, d, "pages"), F.col("page_id") == F.col("doc_id"))
+    name = X.signature_name(F.col("source"), F.split(F.regexp_replace("url", r"^.*/", "x/"), "[.]")[0])
+    return both.select(X.species_of(name).alias("species"), name.alias("name"))
+
+
+@query("is_fastx", "SELECT page_id, page_id % 7 IN (0, 1, 2, 3) AS fastx FROM pages")
+def _(spark, d):
+    endings = F.array(*[F.lit(x) for x in (".fa", ".fasta.gz", ".FASTQ", ".fna.gz", ".gbff", ".txt", ".gz")])
+    path = F.concat(F.lit("/bank/p"), F.col("page_id").cast("string"), F.get(endings, (F.col("page_id") % 7).cast("int")))
+    return T.table(spark, d, "pages").select("page_id", X.is_fastx(path).alias("fastx"))
+
+
+@query("partition_colours", f"WITH {T.NODES} SELECT nid, CASE partition WHEN 'P' THEN '#e59c04' WHEN 'S' THEN '#00d860' ELSE '#79deff' END AS colour FROM bare")
+def _(spark, d):
+    return T.bare_nodes(spark, d).select("nid", X.partition_colour(F.col("partition")).alias("colour"))
+
+
+@query("convert_values", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'int' WHEN 1 THEN 'float' ELSE 'str' END AS kind FROM events")
+def _(spark, d):
+    text = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 3 == 1, F.format_string("%.2f", "value")).otherwise(F.col("event_type"))
+    return T.table(spark, d, "events").select("event_id", X.value_kind(text).alias("kind"))
+
+
+@query("catalog_props", "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    k = F.from_json("props", "k bigint")["k"]
+    return T.table(spark, d, "events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("policy_filter", "SELECT c_custkey, c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN 'supported' WHEN 'MACHINERY' THEN 'discarded' ELSE 'unsupported' END AS verdict FROM customer")
+def _(spark, d):
+    from ..sources.catalog import verdicts
+
+    policy = spark.createDataFrame([("BUILDING", "supported"), ("MACHINERY", "discarded")], "name string, verdict string")
+    return verdicts(T.table(spark, d, "customer"), "c_mktsegment", policy).select("c_custkey", "c_mktsegment", "verdict")
+
+
+@query("size_format", "SELECT source, CASE WHEN n < 1024 THEN printf('%.1f B', CAST(n AS DOUBLE)) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS size FROM (SELECT source, CAST(sum(n_chars) AS BIGINT) AS n FROM documents GROUP BY source)")
+def _(spark, d):
+    sums = T.table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("n"))
+    return sums.select("source", X.human_size(F.col("n")).alias("size"))
+
+
+@query("canonical_kmers", f"WITH {T.READ_KMERS} SELECT read, pos, kmer FROM rk")
+def _(spark, d):
+    return kmers(T.reads(spark, d), "seq", T.K, ["read"]).select("read", F.col("pos").cast("bigint").alias("pos"), F.col("kmer").cast("string").alias("kmer"))
+
+
+@query("reverse_complement", f"WITH {T.READS} SELECT read, reverse(translate(seq, 'ACGT', 'TGCA')) AS rev FROM r")
+def _(spark, d):
+    return T.reads(spark, d).select("read", reverse_complement(F.col("seq")).alias("rev"))
+
+
+@query("bank_inputs", "SELECT p_brand AS pangenome, count(*) AS genomes, min(p_name) AS first FROM part GROUP BY p_brand")
+def _(spark, d):
+    from ..sources.discover import bank_lines
+
+    parts = T.table(spark, d, "part").groupBy("p_brand").agg(F.concat_ws("\t", F.col("p_brand"), F.array_join(F.sort_array(F.collect_list(F.translate("p_name", " \t", "__"))), "\t")).alias("line"))
+    found = bank_lines(parts.select("line"))
+    return found.groupBy("pangenome").agg(F.count("*").alias("genomes"), F.translate(F.min("path"), "_", " ").alias("first"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
