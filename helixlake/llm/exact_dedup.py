@@ -74,8 +74,8 @@ def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Only the ids that go are joined to the documents.  Rows without an id stay.
     """
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone_id")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -165,8 +165,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return answers(docs, id_col, text_col, {"lang_pred": "string", "score": "double"}, lambda: shared.value.decide)
 
 
-def identify_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs, all columns, with lang_pred and score, by the same rule as identify()."""
+def identify_rows(docs: DataFrame, model: Model, text_col: str = "text", out: str = "__told") -> DataFrame:
+    """docs, all columns, with a struct (lang_pred, score) in `out`, by the same rule as identify()."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -175,9 +175,9 @@ def identify_rows(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for a, b in slices([len(t) for t in whole]):
             names, score = shared.value.decide(whole[a:b])
             parts.append(pd.DataFrame({"lang_pred": names, "score": score}))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": []})
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float)})
 
-    return docs.withColumn("_told", told(F.col(text_col))).withColumns({"lang_pred": F.col("_told.lang_pred"), "score": F.col("_told.score")}).drop("_told")
+    return docs.withColumn(out, told(docs[text_col].cast("string")))
 
 
 def trained(docs: DataFrame) -> Model:

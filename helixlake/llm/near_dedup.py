@@ -336,8 +336,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows without an id stay.  Rows that repeat an id share its fate.
     """
-    gone = near_duplicates(docs, id_col, text_col, shingle).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, shingle).where(~F.col("kept")).select(F.col(id_col).alias("__gone_id")).distinct()
+    return docs.join(gone, docs[id_col].cast("bigint") == gone["__gone_id"], "left_anti")
 
 
 def op5_minhash_near_dedup(spark, sf_dir):

@@ -115,7 +115,8 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
 def moments(docs: DataFrame, positives: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Sums of x x' over all documents and over the positives.  The constant feature makes them hold counts and sums too."""
     flag = positives.select(F.col(id_col).alias("_id")).distinct().withColumn("positive", F.lit(True))
-    rows = docs.join(F.broadcast(flag), F.col(id_col) == F.col("_id"), "left").select(F.col(text_col).alias("text"), F.coalesce("positive", F.lit(False)).alias("positive"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = slim.join(F.broadcast(flag), F.col("id") == F.col("_id"), "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"))
     kind = "part int, sums binary"
     parts = rows.mapInPandas(_moments, kind).groupBy("part").applyInPandas(_added, kind).collect()  # at most 16 rows of a fixed size
     both = sum((np.frombuffer(r["sums"], float) for r in parts), np.zeros(2 * SIZE * SIZE)).reshape(2, SIZE, SIZE)

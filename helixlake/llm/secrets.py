@@ -184,21 +184,21 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.regex), slim).otherwise(none)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs, all columns, with `found`: an array of (start, k, end, kind) by start and rule.
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "found") -> DataFrame:
+    """docs, all columns, with `out`: an array of (start, k, end, kind) by start and rule.
 
     Null and empty texts have no spans.  Spans of one kind do not overlap, those of
     different kinds may.  Rows that repeat an id are each scanned on their own text.
     """
-    cand = candidates(docs, rules, id_col, text_col).select(F.col("id").alias("_id"), F.col("rules").alias("_rules"))
-    joined = docs.join(cand, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    cand = candidates(docs, rules, id_col, text_col).select(F.col("id").alias("__secret_id"), F.col("rules").alias("__secret_rules"))
+    joined = docs.join(cand, docs[id_col].eqNullSafe(cand["__secret_id"]), "left")
     text = body(text_col)
     none = F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>")
     parts = []
     for k, rule in enumerate(rules):
         one = spans(text, rule, k)
-        parts.append(F.when(F.array_contains("_rules", rule.kind), one).otherwise(none) if trigram_query(rule.regex) else one)
-    return joined.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*parts)).alias("found"))
+        parts.append(F.when(F.array_contains("__secret_rules", rule.kind), one).otherwise(none) if trigram_query(rule.regex) else one)
+    return joined.select(*[docs[c] for c in docs.columns if c != out], F.array_sort(F.concat(*parts)).alias(out))
 
 
 def joined_spans(found: Column) -> Column:
@@ -223,7 +223,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     The texts of rows without a secret are unchanged, nulls stay null.
     """
-    found = find_secrets(docs, id_col, text_col)
+    found = find_secrets(docs, id_col, text_col, out="__found")
     text = body(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -232,8 +232,8 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
 
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("found") > 0, clean).otherwise(F.col(text_col))
+    clean = F.aggregate("__found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    new = F.when(F.size("__found") > 0, clean).otherwise(F.col(text_col))
     return found.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 

@@ -88,7 +88,8 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     """Dense weights; with no labelled row all are zero, and every score is one half."""
     known = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).dropDuplicates([id_col])
     sample = known.orderBy(F.xxhash64(id_col), id_col).limit(MOST_ROWS).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label"))
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "label", F.xxhash64(F.lit(7), id_col).alias("ord"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = slim.join(F.broadcast(sample), F.col("id") == F.col("_id")).select("text", "label", F.xxhash64(F.lit(7), "id").alias("ord"))
     hashed = rows.mapInPandas(_hashed, "one int, ord long, label double, places binary")
     fitted = hashed.groupBy("one").applyInPandas(_fitted, "place long, weight double").toPandas()  # sparse, at most SIZE rows
     w = np.zeros(SIZE, np.float32)
