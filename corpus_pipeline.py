@@ -25,7 +25,8 @@ LEAST_SCORE = 0.34
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the model is learned from all rows of `documents`."""
     model = trained(documents(spark, sf_dir))
-    return identify_rows(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    told = identify_rows(docs, model)
+    return told.where((F.col("__told.lang_pred") != UNDETERMINED) & (F.col("__told.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
