@@ -32,14 +32,10 @@ def kmers(seqs: DataFrame, seq_col: str, k: int, keep: list[str], canonical: boo
     Positions are cut from binary columns, where a substring costs its own length;
     the reverse complement is made once for a sequence and read from its end.
     """
-    base = seqs.where(F.length(seq_col) >= k)
-    rows = base.select(
-        *keep,
-        F.upper(seq_col).cast("binary").alias("_fwd"),
-        reverse_complement(F.upper(seq_col)).cast("binary").alias("_rev"),
-        F.length(seq_col).alias("_n"),
-        F.explode(F.sequence(F.lit(0), F.length(seq_col) - k)).alias("pos"),
-    )
+    base = seqs.where(F.length(seq_col) >= k).select(
+        *keep, F.upper(seq_col).cast("binary").alias("_fwd"), reverse_complement(F.upper(seq_col)).cast("binary").alias("_rev")
+    )  # a projection of its own, below the rows of positions
+    rows = base.withColumn("_n", F.length("_fwd")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - k)).alias("pos"))
     forward = F.expr(f"substring(_fwd, pos + 1, {k})")
     backward = F.expr(f"substring(_rev, _n - {k} - pos + 1, {k})")
     made = rows.select(*keep, "pos", (F.least(forward, backward) if canonical else forward).alias("kmer"))

@@ -75,5 +75,5 @@ def human_size(n: Column) -> Column:
 
 def include_list(text: Column) -> Column:
     """The entries of a comma-separated list, trimmed, without empty ones; null for * or null."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(text.isNull() | (F.trim(text) == "*"), F.lit(None).cast("array<string>")).otherwise(parts)

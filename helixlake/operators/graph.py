@@ -18,7 +18,7 @@ def subgraph(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFram
     kept = nodes.where(keep)
     ids = kept.select("nid")
     within = edges.join(ids.withColumnRenamed("nid", "src"), "src", "left_semi").join(ids.withColumnRenamed("nid", "dst"), "dst", "left_semi")
-    return kept, within
+    return kept, within.select("src", "dst")
 
 
 def set_values(nodes: DataFrame, column: str, changes: DataFrame, add: bool = False) -> DataFrame:
@@ -46,7 +46,7 @@ def partition_coverage(nodes: DataFrame) -> DataFrame:
     rows = []
     for p in PARTITIONS:
         hit = F.count_if((F.col("partition") == p) & (F.col("weight") > 0))
-        rows += [F.coalesce(hit / F.count("*"), F.lit(0.0)).alias(f"{p}_coverage"), (hit / F.nullif(F.count_if(F.col("partition") == p), F.lit(0))).alias(f"{p}_fraction")]
+        rows += [F.coalesce(hit / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias(f"{p}_coverage"), (hit / F.nullif(F.count_if(F.col("partition") == p), F.lit(0))).alias(f"{p}_fraction")]
     return nodes.agg(*rows)
 
 

@@ -354,7 +354,7 @@ def _(spark, d):
     return M.shell_priority(T.nodes(spark, d), _fam(spark, d))
 
 
-_DEV = f"""WITH {_FOLDS}, ks AS (SELECT unnest(generate_series(0, 4)) AS k), m AS (SELECT nid, k, sum(CASE WHEN strain <= k THEN 0.5 ELSE 0.0 END) + 0.05 AS mu FROM presence, ks GROUP BY 1, 2),
+_DEV = f"""WITH {_FOLDS}, ks AS (SELECT unnest(generate_series(0, 4)) AS k), m AS (SELECT nid, k, sum(CAST(CASE WHEN strain BETWEEN 1 AND k THEN 0.5 ELSE 0.0 END AS DOUBLE)) + 0.05 AS mu FROM presence, ks GROUP BY 1, 2),
 err AS (SELECT fold, CAST(k AS INT) AS k, sum(2 * (CASE WHEN y > 0 THEN y * ln(y / mu) ELSE 0 END - (y - mu))) / count(*) AS error FROM folds JOIN m USING (nid) GROUP BY 1, 2)
 """
 
@@ -406,8 +406,8 @@ def _(spark, d):
 _COMP = "abundance(component, a) AS (VALUES (CAST(1 AS BIGINT), CAST(5.0 AS DOUBLE)), (2, 3.0), (3, 1.0))"
 _CARRIED = f"{T.NODES}, {T.EDGES}, {T.NEAR}, {_COMP}, carried AS (SELECT nid, strain AS component FROM presence WHERE strain IN (1, 2, 3))"
 _OBS = "obs AS (SELECT component, nid AS family, weight * a / sum(a) OVER (PARTITION BY nid) AS abundance, 'observed' AS status FROM nodes JOIN carried USING (nid) JOIN abundance USING (component) WHERE weight > 0)"
-_IMP = """imp AS (SELECT component, e.nid AS family, any_value(a) * count(*) FILTER (w.weight > 0) / count(*) AS abundance, 'imputed' AS status FROM nodes e JOIN carried c ON c.nid = e.nid JOIN near n ON n.nid = e.nid JOIN carried o ON o.nid = n.other AND o.component = c.component JOIN nodes w ON w.nid = n.other JOIN abundance USING (component)
-WHERE e.weight = 0 GROUP BY component, e.nid HAVING count(*) FILTER (w.weight > 0) / CAST(count(*) AS DOUBLE) >= 0.5)"""
+_IMP = """imp AS (SELECT c.component, e.nid AS family, any_value(ab.a) * count(*) FILTER (w.weight > 0) / count(*) AS abundance, 'imputed' AS status FROM nodes e JOIN carried c ON c.nid = e.nid JOIN near n ON n.nid = e.nid JOIN carried o ON o.nid = n.other AND o.component = c.component JOIN nodes w ON w.nid = n.other JOIN abundance ab ON ab.component = c.component
+WHERE e.weight = 0 GROUP BY c.component, e.nid HAVING count(*) FILTER (w.weight > 0) / CAST(count(*) AS DOUBLE) >= 0.5)"""
 _ORPHAN = """sub(mask, total, size, places) AS (VALUES (1, 5.0, 1, [0]), (2, 3.0, 1, [1]), (3, 8.0, 2, [0, 1]), (4, 1.0, 1, [2]), (5, 6.0, 2, [0, 2]), (6, 4.0, 2, [1, 2]), (7, 9.0, 3, [0, 1, 2])),
 orph AS (SELECT nid, weight FROM nodes WHERE weight > 0 AND nid NOT IN (SELECT nid FROM carried)),
 fit AS (SELECT nid, weight, mask, CAST(total AS DOUBLE) AS total, size, places, abs(weight - total) AS miss FROM orph, sub),
@@ -445,9 +445,9 @@ for _name, _sql in (("observed", "obs"), ("imputed", "imp"), ("reassigned", "rea
         return _rounded(made)
 
 
-@query("genes_tsv", _GENES + "SELECT component AS strain, family AS family_id, printf('%.4f', abundance) AS abundance, status FROM genes")
+@query("genes_tsv", _GENES + "SELECT component AS strain, family AS family_id, printf('%.6f', abundance) AS abundance, status FROM genes")
 def _(spark, d):
-    return _genes(spark, d).select(F.col("component").alias("strain"), F.col("family").alias("family_id"), F.format_string("%.4f", "abundance").alias("abundance"), "status")
+    return _genes(spark, d).select(F.col("component").alias("strain"), F.col("family").alias("family_id"), F.format_string("%.6f", "abundance").alias("abundance"), "status")
 
 
 @query("refine_rhs", _GENES + "SELECT family AS fam, round(sum(abundance), 6) AS y FROM genes WHERE status <> 'imputed' GROUP BY family")
@@ -552,7 +552,7 @@ def _(spark, d):
     return verdicts(T.table(spark, d, "customer"), "c_mktsegment", policy).select("c_custkey", "c_mktsegment", "verdict")
 
 
-@query("size_format", "SELECT source, CASE WHEN n < 1024 THEN printf('%.1f B', CAST(n AS DOUBLE)) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS size FROM (SELECT source, CAST(sum(n_chars) AS BIGINT) AS n FROM documents GROUP BY source)")
+@query("size_format", "WITH s AS (SELECT source, CAST(sum(n_chars) AS DOUBLE) AS n FROM documents GROUP BY source) SELECT source, CASE WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024, 1)) WHEN n < 1073741824 THEN printf('%.1f MB', round(n / 1048576, 1)) ELSE printf('%.1f GB', round(n / 1073741824, 1)) END AS size FROM s")
 def _(spark, d):
     sums = T.table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("n"))
     return sums.select("source", X.human_size(F.col("n")).alias("size"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import version_key
 
-RELEASE = "version string, latest boolean, ppanggolin_version string, pangbank_wf_version string, taxonomy_source struct<name: string, version: string>, pangenome_count bigint"
-COLLECTION = f"name string, id bigint, releases array<struct<{RELEASE.replace(' string', ': string').replace(' boolean', ': boolean').replace(' struct', ': struct').replace(' bigint', ': bigint')}>>"
+COLLECTION = """name string, id bigint, releases array<struct<
+  version: string, latest: boolean, ppanggolin_version: string, pangbank_wf_version: string,
+  taxonomy_source: struct<name: string, version: string>, pangenome_count: bigint>>"""
 
 
 def releases(collections: DataFrame, text_col: str) -> DataFrame:
