@@ -1,0 +1,45 @@
+"""The pipeline, stage by stage, against what each stage promises."""
+
+import pytest
+from pyspark.sql import functions as F
+
+pipeline = pytest.importorskip("corpus_pipeline")
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    from helixlake.llm import near_dedup, secrets
+    from helixlake.llm.shared import written
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    seen = {}
+    for name, stage in pipeline.STAGES:
+        out = written(stage(spark, docs, SMALL))
+        seen[name] = (docs, out)
+        docs = out
+    before, after = seen["language_id"]
+    assert after.columns == before.columns and after.count() >= 0.99 * before.count()
+    before, after = seen["exact_dedup"]
+    want = {r[0] for r in before.groupBy("text").agg(F.max("doc_id")).select("max(doc_id)").collect()}
+    assert {r[0] for r in after.select("doc_id").collect()} == want and after.columns == before.columns
+    before, after = seen["near_dedup"]
+    assert near_dedup.near_duplicates(after, shingle=5).where("not kept").count() == 0 and after.count() <= before.count()
+    before, after = seen["secret_scan"]
+    assert after.count() == before.count() and after.columns == before.columns
+    assert secrets.find_secrets(after).where(F.size("found") > 0).count() == 0
+    pieces = seen["packing"][1]
+    assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in docs_ids(after)}
+    assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def docs_ids(df):
+    return df.select("doc_id").distinct().collect()
+
+
+def test_odd_documents(spark):
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "12 34", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert pipeline.language_stage(spark, docs, SMALL).count() == 0
+    for _, stage in pipeline.STAGES[1:4]:
+        assert stage(spark, docs, SMALL).columns == docs.columns
+        assert stage(spark, docs.where("false"), SMALL).count() == 0
