@@ -445,9 +445,9 @@ for _name, _sql in (("observed", "obs"), ("imputed", "imp"), ("reassigned", "rea
         return _rounded(made)
 
 
-@query("genes_tsv", _GENES + "SELECT component AS strain, family AS family_id, printf('%.6f', abundance) AS abundance, status FROM genes")
+@query("genes_tsv", _GENES + "SELECT component AS strain, family AS family_id, round(abundance, 6) AS abundance, status FROM genes")
 def _(spark, d):
-    return _genes(spark, d).select(F.col("component").alias("strain"), F.col("family").alias("family_id"), F.format_string("%.6f", "abundance").alias("abundance"), "status")
+    return _genes(spark, d).select(F.col("component").alias("strain"), F.col("family").alias("family_id"), r6(F.col("abundance")).alias("abundance"), "status")
 
 
 @query("refine_rhs", _GENES + "SELECT family AS fam, round(sum(abundance), 6) AS y FROM genes WHERE status <> 'imputed' GROUP BY family")
