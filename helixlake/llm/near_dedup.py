@@ -205,8 +205,11 @@ def _confirmed(batch: pa.RecordBatch) -> dict[str, pa.Array]:
 
 
 def star_links(lists: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
-    """Confirmed links (a, b) from one document of each list to those of its list in other components."""
-    centre = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("id", "comp"), F.xxhash64(F.lit(turn), "id")).alias("c")).where("lo <> hi")
+    """Confirmed links (a, b) from one document of each list to those of its list in other components.
+
+    A list of two is compared whole in the first turn, so later turns leave it out.
+    """
+    centre = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min_by(F.struct("id", "comp"), F.xxhash64(F.lit(turn), "id")).alias("c")).where(f"lo <> hi and n > {2 if turn else 1}")
     pairs = lists.join(centre, "key").where(F.col("comp") != F.col("c.comp")).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("sa")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("sb")), "b")
@@ -244,9 +247,18 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def crossing_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links between all documents that share a list and lie in different components."""
-    by = lists.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
-    mixed = by.agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    """Confirmed links between all documents that share a list and lie in different components.
+
+    Lists of two were compared whole by the stars, and of lists with the same members
+    (by their number and two sums of hashes) one is compared.
+    """
+    mark = F.xxhash64("id").cast("decimal(20,0)")
+    by = lists.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(mark).alias("total"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("xor")).groupBy("key")
+    mixed = by.agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("comps"),
+        F.sum("total").alias("total"), F.bit_xor("xor").alias("xor"),
+    ).where(f"comps > 1 and n > {2 if STARS else 1}")
+    mixed = mixed.groupBy("n", "total", "xor").agg(F.min_by(F.struct("key", "main", "most"), "key").alias("l")).select("l.*", "n")
     rows = lists.join(mixed, "key")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     asks = F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")
