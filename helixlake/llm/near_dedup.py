@@ -48,6 +48,8 @@ BLOCK = 1024
 STARS = 2
 #: Ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
+#: Ids of removed documents that may be broadcast; their hash table takes about 100 MB of each executor.
+BROADCAST_GONE = 2_000_000
 _A = np.random.default_rng(11).integers(1, 1 << 63, K, dtype=np.uint64) | np.uint64(1)
 _B = np.random.default_rng(12).integers(0, 1 << 63, K, dtype=np.uint64)
 
@@ -346,10 +348,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """docs, all columns, with one document of each component: the one with the smallest id.
 
-    Rows without an id stay.  Rows that repeat an id share its fate.
+    Rows without an id stay.  Rows that repeat an id share its fate.  The texts are
+    shuffled only if more than BROADCAST_GONE documents go.
     """
-    gone = near_duplicates(docs, id_col, text_col, shingle).where(~F.col("kept")).select(F.col(id_col).alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("bigint") == gone["__gone_id"], "left_anti")
+    gone = written(near_duplicates(docs, id_col, text_col, shingle).where(~F.col("kept")).select(F.col(id_col).alias("__gone_id")).distinct())
+    few = gone.count() <= BROADCAST_GONE
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("bigint") == gone["__gone_id"], "left_anti")
 
 
 def op5_minhash_near_dedup(spark, sf_dir):

@@ -120,6 +120,18 @@ def test_near_dedup(table, awkward, empty, corpus):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_removes_ids_by_either_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a", 4), (2, "a", 4), (None, "a", 4), (3, None, 4), (2, "a", 4)], "doc_id long, text string, __gone_id int")
+    found = spark.createDataFrame([(1, True), (2, False), (None, False), (3, True), (2, False)], "doc_id long, kept boolean")
+    monkeypatch.setattr(near_dedup, "near_duplicates", lambda *_: found)
+    for most in near_dedup.BROADCAST_GONE, 0:
+        monkeypatch.setattr(near_dedup, "BROADCAST_GONE", most)
+        got = near_dedup.keep_representatives(docs)
+        assert got.columns == docs.columns
+        assert ("strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()) == (most > 0)
+        assert sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "3", "None"]
+
+
 def test_near_dedup_of_a_loose_family(spark, monkeypatch):
     """A group whose pairs lie about the bound, in lists that are cut into several blocks."""
     rng = random.Random(9)
