@@ -38,13 +38,22 @@ class Rule:
     base: bool = False
 
 
+_HEADER = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+#: The rest of a key: all text up to the footer, unless another line of dashes comes first ...
+_TO_FOOTER = r"(?:(?!-----)[\s\S])*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+#: ... or without a footer the known header fields and the base64 run.  White space, quotes and marks of
+#: quoted or escaped lines belong to the run if 16 characters of base64 follow, or the short last line.
+#: Both repeat one character at a time, which Java does without recursion.
+_FIELDS = r"(?:(?:\s|\\[nr])*(?:Proc-Type|DEK-Info):[^\r\n\\]*){0,4}"
+_RUN = r"""(?:(?=[A-Za-z0-9+/=]|[\s\\"'>#*|,]{1,16}(?:[A-Za-z0-9+/]{16}|[A-Za-z0-9+/]{1,15}(?:=|\s*[\r\n]|\\[nr]|["']|\s*\Z)))[A-Za-z0-9+/=\s\\"'>#*|,])*"""
+
 #: The base rules come first, in the order in which kinds are listed.  A run of one
 #: character class with a least length is the same as the run with that length tested.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]{14,}", 0, 18, True),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", f"{_HEADER}(?:{_TO_FOOTER}|{_FIELDS}{_RUN})"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
