@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helixlake.llm.exact_dedup import keep_one_copy
 from helixlake.llm.language_id import UNDETERMINED, identify_rows, trained
-from helixlake.llm.near_dedup import keep_representatives
+from helixlake.llm.near_dedup import keep_one_of_each
 from helixlake.llm.packing import pack_documents
 from helixlake.llm.secrets import masked
 from helixlake.llm.shared import documents, written
@@ -30,13 +30,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest id."""
-    return keep_one_copy(docs)
+    """One row of each group of equal texts: one with the largest id."""
+    return keep_one_copy(docs, repeats=False)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates on five-word shingles: the one with the smallest id."""
-    return keep_representatives(docs, shingle=5)
+    return keep_one_of_each(docs, shingle=5)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

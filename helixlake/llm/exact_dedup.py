@@ -24,6 +24,8 @@ from .shared import body, documents, written
 PREFIX_CHARS = 64
 #: Surviving (length, prefix) cells that may be broadcast: 16 bytes each, 3 MB in all.
 BROADCAST_CELLS = 200_000
+#: Texts with copies that may be broadcast: a hash of 64 characters and an id each.
+BROADCAST_GROUPS = 500_000
 
 
 def surviving_cells(docs: DataFrame, text_col: str = "text", prefix: int = PREFIX_CHARS) -> DataFrame:
@@ -69,13 +71,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the copies that exact_dedup() drops.
+def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """docs, all columns, without the copies that exact_dedup() drops; decided row by row.
 
-    Only the ids that go are joined to the documents.  Rows without an id stay.
+    A row goes only if a row with its text stays.  Rows that repeat both the id and the
+    text of the row that stays go only if `repeats` is off: then one row of each text is
+    left.  Of rows without an id one stays where no row with an id has the text, in
+    either case.
     """
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
+    groups = written(copy_groups(docs, id_col, text_col)).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__copied"))
+    few = groups.count() <= BROADCAST_GROUPS
+    told = docs.withColumn("__sha", F.sha2(body(text_col), 256)).join(F.broadcast(groups) if few else groups, "__sha", "left")
+    one = F.col("__copied").isNull()
+    if repeats:
+        one = one | (F.col(id_col) == F.col("__keep"))
+    chosen = told.where(F.col("__copied") & F.col(id_col).eqNullSafe(F.col("__keep")))
+    if repeats:
+        chosen = chosen.where(F.col("__keep").isNull())
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    # combines on the map side, so a text that is repeated often reaches its reducer as one row for each task
+    picked = chosen.groupBy("__sha").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    return told.where(one).select(*docs.columns).unionByName(picked)
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -356,5 +356,19 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("bigint") == gone["__gone_id"], "left_anti")
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """keep_representatives() decided row by row: rows that share an id, or have none, are documents of their own.
+
+    Where ids are missing or repeated, the rows are numbered by id and text first, those
+    without an id last, which costs one shuffle of the texts.
+    """
+    ids = docs.select(F.col(id_col).alias("id"))
+    if ids.where("id is null").isEmpty() and ids.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        return keep_representatives(docs, id_col, text_col, shingle)
+    ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = written(ordered.withColumn("__row_id", F.monotonically_increasing_id()))
+    return keep_representatives(rows, "__row_id", text_col, shingle).select(*docs.columns)
+
+
 def op5_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))

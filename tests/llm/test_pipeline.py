@@ -43,3 +43,26 @@ def test_odd_documents(spark):
     for _, stage in pipeline.STAGES[1:4]:
         assert stage(spark, docs, SMALL).columns == docs.columns
         assert stage(spark, docs.where("false"), SMALL).count() == 0
+
+
+def test_dedup_decides_row_by_row(spark, monkeypatch):
+    """Repeated rows, ids shared by different texts, and rows without an id."""
+    from helixlake.llm import exact_dedup
+
+    words = [f"word{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [
+        (10, "twice"), (10, "twice"), (5, "A"), (9, "A"), (5, "B"), (None, "A"), (None, "C"), (None, "C"), (None, "D"), (7, None), (7, ""), (3, "lone"),
+        (4, " ".join(words)), (4, near), (None, near + " more"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for most in exact_dedup.BROADCAST_GROUPS, 0:
+        monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", most)
+        exact = pipeline.exact_stage(spark, docs, SMALL)
+        got = sorted((str(r["doc_id"]), r["text"] or "") for r in exact.collect())
+        assert exact.columns == docs.columns
+        assert got == sorted([("10", "twice"), ("9", "A"), ("5", "B"), ("None", "C"), ("None", "D"), ("7", ""), ("3", "lone"), ("4", rows[12][1]), ("4", near), ("None", near + " more")])
+    kept = pipeline.near_stage(spark, exact, SMALL)
+    got = [(str(r["doc_id"]), r["text"] or "") for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == 8
+    assert sum(t.startswith("word0") for _, t in got) == 1 and (("4", near) in got or ("4", rows[12][1]) in got)
