@@ -17,16 +17,16 @@ from helixlake.llm.packing import pack_documents
 from helixlake.llm.secrets import masked
 from helixlake.llm.shared import documents, written
 
-#: A document goes if its language is undetermined, or if the best language has no more
-#: of its evidence than an even split between three would give.
-LEAST_SCORE = 0.34
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the model is learned from all rows of `documents`."""
+    """Documents that are not undetermined; the model is learned from all rows of `documents`.
+
+    A low score is no evidence against a text: short texts, texts of rare words and texts
+    that many related languages share all have one.  So only texts without a letter go.
+    """
     model = trained(documents(spark, sf_dir))
     told = identify_rows(docs, model)
-    return told.where((F.col("__told.lang_pred") != UNDETERMINED) & (F.col("__told.score") >= LEAST_SCORE)).select(*docs.columns)
+    return told.where(F.col("__told.lang_pred") != UNDETERMINED).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
