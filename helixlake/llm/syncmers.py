@@ -1,11 +1,14 @@
 """Document fingerprints from closed syncmers; only SQL functions run on the executors.
 
-The alphabet is tokens: runs of up to CHUNK characters that are not white space.
-A k-mer is K tokens in a row, and its inner substrings are its S-token parts.  It is
-a closed syncmer if the smallest inner hash stands first or last.  Whether a k-mer is
-chosen depends on the k-mer alone, so a passage keeps its anchors wherever it is
-moved.  The fingerprint is the bottom sketch of the anchors' hashes: the SKETCH
-smallest distinct values, of which the Jaccard likeness of two texts is estimated.
+The alphabet is tokens: runs of up to CHUNK characters that are not white space; of a
+longer run every substring of WINDOW characters is a token, so that an inserted
+character changes the tokens about it and no others.  A k-mer is K tokens in a row,
+and its inner substrings are its S-token parts.  It is a closed syncmer, or anchor, if
+the smallest inner hash stands first or last.  Whether a k-mer is chosen depends on
+the k-mer alone, so a passage keeps its anchors wherever it is moved.
+
+Every anchor is kept with its place, and passages are matched on those.  The
+fingerprint and the Jaccard likeness of two texts come from all their anchors.
 """
 
 from __future__ import annotations
@@ -16,41 +19,66 @@ from pyspark.sql import functions as F
 
 from .shared import body, documents
 
-K, S, CHUNK, SKETCH = 3, 1, 16, 64
+K, S, CHUNK, WINDOW = 3, 1, 16, 8
 #: Cells of the id range that are counted to place bucket bounds, and rows aimed at.
 CELLS, ROWS_PER_BUCKET = 65_536, 4_000
 
 
 def _hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"\S{{1,{CHUNK}}}"), F.lit(0)), lambda t: F.xxhash64(t))
+    runs = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    windows = lambda r: F.regexp_extract_all(r, F.lit(rf"(?=(\S{{{WINDOW}}}))"), F.lit(1))
+    cut = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= CHUNK, F.array(r)).otherwise(windows(r))))
+    return F.transform(F.when(text.rlike(rf"\S{{{CHUNK + 1}}}"), cut).otherwise(runs), lambda t: F.xxhash64(t))
 
 
-def with_sketch(df: DataFrame, text_col: str, out: str, k: int = K, size: int = SKETCH) -> DataFrame:
-    """df with `out`: the ascending array of the smallest closed-syncmer hashes of a text.
+def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K) -> DataFrame:
+    """df with `out`: every closed syncmer of a text as (hash, place), by place.
 
-    A text with fewer than k tokens has one anchor, all its tokens; a text without
-    tokens has none.  Each step is a projection of its own, so that the token hashes
-    are computed once.
+    The place is the number of the k-mer's first token, from 0.  A text with fewer than
+    k tokens has one anchor, all its tokens; a text without tokens has none.  Each step
+    is a projection of its own, so that the token hashes are computed once.
     """
     h, parts = F.col("_hashes"), [f"t{i}" for i in range(k)]
-    shifted = F.arrays_zip(*[F.slice(h, F.lit(i + 1), F.greatest(F.size(h) - F.lit(k - 1), F.lit(0))).alias(t) for i, t in enumerate(parts)])
+    n = F.greatest(F.size(h) - F.lit(k - 1), F.lit(0))
+    places = F.slice(F.sequence(F.lit(0), F.size(h)), F.lit(1), n).alias("place")
+    shifted = F.arrays_zip(*[F.slice(h, F.lit(i + 1), n).alias(t) for i, t in enumerate(parts)], places)
     closed = F.filter(shifted, lambda m: F.least(m[parts[0]], m[parts[-1]]) <= F.least(*[m[t] for t in parts]))
-    anchors = F.transform(closed, lambda m: F.shiftrightunsigned(F.xxhash64(*[m[t] for t in parts]), 32))
-    short = F.array(F.shiftrightunsigned(F.xxhash64(h), 32))
-    chosen = F.when(F.size(h) >= k, anchors).when(F.size(h) > 0, short).otherwise(F.array().cast("array<bigint>"))
+    anchors = F.transform(closed, lambda m: F.struct(F.xxhash64(*[m[t] for t in parts]).alias("hash"), m["place"].alias("place")))
+    short = F.array(F.struct(F.xxhash64(h).alias("hash"), F.lit(0).alias("place")))
+    none = F.array().cast("array<struct<hash:bigint,place:int>>")
     hashed = df.withColumn("_hashes", _hashes(F.col(text_col)))
-    return hashed.withColumn(out, F.slice(F.sort_array(F.array_distinct(chosen)), 1, size)).drop("_hashes")
+    return hashed.withColumn(out, F.when(F.size(h) >= k, anchors).when(F.size(h) > 0, short).otherwise(none)).drop("_hashes")
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Estimated Jaccard likeness of two sketches, 0 to 1; two empty ones are alike."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union)).cast("double")
+def anchor_set(anchors: Column) -> Column:
+    """The ascending array of the distinct hashes of anchors, 32 bits each."""
+    return F.sort_array(F.array_distinct(F.transform(anchors, lambda a: F.shiftrightunsigned(a["hash"], 32))))
+
+
+def with_sketch(df: DataFrame, text_col: str, out: str, k: int = K, size: int | None = None) -> DataFrame:
+    """df with `out`: the anchor set of a text, or its `size` smallest hashes."""
+    found = anchor_set(F.col("_anchors"))
+    return with_anchors(df, text_col, "_anchors", k).withColumn(out, found if size is None else F.slice(found, 1, size)).drop("_anchors")
+
+
+def matched(left: DataFrame, right: DataFrame, id_col: str = "doc_id", anchors: str = "anchors") -> DataFrame:
+    """id, other, place, other_place for every pair of equal anchors of a row of left and one of right; one equi-join.
+
+    Of a passage that two texts share, all pairs have the same difference of places.
+    """
+    flat = lambda df, i, p: df.select(F.col(id_col).alias(i), F.inline(anchors)).select(i, "hash", F.col("place").alias(p))
+    return flat(left, "id", "place").join(flat(right, "other", "other_place"), "hash").select("id", "other", "place", "other_place")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard likeness of two anchor sets, 0 to 1; two empty ones are alike."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union == 0, F.lit(1.0)).otherwise(both / union).cast("double")
 
 
 def fingerprint(sk: Column) -> Column:
-    """A sketch as text: eight hex digits for each hash."""
+    """An anchor set as text: eight hex digits for each hash."""
     return F.array_join(F.transform(sk, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
 
 
@@ -101,21 +129,26 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str], rows_per_bucket:
 
 
 def op2_closed_syncmers(spark, sf_dir):
-    """Fingerprints of all documents and of their edited texts."""
+    """Anchors and fingerprints of all documents, and fingerprints of their edited texts.
+
+    Only texts are shuffled; anchors are found after that.
+    """
     docs = documents(spark, sf_dir).select("doc_id", body().alias("body"))
-    rows = with_sketch(docs, "body", "sketch")
-    paired = with_next(rows, "doc_id", ["body", "sketch"])
+    paired = with_next(docs, "doc_id", ["body"])
     n = F.length("body")
     half = F.floor(n / 2).cast("int")
     edited = paired.select(
-        "doc_id", n.cast("bigint").alias("n_chars"), "sketch", "next_sketch",
+        "doc_id", n.cast("bigint").alias("n_chars"), "body", "next_body",
         F.concat(F.substring(F.col("body"), F.lit(1), n - half), F.substring(F.col("next_body"), F.lit(1), half)).alias("edited"),
     )
-    done = with_sketch(edited, "edited", "edited_sketch").withColumn("edited_sha256", F.sha2("edited", 256))
+    done = with_anchors(edited, "body", "anchors").withColumn("sketch", anchor_set(F.col("anchors")))
+    for text in "next", "edited":
+        done = with_sketch(done, "next_body" if text == "next" else "edited", f"{text}_sketch")
     return done.select(
-        "doc_id", "n_chars", "edited_sha256",
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("sketch")).alias("fingerprint"),
         fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "anchors",
     )

@@ -267,6 +267,24 @@ def test_closed_syncmers_are_context_free(spark):
     assert got[1] and got[1] <= got[2] and not got[3] and len(got[4]) == 1
 
 
+def test_shared_passages_are_found_by_place(spark):
+    """A short passage of two long texts, an edit of one word, and an insertion without white space."""
+    rng = random.Random(18)
+    passage, a, b = sentence(rng, 60), sentence(rng, 20_000).split(" "), sentence(rng, 20_000).split(" ")
+    first, second = " ".join([*a[:9000], passage, *a[9000:]]), " ".join([*b[:300], passage, *b[300:]])
+    edit = list(a)
+    edit[77] = "changedword"
+    run = "".join(rng.choice("abcdefghijklmnop") for _ in range(3000))
+    rows = [(1, first), (2, second), (3, " ".join(a)), (4, " ".join(edit)), (5, run), (6, run[:50] + "Z" + run[50:])]
+    df = syncmers.with_sketch(syncmers.with_anchors(spark.createDataFrame(rows, "doc_id long, text string"), "text", "anchors"), "text", "sk")
+    hits = syncmers.matched(df.where("doc_id = 1"), df.where("doc_id = 2")).collect()
+    inside = [r for r in hits if 9000 <= r["place"] < 9058 and r["place"] - r["other_place"] == 8700]
+    assert len(inside) >= 20
+    sets = {r["doc_id"]: set(r["sk"]) for r in df.select("doc_id", "sk").collect()}
+    assert len(sets[3]) > 10_000 and sets[3] != sets[4] and len(sets[3] ^ sets[4]) <= 6
+    assert len(sets[5] & sets[6]) > 0.95 * len(sets[5])
+
+
 # --- tokens
 
 
