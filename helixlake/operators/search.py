@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCORES = ("jaccard", "containment", "max_containment")
+_GATHERED = "query string, round int, name string, f_query double, f_match double, shared long"
+#: Pairs (hash, match) of one query that gather_sample() hands to one task.
+GROUP_PAIRS = 500_000
 
 
 def overlaps(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -33,14 +38,14 @@ def search(queries: DataFrame, index: DataFrame, mode: str = "containment", thre
     )
 
 
-def _cover(threshold: float):
+def _cover(threshold: float, done: int = 0, uncovered: int | None = None):
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = int(pdf["n_query"].iloc[0])
         held = {name: set(part) for name, part in pdf.groupby("name")["h"]}
         size = dict(zip(pdf["name"], pdf["n_match"], strict=True))
         sample, out = pdf["query"].iloc[0], []
         left = set(pdf["h"])
-        remaining = whole
+        remaining = whole if uncovered is None else uncovered
         while held and remaining:
             scores = {}
             for name, hs in held.items():
@@ -50,7 +55,7 @@ def _cover(threshold: float):
             if not allowed:
                 break
             best = min(allowed, key=lambda n: (-scores[n], n))
-            out.append((sample, len(out) + 1, best, round(scores[best] / whole, 4), round(scores[best] / size[best], 4), scores[best]))
+            out.append((sample, done + len(out) + 1, best, round(scores[best] / whole, 4), round(scores[best] / size[best], 4), scores[best]))
             remaining -= scores[best]
             left -= held.pop(best)
         return pd.DataFrame(out, columns=["query", "round", "name", "f_query", "f_match", "shared"])
@@ -64,7 +69,8 @@ def gather(queries: DataFrame, index: DataFrame, threshold: float = 0.05, exclud
     The share that the threshold bounds has what is left as its denominator.  Matches in
     `exclude` (name) never take part.  Equal overlaps go to the smaller name.  Each
     query is covered in one group of its own, which holds the hashes of the query
-    that some match has, never the index.
+    that some match has, never the index: for many queries of a bounded size, such as
+    reads.  A whole sample is one for gather_sample().
     """
     nq = queries.groupBy("query").agg(F.count("*").alias("n_query"))
     nm = index.groupBy("name").agg(F.count("*").alias("n_match"))
@@ -72,7 +78,47 @@ def gather(queries: DataFrame, index: DataFrame, threshold: float = 0.05, exclud
     if exclude is not None:
         pairs = pairs.join(exclude.select("name").distinct(), "name", "left_anti")
     rows = pairs.join(nq, "query").join(nm, "name")
-    return rows.groupBy("query").applyInPandas(_cover(threshold), "query string, round int, name string, f_query double, f_match double, shared long")
+    return rows.groupBy("query").applyInPandas(_cover(threshold), _GATHERED)
+
+
+def gather_sample(query: DataFrame, index: DataFrame, threshold: float = 0.05, exclude: DataFrame | None = None) -> DataFrame:
+    """gather() of one query of any size.
+
+    Each round is a count by match, a top-1 and an anti-join of the pairs, kept by a
+    checkpoint, until the threshold is reached or nothing is left.  Once GROUP_PAIRS pairs
+    or fewer remain, counted, one task does the other rounds.
+    """
+    spark = query.sparkSession
+    first = query.select("query").first()
+    label, whole = first["query"] if first else None, query.count()
+    pairs = query.select("h").distinct().join(index.select("name", "h").distinct(), "h")
+    if exclude is not None:
+        pairs = pairs.join(exclude.select("name").distinct(), "name", "left_anti")
+    pairs = _kept(pairs.select("name", "h"))
+    nm = _kept(index.groupBy("name").agg(F.count("*").alias("n_match")).join(pairs.select("name").distinct(), "name", "left_semi"))
+    rounds, remaining = [], whole
+    while remaining and (n := pairs.count()):
+        if n <= GROUP_PAIRS:
+            rest = pairs.join(nm, "name").select(F.lit(label).alias("query"), "h", "name", F.lit(whole).alias("n_query"), "n_match")
+            tail = rest.groupBy("query").applyInPandas(_cover(threshold, len(rounds), remaining), _GATHERED)
+            return spark.createDataFrame(rounds, _GATHERED).unionByName(tail) if rounds else tail
+        top = pairs.groupBy("name").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "name").limit(1)
+        name, shared, size = top.join(nm, "name").select("name", "shared", "n_match").first()
+        if shared / remaining < threshold:
+            break
+        rounds.append((label, len(rounds) + 1, name, round(shared / whole, 4), round(shared / size, 4), shared))
+        remaining -= shared
+        covered = pairs.where(F.col("name") == name).select("h")
+        pairs = _kept(pairs.join(covered, "h", "left_anti").select("name", "h"))
+    return spark.createDataFrame(rounds, _GATHERED)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df behind a checkpoint, in the session's folder or one of our own where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
 
 
 def gather_round(remaining: DataFrame, index: DataFrame, whole: int) -> DataFrame:

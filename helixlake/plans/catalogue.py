@@ -118,7 +118,7 @@ def _(spark, d):
 
 @query("gather_full")
 def _gather(spark, d):
-    return S.gather(T.sample(spark, d), T.genome_index(spark, d), 0.0)
+    return S.gather_sample(T.sample(spark, d), T.genome_index(spark, d), 0.0)
 
 
 @query("gather_per_read")
@@ -130,7 +130,7 @@ def _(spark, d):
 def _(spark, d):
     index = T.genome_index(spark, d)
     out = index.where("species = 'src0'").select("name")
-    return S.gather(T.sample(spark, d), index, 0.0, out).where("round = 1").select("name", "f_query", "f_match")
+    return S.gather_sample(T.sample(spark, d), index, 0.0, out).where("round = 1").select("name", "f_query", "f_match")
 
 
 @query("detection_cumsum", _ROUNDS + "SELECT round, name AS genome, split_part(name, '@', 1) AS species, printf('%.6f', f_query) AS f_query, printf('%.6f', f_match) AS f_match, printf('%.6f', sum(f_query) OVER (ORDER BY round)) AS cum_f_query FROM f")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mapping import annotate, annotation_report, kmer_labels, label_hits_of_reads, mapped
-from ..operators.search import gather
+from ..operators.search import gather_sample
 from ..operators.sketch import sketch
 from .profile import Options, Profile, candidates, detection, profile
 
@@ -62,7 +62,7 @@ def profile_sample(
     if species is None:
         query = stage("sketch", lambda: sketch(reads.withColumn("query", F.lit("sample")), "sequence", ["query"], k, scaled))
         out = None if discarded is None else bank.join(discarded.select("species").distinct(), "species", "left_semi").select("name")
-        found = stage("gather", lambda: gather(query, bank, 0.05, out))
+        found = stage("gather", lambda: gather_sample(query, bank, 0.05, out))
         stage("detection", lambda: detection(found))
         species = [r["species"] for r in candidates(found).orderBy("first_round").collect()]  # species of one sample
     mine = F.col("species").isin(species)
