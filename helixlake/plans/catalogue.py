@@ -145,6 +145,25 @@ def _(spark, d):
     return P.candidates(found.withColumn("query", F.lit("sample"))).drop("query")
 
 
+# The three queries above stop where their SQL does; these, without SQL, do the whole job.
+
+
+@query("gather_excluding_full")
+def _(spark, d):
+    index = T.genome_index(spark, d)
+    return S.gather_sample(T.sample(spark, d), index, 0.0, index.where("species = 'src0'").select("name")).select("round", "name", "f_query", "f_match")
+
+
+@query("detection_full")
+def _(spark, d):
+    return P.detection(S.gather_sample(T.sample(spark, d), T.genome_index(spark, d), 0.05)).drop("query")
+
+
+@query("candidates_full")
+def _(spark, d):
+    return P.candidates(S.gather_sample(T.sample(spark, d), T.genome_index(spark, d), 0.05)).drop("query")
+
+
 # --- k-mer index and mapping
 
 _LABELS = f"{T.GENOME_KMERS}, lab AS (SELECT DISTINCT substr(md5(kmer), 1, 15) AS h, species AS label FROM gk)"

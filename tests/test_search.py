@@ -2,6 +2,7 @@
 
 import random
 
+import __spark_entry__ as entry
 import pytest
 from helixlake.operators import search
 
@@ -34,3 +35,23 @@ def test_gather_of_a_sample(spark, monkeypatch, most):
         want = cover(query, {n: hs for n, hs in genomes.items() if out is None or not n.startswith(out)}, threshold)
         assert len(want) > 3 and [tuple(r)[1:] for r in got] == want and {r["query"] for r in got} == {"sample"}
     assert search.gather_sample(q.where("false"), index).count() == 0 and search.gather_sample(q, index.where("false")).count() == 0
+
+
+def test_whole_detection(spark):
+    from helixlake.plans import testmap
+
+    query = {r["h"] for r in testmap.sample(spark, SMALL).collect()}
+    genomes = {}
+    for r in testmap.genome_index(spark, SMALL).collect():
+        genomes.setdefault(r["name"], set()).add(r["h"])
+    run = lambda name: entry.queries()[name](spark, SMALL).orderBy(*(["first_round"] if name.startswith("cand") else ["round"])).collect()
+    want, total = cover(query, genomes, 0.05), 0
+    for r, (k, name, f_query, f_match, _) in zip(run("detection_full"), want, strict=True):
+        total += f_query
+        assert (r["round"], r["genome"], r["f_query"], r["f_match"], r["cum_f_query"]) == (k, name, f"{f_query:.6f}", f"{f_match:.6f}", f"{total:.6f}")
+    first = {}
+    for k, name, *_ in want:
+        first.setdefault(name.split("@")[0], k)
+    assert {r["species"]: r["first_round"] for r in run("candidates_full")} == first
+    rest = cover(query, {n: hs for n, hs in genomes.items() if not n.startswith("src0@")}, 0.0)
+    assert [tuple(r) for r in run("gather_excluding_full")] == [r[:4] for r in rest]
