@@ -14,11 +14,16 @@ from .textbatch import slices
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is set."""
+    """The cluster's shared checkpoint folder; a folder of our own only in local mode, where none is set."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        have = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
+        if known.isDefined():
+            have = known.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            have = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(have)
     return have
@@ -33,7 +38,18 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing will read again."""
+    for df in tables:
+        if path := vars(df).get("_written_to"):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,12 +142,16 @@ def test_near_dedup_of_a_loose_family(spark, monkeypatch):
         for k in rng.sample(range(150), rng.choice([2, 6, 9, 14])):
             w[k] = f"w{rng.randint(0, 10**6)}"
         rows.append((1000 - i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_near(near_dedup.near_duplicates(docs), rows)
     monkeypatch.setattr(near_dedup, "BLOCK", 32)
-    check_near(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
-    monkeypatch.setattr(near_dedup, "COUNTED", 20)
-    monkeypatch.setattr(near_dedup, "STARS", 0)
+    check_near(near_dedup.near_duplicates(docs), rows)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "CENTRES", 1)
+    monkeypatch.setattr(near_dedup, "ELEMENTS", 600)
+    monkeypatch.setattr(near_dedup, "SHORT", 2)
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
-    check_near(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    check_near(near_dedup.near_duplicates(docs), rows)
 
 
 # --- repeated strings
