@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .shared import body, documents, written
 
 PREFIX_CHARS = 64
+#: Lengths that may be broadcast, 8 bytes each.  There are no more of them than the longest text has characters.
+BROADCAST_LENGTHS = 1_000_000
 #: Surviving (length, prefix) cells that may be broadcast: 16 bytes each, 3 MB in all.
 BROADCAST_CELLS = 200_000
 #: Texts with copies that may be broadcast: a hash of 64 characters and an id each.
@@ -29,10 +31,20 @@ BROADCAST_GROUPS = 500_000
 
 
 def surviving_cells(docs: DataFrame, text_col: str = "text", prefix: int = PREFIX_CHARS) -> DataFrame:
-    """(n, p) of every length and prefix hash that two or more rows have."""
-    lengths = docs.select(F.length(body(text_col)).alias("n")).groupBy("n").agg(F.count("*").alias("rows")).where("rows > 1").select("n")
+    """(n, p) of every length and prefix hash that two or more rows have.
+
+    The lengths are broadcast after a count, so rows of a frequent length stay where they
+    are and are counted there first.  Beyond the bound rows are counted before they meet
+    the lengths.
+    """
+    lengths = written(docs.select(F.length(body(text_col)).alias("n")).groupBy("n").agg(F.count("*").alias("rows")).where("rows > 1").select("n"))
     keyed = docs.select(F.length(body(text_col)).alias("n"), F.xxhash64(F.substring(body(text_col), 1, prefix)).alias("p"))
-    return keyed.join(lengths, "n", "left_semi").groupBy("n", "p").agg(F.count("*").alias("rows")).where("rows > 1").select("n", "p")
+    counted = F.count("*").alias("rows")
+    if lengths.count() <= BROADCAST_LENGTHS:
+        cells = keyed.join(F.broadcast(lengths), "n", "left_semi").groupBy("n", "p").agg(counted)
+    else:
+        cells = keyed.groupBy("n", "p").agg(counted).join(lengths, "n", "left_semi")
+    return cells.where("rows > 1").select("n", "p")
 
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX_CHARS) -> DataFrame:
