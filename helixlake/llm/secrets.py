@@ -7,6 +7,11 @@ query names, intersected by document, and evaluated; the documents that remain f
 a rule are verified with the regular expression itself.  A rule without mandatory
 trigrams is run over every document.
 
+The index knows a document by the hash of its text, since the verdict depends on
+nothing else: ids may be missing or repeated, copies are indexed alike, and two texts
+that shared a hash would only be verified in vain.  Candidates are broadcast after a
+count, so that no text is shuffled.
+
 Trigrams are taken from the lower-cased text, so a case-insensitive rule and a
 case-sensitive one use the same postings; folding can only add candidates.
 """
@@ -14,13 +19,14 @@ case-sensitive one use the same postings; folding can only add candidates.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import body, documents
+from .shared import body, documents, written
 
 try:  # the standard library's own parser of its patterns
     from re import _parser as sre_parse
@@ -36,6 +42,8 @@ class Rule:
     group: int = 0
     least: int = 0
     base: bool = False
+    #: The pattern whose matches are masked, where it is not `regex`.
+    hide: str = ""
 
 
 _HEADER = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
@@ -47,10 +55,14 @@ _TO_FOOTER = r"(?:(?!-----)[\s\S])*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
 _FIELDS = r"(?:(?:\s|\\[nr])*(?:Proc-Type|DEK-Info):[^\r\n\\]*){0,4}"
 _RUN = r"""(?:(?=[A-Za-z0-9+/=]|[\s\\"'>#*|,]{1,16}(?:[A-Za-z0-9+/]{16}|[A-Za-z0-9+/]{1,15}(?:=|\s*[\r\n]|\\[nr]|["']|\s*\Z)))[A-Za-z0-9+/=\s\\"'>#*|,])*"""
 
+_NAMED = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]"""
+
 #: The base rules come first, in the order in which kinds are listed.  A run of one
 #: character class with a least length is the same as the run with that length tested.
+#: Of assignments those of a short value consume text but are no secrets; what is hidden
+#: starts at the first long value.
 RULES = (
-    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
+    Rule("assign", _NAMED + "+)", 2, 12, True, _NAMED + "{12,})"),
     Rule("access", r"AKIA[A-Z0-9]{14,}", 0, 18, True),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, True),
     Rule("private_key", f"{_HEADER}(?:{_TO_FOOTER}|{_FIELDS}{_RUN})"),
@@ -120,27 +132,37 @@ def trigram_query(regex: str) -> list[set[frozenset[str]]]:
     return clauses
 
 
-def postings(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(trigram, id): the inverted index for the given trigrams."""
-    lower = docs.select(F.col(id_col).alias("id"), F.lower(body(text_col)).alias("lower"))
+#: Candidates (a hash and a number each) that may be broadcast: about 40 MB.
+BROADCAST_CANDIDATES = 500_000
+#: Numbers whose running sum is taken at once; longer arrays are cut into blocks of that size.
+SUMMED = 128
+
+
+def _key(text_col: str) -> Column:
+    return F.xxhash64(body(text_col))
+
+
+def postings(docs: DataFrame, trigrams: list[str], text_col: str = "text") -> DataFrame:
+    """(trigram, doc): the inverted index for the given trigrams; doc is the hash of a text."""
+    lower = docs.select(_key(text_col).alias("doc"), F.lower(body(text_col)).alias("lower"))
     held = F.array_compact(F.array(*[F.when(F.contains("lower", F.lit(t)), F.lit(t)) for t in trigrams]))
-    return lower.select(F.explode(held).alias("trigram"), "id")
+    return lower.select(F.explode(held).alias("trigram"), "doc")
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rules): the kinds whose trigram query the document meets."""
-    wanted = {r.kind: q for r in rules if (q := trigram_query(r.regex))}
+def candidates(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text") -> DataFrame:
+    """(doc, rules): the rules, by the bits of a number, whose trigram query a text meets."""
+    wanted = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.regex))}
     names = sorted({t for q in wanted.values() for clause in q for option in clause for t in option})
     if not names:
-        return docs.select(F.col(id_col).alias("id"), F.array().cast("array<string>").alias("rules")).where("false")
+        return docs.select(_key(text_col).alias("doc"), F.lit(0).cast("bigint").alias("rules")).where("false")
     place = {t: (i // 62, i % 62) for i, t in enumerate(names)}
     masks = F.array(*[
         F.struct(F.lit(t).alias("trigram"), F.lit(place[t][0]).alias("word"), F.lit(1 << place[t][1]).cast("bigint").alias("bit")) for t in names
     ])
-    index = postings(docs, names, id_col, text_col)
+    index = postings(docs, names, text_col)
     table = docs.sparkSession.range(1).select(F.explode(masks).alias("m")).select("m.*")  # one row for each trigram of the rules
     words = max(w for w, _ in place.values()) + 1
-    found = index.join(F.broadcast(table), "trigram").groupBy("id").agg(*[
+    found = index.join(F.broadcast(table), "trigram").groupBy("doc").agg(*[
         F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0).cast("bigint")).alias(f"m{w}") for w in range(words)
     ])
 
@@ -161,53 +183,72 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id",
             out = out & one
         return out
 
-    kinds = F.array_compact(F.array(*[F.when(met(q), F.lit(kind)) for kind, q in wanted.items()]))
-    return found.select("id", kinds.alias("rules")).where(F.size("rules") > 0)
+    bits = F.lit(0).cast("bigint")
+    for k, q in wanted.items():
+        bits = bits + F.when(met(q), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return found.select("doc", bits.alias("rules")).where("rules <> 0")
+
+
+def with_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> tuple[DataFrame, list[Column]]:
+    """docs, all columns, with what the index says of each text; and whether a text is to be verified, for each rule."""
+    cand = written(candidates(docs, rules, text_col).select(F.col("doc").alias("__secret_doc"), F.col("rules").alias("__secret_rules")))
+    few = cand.count() <= BROADCAST_CANDIDATES
+    told = docs.join(F.broadcast(cand) if few else cand, _key(text_col) == cand["__secret_doc"], "left")
+    named = F.coalesce(cand["__secret_rules"], F.lit(0).cast("bigint"))
+    return told, [(named.bitwiseAND(F.lit(1 << k).cast("bigint")) != 0) if trigram_query(r.regex) else F.lit(True) for k, r in enumerate(rules)]
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def running_sums(numbers: Column) -> Column:
+    """The running sums of a non-empty array of int: within blocks, to which the sums of the blocks before are added."""
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / SUMMED).cast("int")), lambda b: F.slice(a, b * SUMMED + 1, SUMMED))
+    within = lambda x, base: F.transform(x, lambda _, j: base + _total(F.slice(x, F.lit(1), j + 1)))
+    joined = lambda blocks, totals: F.flatten(F.transform(blocks, lambda x, i: _let(_total(F.slice(totals, F.lit(1), i)), lambda base: within(x, base))))
+    return _let(_let(numbers, cut), lambda blocks: _let(F.transform(blocks, _total), lambda totals: joined(blocks, totals)))
 
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Structs (start, k, end, kind) of a rule's matches, in code points, end exclusive.
 
-    The text between matches comes from a split by the same pattern, so starts are
-    sums of lengths.  The pattern runs once for a text without a match.
+    The text between matches comes from a split by the same pattern, so ends are running
+    sums of lengths.  The pattern runs once for a text without a match, and four times for
+    one with matches, however many.
     """
-    whole = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    tested = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else whole
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(group)), F.length)
     between = F.transform(F.split(text, rule.regex, -1), F.length)
-    sizes = F.transform(whole, F.length)
-    ends = lambda n: F.aggregate(F.slice(between, 1, n), F.lit(0), lambda a, x: a + x)
-    before = lambda n: F.aggregate(F.slice(sizes, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    rows = F.transform(
-        F.arrays_zip(whole.alias("w"), tested.alias("t")),
-        lambda m, i: F.struct(
-            (ends(i + 1) + before(i)).alias("start"),
-            F.lit(order).alias("k"),
-            (ends(i + 1) + before(i + 1)).alias("end"),
-            F.lit(rule.kind).alias("kind"),
-            F.length(m["t"]).alias("size"),
-        ),
-    )
-    kept = F.filter(rows, lambda r: r["size"] >= rule.least)
-    slim = F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["k"].alias("k"), r["end"].alias("end"), r["kind"].alias("kind")))
+    parts = F.arrays_zip(F.slice(between, F.lit(1), F.size(between) - 1).alias("gap"), lengths(0).alias("size"), lengths(rule.group).alias("tested"))
+
+    def placed(parts: Column) -> Column:
+        ends = running_sums(F.transform(parts, lambda m: m["gap"] + m["size"]))
+        rows = F.transform(F.arrays_zip(parts.alias("m"), ends.alias("end")), lambda r: F.struct(
+            (r["end"] - r["m"]["size"]).alias("start"), F.lit(order).alias("k"), r["end"].alias("end"), F.lit(rule.kind).alias("kind"), r["m"]["tested"].alias("tested"),
+        ))
+        kept = F.filter(rows, lambda r: r["tested"] >= rule.least)
+        return F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["k"].alias("k"), r["end"].alias("end"), r["kind"].alias("kind")))
+
     none = F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>")
-    return F.when(text.rlike(rule.regex), slim).otherwise(none)
+    return F.when(text.rlike(rule.regex), _let(parts, placed)).otherwise(none)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "found") -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "found") -> DataFrame:
     """docs, all columns, with `out`: an array of (start, k, end, kind) by start and rule.
 
     Null and empty texts have no spans.  Spans of one kind do not overlap, those of
-    different kinds may.  Rows that repeat an id are each scanned on their own text.
+    different kinds may.  Every row is scanned on its own text, whatever its id.
     """
-    cand = candidates(docs, rules, id_col, text_col).select(F.col("id").alias("__secret_id"), F.col("rules").alias("__secret_rules"))
-    joined = docs.join(cand, docs[id_col].eqNullSafe(cand["__secret_id"]), "left")
+    told, asked = with_rules(docs, rules, text_col)
     text = body(text_col)
     none = F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>")
-    parts = []
-    for k, rule in enumerate(rules):
-        one = spans(text, rule, k)
-        parts.append(F.when(F.array_contains("__secret_rules", rule.kind), one).otherwise(none) if trigram_query(rule.regex) else one)
-    return joined.select(*[docs[c] for c in docs.columns if c != out], F.array_sort(F.concat(*parts)).alias(out))
+    parts = [F.when(ask, spans(text, rule, k)).otherwise(none) for k, (rule, ask) in enumerate(zip(rules, asked, strict=True))]
+    return told.select(*[docs[c] for c in docs.columns if c != out], F.array_sort(F.concat(*parts)).alias(out))
 
 
 def joined_spans(found: Column) -> Column:
@@ -227,35 +268,18 @@ def op8_secret_scan(spark, sf_dir):
     )
 
 
-def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every found secret replaced by [kind]; overlapping spans become one.
+def masked(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with every secret replaced by [kind]; the longest rules first, keys before all others.
 
-    The texts of rows without a secret are unchanged, nulls stay null.
+    Each rule is one replacement in what the rules before it have left, so the time is
+    linear in the text.  Texts without a secret are unchanged, nulls stay null.
     """
-    found = find_secrets(docs, id_col, text_col, out="__found")
-    text = body(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-
-    clean = F.aggregate("__found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("__found") > 0, clean).otherwise(F.col(text_col))
-    return found.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
-
-
-def brute_force(text: str | None) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of the base rules, straight from their definition; for tests."""
-    plain = (
-        ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, re.I | re.A),
-        ("access", r"AKIA[A-Z0-9]+", 0, 18, 0),
-        ("hex", r"[0-9a-f]+", 0, 16, 0),
-    )
-    out = []
-    for k, (kind, regex, group, least, flags) in enumerate(plain):
-        out += [(m.start(), k, kind, m.end()) for m in re.finditer(regex, text or "", flags) if len(m[group]) >= least]
-    return [(s, kind, e) for s, _, kind, e in sorted(out)]
+    told, asked = with_rules(docs, rules, text_col)
 
+    def hidden(rule: Rule, ask: Column) -> Callable[[Column], Column]:
+        return lambda t: F.when(ask, F.regexp_replace(t, rule.hide or rule.regex, f"[{rule.kind}]")).otherwise(t)
 
+    clean = F.col(text_col)
+    for rule, ask in sorted(zip(rules, asked, strict=True), key=lambda x: x[0].kind != "private_key"):
+        clean = _let(clean, hidden(rule, ask))
+    return told.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns])
