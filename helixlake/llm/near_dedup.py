@@ -50,6 +50,8 @@ BLOCK, ELEMENTS = 1024, 1 << 20
 CENTRES = 4
 #: Candidates whose ids and families may be broadcast (about 100 bytes each).
 BROADCAST_IDS = 500_000
+#: Keys of long lists that may be broadcast.
+BROADCAST_LISTS = 500_000
 #: Ids of removed documents that may be broadcast; their hash table takes about 100 MB of each executor.
 BROADCAST_GONE = 2_000_000
 #: Lists up to this length are counted many at a time.
@@ -139,21 +141,32 @@ def _posted(batch: pa.RecordBatch) -> dict[str, pa.Array]:
 
 
 def prefix_postings(reps: DataFrame) -> DataFrame:
-    """(key, id, n): the postings of each document's prefix, of values that documents share, and the length of each list.
-
-    Lists with one member left are dropped, and of lists with the same members (by their
-    number and two exclusive sums of hashes) all but one.
-    """
+    """(key, id): the postings of each document's prefix, of values that documents share."""
     posts = reps.select("id", "sig").mapInArrow(_batches(_posted), "key long, id long")
     shared = posts.join(posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key")
     own = W.partitionBy("id")  # at most K rows
     ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("df", "key"))).withColumn("held", F.count("*").over(own))
-    prefix = written(ranked.where(F.col("rank") <= F.col("held") - MATCHES + 1).select("key", "id"))
-    made_of = prefix.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("y"))
-    one = made_of.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    lists = written(prefix.join(one.select("key", "n"), "key"))
-    discard(prefix)
-    return lists
+    return ranked.where(F.col("rank") <= F.col("held") - MATCHES + 1).select("key", "id")
+
+
+def lists(prefix: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lists of prefix postings, short ones (key, id) and long ones of more than BLOCK
+    documents (key, id, root); and the written table of keys that both read.
+
+    Lists with one member are left out, and of lists with the same members (by their
+    number and two exclusive sums of hashes) all but one.  root is the least id of a
+    list.  Keys of long lists are broadcast after a count, so their postings stay where
+    they are; no task is dealt more than a short list of one key.
+    """
+    made_of = prefix.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("id").alias("root"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("y")
+    ).where("n > 1")
+    made_of = written(made_of)
+    one = made_of.groupBy("n", "x", "y").agg(F.min(F.struct("key", "root")).alias("l")).select("n", "l.key", "l.root")
+    long, every = one.where(F.col("n") > BLOCK).select("key", "root"), made_of.where(F.col("n") > BLOCK).select("key")
+    hint = F.broadcast if every.count() <= BROADCAST_LISTS else lambda df: df
+    short = prefix.join(hint(every), "key", "left_anti").join(one.where(F.col("n") <= BLOCK).select("key"), "key")
+    return short, prefix.join(hint(long), "key").select("key", "id", "root"), made_of
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -248,14 +261,13 @@ def candidate_postings(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A list longer than BLOCK stands as one family here; step 6 counts its collisions.
     """
-    lists = prefix_postings(reps)
+    prefix = written(prefix_postings(reps))
     low = written(reps.mapInArrow(_batches(_bytes_of), "id long, sig binary"))
-    counted = lists.where(F.col("n") <= BLOCK).join(low, "id").select("key", "id", "sig")
+    short, long, made_of = lists(prefix)
+    counted = short.join(low, "id").select("key", "id", "sig")
     kept = counted.repartition("key").sortWithinPartitions("key").mapInArrow(_colliding, "key long, id long, root long")
-    long = lists.where(F.col("n") > BLOCK).select("key", "id")
-    first = long.groupBy("key").agg(F.min("id").alias("root"))
-    found = written(kept.unionByName(long.join(first, "key").select("key", "id", "root")))
-    discard(lists)
+    found = written(kept.unionByName(long))
+    discard(prefix, made_of)
     return found, low
 
 
@@ -389,8 +401,8 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def crossing_links(docs: DataFrame, lists: DataFrame, low: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Confirmed links between documents of lists (key, id, family, comp) that lie in different components.
+def crossing_links(docs: DataFrame, apart: DataFrame, low: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Confirmed links between documents of the lists apart (key, id, family, comp) that lie in different components.
 
     A family that its lists would cover in more blocks than it has itself is taken as one list.
     """
@@ -400,13 +412,13 @@ def crossing_links(docs: DataFrame, lists: DataFrame, low: DataFrame, id_col: st
         return mixed.select("family", "key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("asks"))
 
     cost = F.sum(F.col("parts").cast("double") * F.col("asks"))
-    whole = lists.select("family", F.col("family").alias("key"), "id", "comp").distinct()
-    by_list, by_family = split(lists), split(whole)
+    whole = apart.select("family", F.col("family").alias("key"), "id", "comp").distinct()
+    by_list, by_family = split(apart), split(whole)
     either = by_list.groupBy("family").agg(cost.alias("a")).join(by_family.groupBy("family").agg(cost.alias("b")), "family")
     cheaper = written(either.select("family", (F.col("b") <= F.col("a")).alias("own")))
     own = cheaper.where("own").select("family")
     rows = written(
-        lists.join(cheaper.where("not own").select("family"), "family").join(by_list, ["family", "key"]).select("key", "id", "comp", "main", "parts", "asks")
+        apart.join(cheaper.where("not own").select("family"), "family").join(by_list, ["family", "key"]).select("key", "id", "comp", "main", "parts", "asks")
         .unionByName(whole.join(own, "family").join(by_family, ["family", "key"]).select((-F.col("key") - 1).alias("key"), "id", "comp", "main", "parts", "asks"))
     )
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
@@ -478,10 +490,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = joined_components(written(dealt.select("id", F.col("id").alias("comp"))), links)
     large = dealt.where("parts > 1").select("id", "family")
     if not large.isEmpty():
-        lists = written(active.select("key", "id").join(large, "id").join(comps, "id").select("key", "id", "family", "comp"))
-        crossed = crossing_links(docs, lists, low, id_col, text_col, shingle)
+        apart = written(active.select("key", "id").join(large, "id").join(comps, "id").select("key", "id", "family", "comp"))
+        crossed = crossing_links(docs, apart, low, id_col, text_col, shingle)
         comps = joined_components(comps, crossed)
-        discard(lists, crossed)
+        discard(apart, crossed)
     discard(active, low, dealt, links)
     labelled = classes.select("digest", "rep").join(comps, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     alone = F.concat(F.lit("id "), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary")
@@ -492,29 +504,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs, all columns, with one document of each component: the one with the smallest id.
+def keep_by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """keep_representatives() of a table whose ids are all given, and differ.
 
-    Rows without an id stay.  Rows that repeat an id share its fate.  The texts are
-    shuffled only if more than BROADCAST_GONE documents go.
+    The texts are shuffled only if more than BROADCAST_GONE documents go.
     """
     gone = written(near_duplicates(docs, id_col, text_col, shingle).where(~F.col("kept")).select(F.col(id_col).alias("__gone_id")).distinct())
     few = gone.count() <= BROADCAST_GONE
     return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("bigint") == gone["__gone_id"], "left_anti")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """keep_representatives() decided row by row: rows that share an id, or have none, are documents of their own.
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """docs, all columns, with one document of each component: the one with the smallest id.
 
-    Where ids are missing or repeated, the rows are numbered by id and text first, those
+    Decided row by row: rows that share an id, or have none, are documents of their own.
+    Null and empty texts, and texts without words, all stay.  Where ids are missing or repeated, the rows are numbered by id and text first, those
     without an id last, which costs one shuffle of the texts.
     """
     ids = docs.select(F.col(id_col).alias("id"))
     if ids.where("id is null").isEmpty() and ids.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
-        return keep_representatives(docs, id_col, text_col, shingle)
+        return keep_by_id(docs, id_col, text_col, shingle)
     ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     rows = written(ordered.withColumn("__row_id", F.monotonically_increasing_id()))
-    return keep_representatives(rows, "__row_id", text_col, shingle).select(*docs.columns)
+    return keep_by_id(rows, "__row_id", text_col, shingle).select(*docs.columns)
 
 
 def op5_minhash_near_dedup(spark, sf_dir):

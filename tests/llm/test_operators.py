@@ -127,7 +127,7 @@ def test_near_dedup_removes_ids_by_either_join(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "near_duplicates", lambda *_: found)
     for most in near_dedup.BROADCAST_GONE, 0:
         monkeypatch.setattr(near_dedup, "BROADCAST_GONE", most)
-        got = near_dedup.keep_representatives(docs)
+        got = near_dedup.keep_by_id(docs)
         assert got.columns == docs.columns
         assert ("strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()) == (most > 0)
         assert sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "3", "None"]
@@ -152,6 +152,7 @@ def test_near_dedup_of_a_loose_family(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "ELEMENTS", 600)
     monkeypatch.setattr(near_dedup, "SHORT", 2)
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(near_dedup, "BROADCAST_LISTS", 0)
     check_near(near_dedup.near_duplicates(docs), rows)
 
 
