@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 
 from helixlake.llm.exact_dedup import keep_one_copy
 from helixlake.llm.language_id import UNDETERMINED, identify_rows, trained
-from helixlake.llm.near_dedup import keep_one_of_each
+from helixlake.llm.near_dedup import keep_representatives
 from helixlake.llm.packing import pack_documents
 from helixlake.llm.secrets import masked
-from helixlake.llm.shared import documents, written
+from helixlake.llm.shared import discard, documents, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not undetermined; the model is learned from all rows of `documents`.
 
     A low score is no evidence against a text: short texts, texts of rare words and texts
-    that many related languages share all have one.  So only texts without a letter go.
+    that many related languages share all have one.  So only texts without a letter go,
+    null and empty ones included.  Each row is judged by its own text, ids play no part.
     """
     model = trained(documents(spark, sf_dir))
     told = identify_rows(docs, model)
@@ -30,17 +31,28 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: one with the largest id."""
+    """One row of each group of equal texts: one with the largest id.
+
+    Null is the empty text.  A row goes only if an equal text stays, also where ids are
+    repeated or missing.
+    """
     return keep_one_copy(docs, repeats=False)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates on five-word shingles: the one with the smallest id."""
-    return keep_one_of_each(docs, shingle=5)
+    """One document of each group of near-duplicates, by the operator's own sets: the one with the smallest id.
+
+    Null texts, empty ones and those without words stay; rows that share an id, or have
+    none, are decided one by one.
+    """
+    return keep_representatives(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; every secret found is replaced by the name of its kind, and n_chars follows."""
+    """All documents; every secret found is replaced by the name of its kind, and n_chars follows.
+
+    Nulls and texts without a secret stay as they are; each row is masked by its own text.
+    """
     clean = masked(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -49,7 +61,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences; a null or empty text is one end mark, each row is packed."""
     return pack_documents(docs)
 
 
@@ -66,10 +78,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder before the next reads it."""
+    """All stages over `documents`, each written to the shared folder before the next reads it.
+
+    An empty table passes through all stages; a stage's input is deleted once its result is written.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = written(docs)
+            discard(last)
     return docs
