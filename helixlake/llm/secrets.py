@@ -26,7 +26,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import body, documents, written
+from .shared import body, documents, let, written
 
 try:  # the standard library's own parser of its patterns
     from re import _parser as sre_parse
@@ -198,11 +198,6 @@ def with_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> tuple
     return told, [(named.bitwiseAND(F.lit(1 << k).cast("bigint")) != 0) if trigram_query(r.regex) else F.lit(True) for k, r in enumerate(rules)]
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where the value is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
@@ -211,8 +206,8 @@ def running_sums(numbers: Column) -> Column:
     """The running sums of a non-empty array of int: within blocks, to which the sums of the blocks before are added."""
     cut = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / SUMMED).cast("int")), lambda b: F.slice(a, b * SUMMED + 1, SUMMED))
     within = lambda x, base: F.transform(x, lambda _, j: base + _total(F.slice(x, F.lit(1), j + 1)))
-    joined = lambda blocks, totals: F.flatten(F.transform(blocks, lambda x, i: _let(_total(F.slice(totals, F.lit(1), i)), lambda base: within(x, base))))
-    return _let(_let(numbers, cut), lambda blocks: _let(F.transform(blocks, _total), lambda totals: joined(blocks, totals)))
+    joined = lambda blocks, totals: F.flatten(F.transform(blocks, lambda x, i: let(_total(F.slice(totals, F.lit(1), i)), lambda base: within(x, base))))
+    return let(let(numbers, cut), lambda blocks: let(F.transform(blocks, _total), lambda totals: joined(blocks, totals)))
 
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
@@ -235,7 +230,7 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
         return F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["k"].alias("k"), r["end"].alias("end"), r["kind"].alias("kind")))
 
     none = F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>")
-    return F.when(text.rlike(rule.regex), _let(parts, placed)).otherwise(none)
+    return F.when(text.rlike(rule.regex), let(parts, placed)).otherwise(none)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "found") -> DataFrame:
@@ -281,5 +276,5 @@ def masked(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
 
     clean = F.col(text_col)
     for rule, ask in sorted(zip(rules, asked, strict=True), key=lambda x: x[0].kind != "private_key"):
-        clean = _let(clean, hidden(rule, ask))
+        clean = let(clean, hidden(rule, ask))
     return told.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns])

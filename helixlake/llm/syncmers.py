@@ -3,8 +3,8 @@
 The alphabet is tokens: runs of up to CHUNK characters that are not white space; of a
 longer run every substring of WINDOW characters is a token, so that an inserted
 character changes the tokens about it and no others.  A k-mer is K tokens in a row,
-and its inner substrings are its S-token parts.  It is a closed syncmer, or anchor, if
-the smallest inner hash stands first or last.  Whether a k-mer is chosen depends on
+and its inner substrings are its parts of S tokens.  It is a closed syncmer, or anchor,
+if the smallest inner hash stands first or last, which holds for 2 of K - S + 1.  Whether a k-mer is chosen depends on
 the k-mer alone, so a passage keeps its anchors wherever it is moved.
 
 Every anchor is kept with its place, and passages are matched on those.  The
@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import body, documents
+from .shared import body, documents, let
 
-K, S, CHUNK, WINDOW = 3, 1, 16, 8
-#: Cells of the id range that are counted to place bucket bounds, and rows aimed at.
-CELLS, ROWS_PER_BUCKET = 65_536, 4_000
+K, S, CHUNK, WINDOW = 5, 2, 16, 8
+#: Cells of the id range that are counted at a time to place bucket bounds, and rows aimed at.
+CELLS, ROWS_PER_BUCKET, LEVELS = 65_536, 4_000, 4
 
 
 def _hashes(text: Column) -> Column:
@@ -31,23 +31,32 @@ def _hashes(text: Column) -> Column:
     return F.transform(F.when(text.rlike(rf"\S{{{CHUNK + 1}}}"), cut).otherwise(runs), lambda t: F.xxhash64(t))
 
 
-def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K) -> DataFrame:
+def _shifted(of: Column, n: Column, count: int) -> list[Column]:
+    """The first n items of an array, of the array less its first item, and so on."""
+    return [F.slice(of, F.lit(i + 1), n).alias(f"t{i}") for i in range(count)]
+
+
+def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K, inner: int = S) -> DataFrame:
     """df with `out`: every closed syncmer of a text as (hash, place), by place.
 
     The place is the number of the k-mer's first token, from 0.  A text with fewer than
     k tokens has one anchor, all its tokens; a text without tokens has none.  Each step
-    is a projection of its own, so that the token hashes are computed once.
+    is a projection of its own, so that the hashes are computed once.
     """
-    h, parts = F.col("_hashes"), [f"t{i}" for i in range(k)]
-    n = F.greatest(F.size(h) - F.lit(k - 1), F.lit(0))
-    places = F.slice(F.sequence(F.lit(0), F.size(h)), F.lit(1), n).alias("place")
-    shifted = F.arrays_zip(*[F.slice(h, F.lit(i + 1), n).alias(t) for i, t in enumerate(parts)], places)
-    closed = F.filter(shifted, lambda m: F.least(m[parts[0]], m[parts[-1]]) <= F.least(*[m[t] for t in parts]))
+    if not 0 < inner < k:
+        raise ValueError("inner substrings are shorter than a k-mer")
+    h, s, width = F.col("_hashes"), F.col("_inner"), k - inner + 1
+    parts = [f"t{i}" for i in range(width)]
+    at_least = lambda n: F.greatest(n, F.lit(0))
+    joined = F.transform(F.arrays_zip(*_shifted(h, at_least(F.size(h) - (inner - 1)), inner)), lambda m: F.xxhash64(*[m[f"t{i}"] for i in range(inner)]))
+    n = at_least(F.size(s) - (width - 1))
+    places = F.slice(F.sequence(F.lit(0), F.size(s)), F.lit(1), n).alias("place")
+    closed = F.filter(F.arrays_zip(*_shifted(s, n, width), places), lambda m: F.least(m[parts[0]], m[parts[-1]]) <= F.least(*[m[t] for t in parts]))
     anchors = F.transform(closed, lambda m: F.struct(F.xxhash64(*[m[t] for t in parts]).alias("hash"), m["place"].alias("place")))
     short = F.array(F.struct(F.xxhash64(h).alias("hash"), F.lit(0).alias("place")))
     none = F.array().cast("array<struct<hash:bigint,place:int>>")
-    hashed = df.withColumn("_hashes", _hashes(F.col(text_col)))
-    return hashed.withColumn(out, F.when(F.size(h) >= k, anchors).when(F.size(h) > 0, short).otherwise(none)).drop("_hashes")
+    hashed = df.withColumn("_hashes", _hashes(F.col(text_col))).withColumn("_inner", joined)
+    return hashed.withColumn(out, F.when(F.size(h) >= k, anchors).when(F.size(h) > 0, short).otherwise(none)).drop("_hashes", "_inner")
 
 
 def anchor_set(anchors: Column) -> Column:
@@ -86,41 +95,116 @@ def _constant(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+class Buckets:
+    """Buckets of neighbouring ids with about as many rows each, from counts of fixed size.
+
+    The id range is cut into cells, which are counted; a cell with more rows than a bucket
+    should have is cut again, up to LEVELS times and as long as its ids differ.  So a few
+    ids far from all others cost one more count, and rows of one id stay together.
+    """
+
+    def __init__(self, ids: DataFrame, rows_per_bucket: int, cells: int):
+        n, lo, hi = ids.agg(F.count("*"), F.min("id"), F.max("id")).first()
+        lo, hi = (0, 0) if lo is None else (lo, hi)
+        self.null = lo - 1
+        self.most = max(rows_per_bucket, -(-2 * n // cells))
+        given = ids.select(self.ident(F.col("id")).alias("ident"))
+        nodes, size = [(lo - 1, max(1, -(-(hi - lo + 2) // cells)))], cells
+        #: Of each level: first id and width of the cells of its nodes, cells of a node, and (rows, last id) and next node by (node, cell).
+        self.levels: list[tuple[list, int, dict, dict]] = []
+        while nodes and len(self.levels) < LEVELS:
+            self.levels.append((nodes, size, {}, {}))
+            at = self._walk(F.col("ident"))
+            reached = given.select(at.alias("at"), "ident").where("at.node >= 0").groupBy("at.node", "at.cell").agg(F.count("*").alias("n"), F.max("ident").alias("most"))
+            counts = {(r["node"], r["cell"]): (r["n"], int(r["most"])) for r in reached.collect()}  # at most as many as cells were made
+            heavy = sorted(x for x, (rows, _) in counts.items() if rows > self.most and nodes[x[0]][1] > 1) if len(self.levels) < LEVELS else []
+            self.levels[-1] = (nodes, size, counts, {x: i for i, x in enumerate(heavy)})
+            below = max(16, cells // max(1, len(heavy)))
+            nodes, size = [(nodes[k][0] + c * nodes[k][1], max(1, -(-nodes[k][1] // below))) for k, c in heavy], below
+        self.heads: list[int] = []
+        self.bucket: list[dict] = [{} for _ in self.levels]
+        self.filled = 0
+        self._fill(0, 0)
+
+    def ident(self, id_col: Column) -> Column:
+        return F.coalesce(id_col.cast("decimal(20,0)"), F.lit(self.null).cast("decimal(20,0)"))
+
+    def _fill(self, level: int, node: int) -> None:
+        _, _, counts, below = self.levels[level]
+        for at in sorted(a for a in counts if a[0] == node):
+            if at in below:
+                self._fill(level + 1, below[at])
+                continue
+            rows, most = counts[at]
+            if not self.heads or self.filled >= self.most:
+                self.heads.append(most)
+                self.filled = 0
+            self.heads[-1] = max(self.heads[-1], most)
+            self.filled += rows
+            self.bucket[level][at] = len(self.heads) - 1
+
+    def _walk(self, ident: Column) -> Column:
+        """(node, cell) of an id at the last level, or node -1 where a level before holds its bucket."""
+
+        def cell_of(level: int, node: Column) -> Column:
+            nodes, size, *_ = self.levels[level]
+            of = lambda i: F.get(_constant([x[i] for x in nodes], "decimal(20,0)"), F.greatest(node, F.lit(0)))
+            return F.greatest(F.lit(0), F.least(F.lit(size - 1), F.floor((ident - of(0)) / of(1)))).cast("int")
+
+        def deeper(level: int):
+            nodes, size, _, below = self.levels[level]
+            table = _constant([below.get((k, c), -1) for k in range(len(nodes)) for c in range(size)], "int")
+
+            def step(at: Column) -> Column:
+                node = F.when(at["node"] < 0, F.lit(-1)).otherwise(F.get(table, at["node"] * size + at["cell"]))
+                return let(node, lambda n: F.struct(n.alias("node"), cell_of(level + 1, n).alias("cell")))
+
+            return step
+
+        at = F.struct(F.lit(0).alias("node"), cell_of(0, F.lit(0)).alias("cell"))
+        for level in range(len(self.levels) - 1):
+            at = let(at, deeper(level))
+        return at
+
+    def of(self, ident: Column) -> Column:
+        """The bucket of an id, by its ident()."""
+        levels, found = self.levels, F.lit(-1)
+        for level in reversed(range(len(levels))):
+            nodes, size, *_ = levels[level]
+            self.levels = levels[: level + 1]
+            table = _constant([self.bucket[level].get((k, c), -1) for k in range(len(nodes)) for c in range(size)], "int")
+            here = let(self._walk(ident), _looked_up(table, size))
+            found = let(here, _either(found))
+        self.levels = levels
+        return found
+
+
+def _looked_up(table: Column, size: int):
+    return lambda at: F.when(at["node"] < 0, F.lit(-1)).otherwise(F.get(table, at["node"] * size + at["cell"]))
+
+
+def _either(other: Column):
+    return lambda here: F.when(here >= 0, here).otherwise(other)
+
+
 def with_next(rows: DataFrame, id_col: str, columns: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, cells: int = CELLS) -> DataFrame:
     """rows with next_<column>: the values of the next row by descending id, of the first row after the last.
 
-    The id range is cut into cells, whose counts (a table of fixed size) place the
-    bounds of buckets; the window runs within a bucket.  The first row of a bucket is
-    also sent, as a ghost, to the end of the bucket before it, so one shuffle serves
-    all.  Null ids stand after all others.  Rows that repeat an id stand by the hash
-    of their columns.
+    Rows are dealt by buckets of neighbouring ids and the window runs within a bucket.
+    The first row of a bucket is also sent, as a ghost, to the end of the bucket above
+    it, so one shuffle serves all.  Null ids stand after all others.  Rows that repeat an
+    id stand together in one bucket, by the hash of their columns.
     """
-    ids = rows.select(F.col(id_col).cast("bigint").alias("id"))
-    lo, hi = ids.agg(F.min("id"), F.max("id")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = max(1, -(-(hi - lo + 2) // cells))
-    ident = F.coalesce(F.col(id_col).cast("bigint"), F.lit(lo - 1).cast("bigint"))
-    cell = F.floor((ident - F.lit(lo - 1)) / F.lit(width)).cast("int")
-    counts = {c: (k, m) for c, k, m in rows.select(cell.alias("c"), ident.alias("i")).groupBy("c").agg(F.count("*"), F.max("i")).collect()}
-    bucket_of, heads, filled = [0] * (max(counts, default=0) + 1), [], 0
-    for c in sorted(counts):
-        k, most = counts[c]
-        if not heads or filled >= rows_per_bucket:
-            heads.append(most)
-            filled = 0
-        heads[-1] = max(heads[-1], most)
-        filled += k
-        bucket_of[c] = len(heads) - 1
-    own = F.element_at(_constant(bucket_of, "int"), cell + 1)
-    head = F.element_at(_constant(heads or [0], "bigint"), F.col("_bucket") + 1)
-    above = F.pmod(F.col("_bucket") + 1, F.lit(max(1, len(heads))))
+    found = Buckets(rows.select(F.col(id_col).cast("bigint").alias("id")), rows_per_bucket, cells)
+    head = F.get(_constant(found.heads or [0], "decimal(20,0)"), F.col("_bucket"))
+    above = F.pmod(F.col("_bucket") + 1, F.lit(max(1, len(found.heads))))
     place = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("ghost")))
     ghost = F.array(F.struct(above.alias("b"), F.lit(True).alias("ghost")))
     dealt = (
-        rows.withColumn("_id", ident).withColumn("_bucket", own)
-        .withColumn("_place", F.explode(F.when(F.col("_id") == head, F.concat(place, ghost)).otherwise(place)))
+        rows.withColumn("_ident", found.ident(F.col(id_col).cast("bigint"))).withColumn("_bucket", found.of(F.col("_ident")))
+        .withColumn("_place", F.explode(F.when(F.col("_ident") == head, F.concat(place, ghost)).otherwise(place))).drop("_ident")
     )
-    window = W.partitionBy("_place.b").orderBy("_place.ghost", F.desc("_id"), *[F.xxhash64(c) for c in columns])
+    window = W.partitionBy("_place.b").orderBy("_place.ghost", F.col(id_col).cast("bigint").desc_nulls_last(), *[F.xxhash64(c) for c in columns])
     following = F.lead(F.struct(*columns)).over(window)
     return (
         dealt.withColumn("_next", following).where(~F.col("_place.ghost"))
