@@ -19,15 +19,17 @@ instead of about 7/32 for a cover of period 32.
    strings are sorted, again in buckets.
 4. Each chunk turns its decisions into covered bytes.
 
-Chunks and buckets have a bounded size; both comparisons first keep one entry of a
-fingerprint within a chunk (the one with the smallest id), so a passage that a third
-of all documents share reaches its bucket once for each chunk.  Fingerprints have 64
+Both comparisons first keep one entry of a fingerprint within a chunk (the one with the
+smallest id), so a passage that a third of all documents share reaches its bucket once
+for each chunk.  A gram with more than VARIED different spans in a chunk, such as a
+frequent phrase, is not sent to step 2 by its spans: two marks say which ids hold it,
+its runs are ties, and their strings are dealt by their own fingerprints in step 3.  So
+no gram sends more than VARIED entries of a chunk to one bucket.  Fingerprints have 64
 bits, and runs are compared together with 32 more of their gram.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ WIDTH, GRAM = 50, 20
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Replies up to this size are broadcast to the chunks; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Different spans of one gram that a chunk compares as runs.
+VARIED = 8
 #: Strings that are looked at together; positions need POSITION bits.
 POSITION = 20
 STEP = (1 << POSITION) - 64
@@ -148,9 +152,31 @@ class Chunk:
         cut, ends = cut[ok], ends[ok]
         return lo + cut, lo + ends, h[(least[cut] & low).astype(np.int64)]
 
-    def runs(self, buckets: int) -> Entries:
+    def runs(self, buckets: int) -> None:
+        """Set self.entries of the runs `sent`; `local` of all; and marks (gram, id, salt) of varied grams."""
         self.span = range_hash(self.prefix, self.start, self.end + WIDTH - 1)
-        return Entries(mix(self.span ^ self.gram), self.doc, self.ids, (self.gram >> np.uint64(7)).astype(np.int64) % buckets, buckets)
+        value, bucket = mix(self.span ^ self.gram), (self.gram >> np.uint64(7)).astype(np.int64) % buckets
+        every = Entries(value, self.doc, self.ids, bucket, buckets)
+        self.local, self.entries, self.sent = every.local, every, np.arange(len(value))
+        self.marks = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        _, at, count = np.unique(self.gram[every.kept], return_inverse=True, return_counts=True)
+        varied = every.of(count[at] > VARIED) if len(at) else np.zeros(0, bool)
+        if varied.any():
+            self.sent = np.flatnonzero(~varied)
+            self.entries = Entries(value[self.sent], self.doc[self.sent], self.ids, bucket[self.sent], buckets)
+            rest = np.flatnonzero(varied)
+            order = rest[np.lexsort((self.ids[self.doc[rest]], self.gram[rest]))]
+            edge = np.flatnonzero(np.diff(self.gram[order], prepend=self.gram[order][:1] ^ np.uint64(1)))
+            ends = np.append(edge[1:], len(order)) - 1
+            both = np.concatenate([order[edge], order[ends]])
+            self.marks = (self.gram[both], self.ids[self.doc[both]], np.repeat(np.arange(1, 3, dtype=np.uint64), len(edge)))
+
+    def decided(self, known: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which runs are repeated, and which are tied, from the answers to the entries."""
+        repeated, open_runs = self.local.copy(), np.ones(len(self.local), bool)
+        repeated[self.sent] |= self.entries.of(known)
+        open_runs[self.sent] = self.entries.of(tied)
+        return repeated, open_runs & ~repeated
 
     def ties(self, open_runs: np.ndarray, buckets: int) -> Entries:
         """Entries of all strings of the given runs; their starts are kept in self.at."""
@@ -186,6 +212,17 @@ def _blobs(chunk_id: int, chunk: Chunk, entries: Entries, columns: list[np.ndarr
             yield b, chunk_id, b"".join(x.tobytes() for x in (head, chunk.ids[used], place.astype("<u4"), *(c[part] for c in columns)))
 
 
+def _mark_blobs(chunk_id: int, chunk: Chunk, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Blobs of the marks, from a chunk that does not exist: nobody waits for the answers.  The span of a mark occurs once."""
+    gram, ids, salt = chunk.marks
+    bucket = (gram >> np.uint64(7)).astype(np.int64) % buckets
+    span = mix(mix(gram + salt) ^ np.uint64(chunk_id * 0x9E3779B97F4A7C15 % (1 << 64)))
+    for b in np.unique(bucket):
+        own = np.flatnonzero(bucket == b)
+        head = np.array([len(own), len(own)], "<i8")
+        yield int(b), -1, b"".join(x.tobytes() for x in (head, ids[own], np.arange(len(own), dtype="<u4"), (gram[own] >> np.uint64(32)).astype("<u4"), span[own]))
+
+
 def _opened(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
     n, used = np.frombuffer(blob, "<i8", 2)
     ids, at = np.frombuffer(blob, "<i8", used, 16), 16 + 8 * int(used)
@@ -282,16 +319,16 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def ship_runs(row: dict):
         c = Chunk(row["ids"], row["sizes"], row["data"])
-        e = c.runs(buckets)
-        return _blobs(row["chunk"], c, e, [(c.gram >> np.uint64(32)).astype("<u4"), c.span], c.doc)
+        c.runs(buckets)
+        own = [x[c.sent] for x in ((c.gram >> np.uint64(32)).astype("<u4"), c.span, c.doc)]
+        yield from _blobs(row["chunk"], c, c.entries, own[:2], own[2])
+        yield from _mark_blobs(row["chunk"], c, buckets)
 
     def open_runs(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray]:
         """The chunk, which runs are repeated, and which are tied."""
         c = Chunk(row["ids"], row["sizes"], row["data"])
-        e = c.runs(buckets)
-        known, tied = _answers(e, row["runs"], 2)
-        repeated = e.local | e.of(known)
-        return c, repeated, e.of(tied) & ~repeated
+        c.runs(buckets)
+        return c, *c.decided(*_answers(c.entries, row["runs"], 2))
 
     def ship_ties(row: dict):
         c, _, tied = open_runs(row)
@@ -321,26 +358,6 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return done.withColumnRenamed("id", id_col)
 
 
-def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int, str]]:
-    """The same from the definition, for tests: n_bytes, n_removed, n_spans, sha256 of what is kept."""
-    least: dict[bytes, int] = {}
-    raw = {i: (t or "").encode() for i, t in rows}
-    for i, x in raw.items():
-        for a in range(len(x) - WIDTH + 1):
-            s = x[a : a + WIDTH]
-            least[s] = min(least.get(s, i), i)
-    out = {}
-    for i, x in raw.items():
-        gone = bytearray(len(x))
-        for a in range(len(x) - WIDTH + 1):
-            if least[x[a : a + WIDTH]] < i:
-                gone[a : a + WIDTH] = b"\x01" * WIDTH
-        kept = bytes(c for c, g in zip(x, gone, strict=True) if not g)
-        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
-        out[i] = (len(x), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    return out
-
-
 def op7_suffix_dedup(spark, sf_dir):
     out = repeated_strings(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

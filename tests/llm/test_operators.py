@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from helixlake.llm import bpe, exact_dedup, language_id, near_dedup, packing, quality, secrets, suffix_dedup, syncmers, toxicity
 from pyspark.sql import functions as F
 
@@ -159,8 +162,28 @@ def test_near_dedup_of_a_loose_family(spark, monkeypatch):
 # --- repeated strings
 
 
+def plain_repeats(rows, width=suffix_dedup.WIDTH):
+    """n_bytes, n_removed, n_spans and sha256 of what is kept, from the definition."""
+    least = {}
+    raw = {i: (t or "").encode() for i, t in rows}
+    for i, x in raw.items():
+        for a in range(len(x) - width + 1):
+            s = x[a : a + width]
+            least[s] = min(least.get(s, i), i)
+    out = {}
+    for i, x in raw.items():
+        gone = bytearray(len(x))
+        for a in range(len(x) - width + 1):
+            if least[x[a : a + width]] < i:
+                gone[a : a + width] = b"\x01" * width
+        kept = bytes(c for c, g in zip(x, gone, strict=True) if not g)
+        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        out[i] = (len(x), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
 def check_repeats(got, rows):
-    want = suffix_dedup.brute_force(rows)
+    want = plain_repeats(rows)
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got.collect()} == want
 
 
@@ -174,10 +197,28 @@ def test_repeated_strings(table, awkward, empty, corpus, monkeypatch):
     check_repeats(suffix_dedup.repeated_strings(corpus[0]), corpus[1])
 
 
-def test_repeated_strings_of_few_letters(spark):
+def test_repeated_strings_of_few_letters(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) * rng.randint(1, 6)) for i in range(40)] + [(99, "a" * 300), (50, "a" * 120), (51, "ab" * 90)]
-    check_repeats(suffix_dedup.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_repeats(suffix_dedup.repeated_strings(docs), rows)
+    monkeypatch.setattr(suffix_dedup, "VARIED", 0)
+    check_repeats(suffix_dedup.repeated_strings(docs), rows)
+
+
+def test_a_frequent_phrase_does_not_fill_a_bucket(spark, monkeypatch):
+    """Each chunk sends a bounded number of entries for a gram, however many spans it stands in."""
+    rng = random.Random(14)
+    phrase = "as was said above in the same words before"
+    rows = [(i, " ".join(f"{sentence(rng, 12)} {phrase} {sentence(rng, 12)}" for _ in range(6))) for i in range(300)]
+    rows += [(500 + i, rows[i][1][50:400]) for i in range(0, 300, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    chunk = suffix_dedup.Chunk([i for i, _ in rows], [len(t) for _, t in rows], zstandard.ZstdCompressor().compress("".join(t for _, t in rows).encode()))
+    chunk.runs(1)
+    spans = np.unique(chunk.gram[chunk.sent][chunk.entries.kept], return_counts=True)[1]
+    assert spans.max() <= suffix_dedup.VARIED and len(chunk.marks[0]) >= 2
+    monkeypatch.setattr(suffix_dedup.chunks, "__defaults__", ("doc_id", "text", 20_000))
+    check_repeats(suffix_dedup.repeated_strings(docs), rows)
 
 
 # --- secrets
@@ -347,6 +388,62 @@ def test_syncmers(spark, corpus):
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.25 and np.mean([r["near_next"] for r in got.values()]) < 0.02
 
 
+def spark_hash(*values):
+    """The hash that Spark's xxhash64 gives for strings and longs, as an unsigned number."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64(v.encode() if isinstance(v, str) else struct.pack("<Q", v), seed=h).intdigest()
+    return h
+
+
+def plain_anchors(text, k=syncmers.K, inner=syncmers.S):
+    """(hash, place) of every closed syncmer, by the definition."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    tokens = []
+    for run in re.findall(r"[^ \t\n\x0b\f\r]+", text):
+        tokens += [run] if len(run) <= 16 else [run[i : i + 8] for i in range(len(run) - 7)]
+    h = [spark_hash(t) for t in tokens]
+    if len(h) < k:
+        return [(None, 0)] if h else []
+    parts = [spark_hash(*h[i : i + inner]) for i in range(len(h) - inner + 1)]
+    out = []
+    for i in range(len(h) - k + 1):
+        own = parts[i : i + k - inner + 1]
+        least = min(own, key=signed)
+        if least in (own[0], own[-1]):
+            out.append((signed(spark_hash(*own)), i))
+    return out
+
+
+def test_syncmers_against_the_definition(spark, corpus, table, awkward):
+    rows = corpus[1][:60] + [(1000 + i, t) for i, t in plain(awkward) if t and t.isascii()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    df = syncmers.with_sketch(syncmers.with_anchors(docs, "text", "anchors"), "text", "sk")
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    got = {(r["doc_id"], r["text"]): [tuple(a) for a in r["anchors"]] for r in df.collect()}
+    for i, t in rows:
+        have, want = got[i, t], plain_anchors(t)
+        assert len(have) == len(want) and all(a == b or b == (None, 0) for a, b in zip(have, want, strict=True))
+    pairs = syncmers.with_sketch(df.join(other, "doc_id"), "other", "so").select("text", "other", syncmers.likeness(F.col("sk"), F.col("so")).alias("like"), syncmers.fingerprint(F.col("sk")).alias("print")).collect()
+    for r in pairs:
+        a, b = ({x >> 32 & 0xFFFFFFFF for x, _ in plain_anchors(t) if x is not None} for t in (r["text"], r["other"]))
+        if None not in {x for t in (r["text"], r["other"]) for x, _ in plain_anchors(t)}:
+            assert abs(r["like"] - (len(a & b) / len(a | b) if a | b else 1)) < 1e-12
+            assert {int(r["print"][i : i + 8], 16) for i in range(0, len(r["print"]), 8)} == a
+
+
+def test_ids_far_from_all_others(spark):
+    """One outlier does not bring all other rows into one bucket."""
+    ids = [*range(3000), 10**18, -(10**17), 2**63 - 1, *range(10**12, 10**12 + 500)]
+    docs = spark.createDataFrame([(i, str(i)) for i in ids] + [(None, "null")], "doc_id long, body string")
+    found = syncmers.Buckets(docs.select(F.col("doc_id").alias("id")), 100, syncmers.CELLS)
+    sizes = [r["count"] for r in docs.groupBy(found.of(found.ident(F.col("doc_id"))).alias("b")).count().collect()]
+    assert max(sizes) <= 400 and len(sizes) == len(found.heads)
+    got = {r["body"]: r["next_body"] for r in syncmers.with_next(docs, "doc_id", ["body"], 100).collect()}
+    order = [str(i) for i in sorted(ids, reverse=True)] + ["null"]
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_next_rows_in_small_buckets(table, empty, awkward):
     docs = table.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
     for per in (1, 3, 100):
@@ -380,7 +477,7 @@ def test_shared_passages_are_found_by_place(spark):
     inside = [r for r in hits if 9000 <= r["place"] < 9058 and r["place"] - r["other_place"] == 8700]
     assert len(inside) >= 20
     sets = {r["doc_id"]: set(r["sk"]) for r in df.select("doc_id", "sk").collect()}
-    assert len(sets[3]) > 10_000 and sets[3] != sets[4] and len(sets[3] ^ sets[4]) <= 6
+    assert len(sets[3]) > 8_000 and sets[3] != sets[4] and len(sets[3] ^ sets[4]) <= 10
     assert len(sets[5] & sets[6]) > 0.95 * len(sets[5])
 
 
