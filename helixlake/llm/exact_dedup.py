@@ -71,7 +71,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal texts the largest id stays; if rows repeat an id they share its verdict.
     Other columns of docs are ignored.  An empty table gives an empty result.
     """
-    groups = copy_groups(docs, id_col, text_col, prefix)
+    groups = written(copy_groups(docs, id_col, text_col, prefix))
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
     rows = docs.select(F.col(id_col).alias("id"), F.length(body(text_col)).alias("n"), F.sha2(body(text_col), 256).alias("text_sha256"))
     keep = F.coalesce("keep_id", "id")
     return rows.join(groups, ["text_sha256", "n"], "left").select(
