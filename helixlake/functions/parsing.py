@@ -21,6 +21,12 @@ def signature_name(species: Column, path: Column, from_folder: bool = False) ->
     return F.concat(species, F.lit("@"), F.regexp_extract(path, part, 1))
 
 
+def checked_spec(spec: Column) -> Column:
+    """A spec name[@version][:member], trimmed; a part too many or an empty part is an error."""
+    bad = F.raise_error(F.concat(F.lit("not a collection spec: "), F.coalesce(spec, F.lit("null"))))
+    return F.when(F.trim(spec).rlike(r"^[^@:]+(?:@[^@:]+)?(?::[^@:]+)?$"), F.trim(spec)).otherwise(bad)
+
+
 def collection_name(spec: Column) -> Column:
     return F.regexp_extract(spec, r"^([^@:]+)", 1)
 

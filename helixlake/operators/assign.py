@@ -39,15 +39,16 @@ def imputed(nodes: DataFrame, edges: DataFrame, carried: DataFrame, abundance: D
     return good.select("component", F.col("nid").alias("family"), (F.col("a") * F.col("share")).alias("abundance"), F.lit("imputed").alias("status"))
 
 
-def subsets(abundance: DataFrame) -> DataFrame:
-    """(mask, total, size, places) of every non-empty subset of components; at most 4095 rows."""
-    n = abundance.count()
-    if n > MOST_COMPONENTS:
+def subsets(abundance: DataFrame) -> list[tuple[float, int, list[int], list]]:
+    """(total, size, places, components) of every non-empty subset of the components, at most 4095."""
+    rows = sorted((r["component"], r["a"]) for r in abundance.select("component", "a").limit(MOST_COMPONENTS + 1).collect())
+    if len(rows) > MOST_COMPONENTS:
         raise ValueError(f"more than {MOST_COMPONENTS} components")
-    ranked = abundance.withColumn("bit", F.row_number().over(W.orderBy("component")) - 1)
-    masks = abundance.sparkSession.range(1, 2**n).select(F.col("id").alias("mask"))
-    inside = masks.join(F.broadcast(ranked), F.expr("(mask >> bit) & 1 = 1"))
-    return inside.groupBy("mask").agg(F.sum("a").alias("total"), F.count("*").alias("size"), F.sort_array(F.collect_list("bit")).alias("places"), F.collect_list("component").alias("parts"))
+    out = []
+    for mask in range(1, 1 << len(rows)):
+        places = [i for i in range(len(rows)) if mask >> i & 1]
+        out.append((float(sum(rows[i][1] for i in places)), len(places), places, [rows[i][0] for i in places]))
+    return out
 
 
 def reassigned(nodes: DataFrame, edges: DataFrame, carried: DataFrame, abundance: DataFrame, most: float = 0.5) -> DataFrame:
@@ -55,18 +56,24 @@ def reassigned(nodes: DataFrame, edges: DataFrame, carried: DataFrame, abundance
 
     Among subsets that fit equally well, the one with the most support from carriers of
     neighbouring families wins, then the smaller, then the one with the first places.
+    The totals of the subsets are an array in each row's reach, so a row is passed over
+    them once and only subsets that fit best become rows.
     """
-    near = neighbours(edges)
+    near, spark = neighbours(edges), nodes.sparkSession
     orphans = nodes.where("weight > 0").select("nid", "weight").join(carried.select("nid"), "nid", "left_anti")
-    all_sets = subsets(abundance)
-    fit = orphans.join(F.broadcast(all_sets), how="cross").withColumn("miss", F.abs(F.col("weight") - F.col("total")))  # the subsets are at most 4095 rows
-    best = fit.groupBy("nid").agg(F.min("miss").alias("least"))
-    tied = fit.join(best, "nid").where(F.col("miss") <= F.col("least") + TIE)
+    listed = subsets(abundance)
+    kind = dict(carried.dtypes)["component"]
+    table = spark.createDataFrame([(i, *x) for i, x in enumerate(listed)], f"i int, total double, size int, places array<int>, parts array<{kind}>")
+    totals = F.split(F.lit(",".join(repr(t) for t, *_ in listed)), ",").cast("array<double>")
+    miss = F.transform(totals, lambda t: F.abs(F.col("weight") - t))
+    fits = F.transform(totals, lambda t, i: F.when(F.abs(F.col("weight") - t) <= F.col("least") + TIE, i))
+    tied = orphans.withColumn("least", F.array_min(miss)).select("nid", "weight", F.explode(F.array_compact(fits)).alias("i"))
+    tied = tied.join(F.broadcast(table), "i").withColumn("miss", F.abs(F.col("weight") - F.col("total")))  # the table has at most 4095 rows
     support = orphans.select("nid").join(near, "nid").join(carried.select(F.col("nid").alias("other"), "component"), "other").groupBy("nid", "component").agg(F.count("*").alias("n"))
-    voted = tied.select("nid", "mask", "size", "places", F.explode("parts").alias("component")).join(support, ["nid", "component"], "left")
-    votes = voted.groupBy("nid", "mask", "size", "places").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("votes"))
-    first = votes.withColumn("r", F.row_number().over(W.partitionBy("nid").orderBy(F.desc("votes"), "size", "places"))).where("r = 1").select("nid", "mask")
-    chosen = tied.join(first, ["nid", "mask"]).where(F.col("miss") / F.greatest("weight", "total") <= most)
+    voted = tied.select("nid", "i", F.explode("parts").alias("component")).join(support, ["nid", "component"], "left")
+    votes = voted.groupBy("nid", "i").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("votes"))
+    best = tied.join(votes, ["nid", "i"]).groupBy("nid").agg(F.min_by(F.struct("weight", "total", "size", "parts", "miss"), F.struct(-F.col("votes"), "size", "places")).alias("b")).select("nid", "b.*")
+    chosen = best.where(F.col("miss") / F.greatest("weight", "total") <= most)
     parts = chosen.select("nid", "weight", "total", "size", F.explode("parts").alias("component")).join(abundance, "component")
     share = F.when(F.col("total") > 0, F.col("weight") * F.col("a") / F.col("total")).otherwise(F.col("weight") / F.col("size"))
     return parts.select("component", F.col("nid").alias("family"), share.alias("abundance"), F.lit("reassigned").alias("status"))

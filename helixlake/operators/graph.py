@@ -10,9 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import kept
+
 PARTITIONS = ("P", "S", "C")
 
 
+def family_nodes(families: DataFrame) -> DataFrame:
+    """nid, partition and length of gene families (family, partition, protein): a protein stands for three bases a letter."""
+    return families.select(F.col("family").alias("nid"), F.upper(F.substring("partition", 1, 1)).alias("partition"), (F.length("protein") * 3).alias("length"))
+
+
+def load_graph(nodes: DataFrame, edges: DataFrame, presence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tables as a graph: node ids once each, edges in canonical order between known nodes, presence of known nodes.
+
+    Nodes without a weight have none yet: weight, read_count and kmer_count are 0.
+    """
+    zero = {"weight": F.lit(0.0), "read_count": F.lit(0).cast("bigint"), "kmer_count": F.lit(0).cast("bigint")}
+    known = nodes.dropDuplicates(["nid"]).withColumns({c: F.coalesce(c, v) if c in nodes.columns else v for c, v in zero.items()})
+    ends = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    return known, subgraph(known, ends, F.lit(True))[1], presence.select("nid", "strain").distinct().join(known.select("nid"), "nid", "left_semi")
+
+
 def subgraph(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
     """The nodes that meet a predicate and the edges with both ends among them."""
     kept = nodes.where(keep)
@@ -95,15 +113,14 @@ def specific_nodes(nodes: DataFrame, presence: DataFrame, strain, avoid: list) -
 def connected(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the smallest node reached over pairs (a, b), by passing labels on.
 
-    Meant for graphs of strains, whose number is small; each round is written to the
-    checkpoint folder where one is set.
+    Meant for graphs of strains, whose number is small; each round is checkpointed.
     """
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     state = nodes.select("node", F.col("node").alias("component"))
     while True:
         heard = both.join(state.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("_c"))
         new = state.join(heard, state["node"] == heard["a"], "left").select("node", "component", F.least("component", "_c").alias("_n"))
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+        new = kept(new)
         changed = new.where("_n < component").limit(1).count()
         state = new.select("node", F.col("_n").alias("component"))
         if not changed:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import connected
+from .tables import quantiles, running
 
 
 def families(nodes: DataFrame) -> DataFrame:
@@ -47,32 +48,41 @@ def collapse(presence: DataFrame, least: float = 0.95) -> tuple[DataFrame, DataF
 
 def fence(depth: DataFrame) -> DataFrame:
     """Families whose depth is no outlier: at most q3 + 3 IQR of the positive depths, or 20 medians if the IQR is 0."""
-    q = depth.where("y > 0").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q1, q2, q3 = (F.get("q", F.lit(i)) for i in range(3))
-    top = q.select(F.when(q3 - q1 > 0, q3 + 3 * (q3 - q1)).otherwise(20 * q2).alias("top"))  # one row
-    return depth.join(F.broadcast(top)).where((F.col("y") <= F.col("top")) | (F.col("y") == 0)).drop("top")
+    q1, q2, q3 = quantiles(depth.where("y > 0"), "y", [0.25, 0.5, 0.75])
+    if q2 is None:
+        return depth.where("y = 0")
+    top = q3 + 3 * (q3 - q1) if q3 > q1 else 20 * q2
+    return depth.where((F.col("y") <= top) | (F.col("y") == 0))
 
 
 def ordered(depth: DataFrame) -> DataFrame:
-    """depth with fam_ord: the place of a family by id, found by range partitions and their counts."""
-    spread = depth.repartitionByRange("fam").sortWithinPartitions("fam").withColumn("_p", F.spark_partition_id())
-    local = spread.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy("fam")) - 1).persist()
-    counts = local.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each partition
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(F.broadcast(before), "_p").withColumn("fam_ord", (F.col("_before") + F.col("_i")).cast("bigint")).drop("_p", "_i", "_before")
+    """depth with fam_ord: the place of a family by id."""
+    return running(depth, "fam", F.lit(1), "_upto").withColumn("fam_ord", (F.col("_upto") - 1).cast("bigint")).drop("_upto")
 
 
-def seeded_folds(depth: DataFrame, folds: int = 5, seed: int = 0) -> DataFrame:
+def seeded_folds(depth: DataFrame, folds: int = 5, seed: int = 0, block: int = 1 << 20) -> DataFrame:
     """depth (with fam_ord) with fold: the fam_ord-th draw of NumPy's seeded generator.
 
-    Every task draws the same sequence, a few bytes a family, so no fold table is sent.
+    The driver passes over the draws once and keeps the generator's state before each
+    block of them; a task draws only the blocks that its rows need, one at a time.
     """
-    n = depth.count()
+    rng, states = np.random.default_rng(seed), []
+    for _ in range(0, depth.count(), block):
+        states.append(rng.bit_generator.state)
+        rng.integers(0, folds, size=block)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold = np.random.default_rng(seed).integers(0, folds, size=n)
+        held, fold = -1, np.zeros(0, np.int64)
         for pdf in batches:
-            yield pdf.assign(fold=fold[pdf["fam_ord"].to_numpy()])
+            place, out = pdf["fam_ord"].to_numpy(), np.zeros(len(pdf), np.int64)
+            for b in np.unique(place // block):
+                if b != held:
+                    own = np.random.default_rng(seed)
+                    own.bit_generator.state = states[b]
+                    held, fold = b, own.integers(0, folds, size=block)
+                mine = place // block == b
+                out[mine] = fold[place[mine] % block]
+            yield pdf.assign(fold=out)
 
     return depth.mapInPandas(draw, ", ".join(f"{c} {k}" for c, k in depth.dtypes) + ", fold long")
 

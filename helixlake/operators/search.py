@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import kept
+
 SCORES = ("jaccard", "containment", "max_containment")
 _GATHERED = "query string, round int, name string, f_query double, f_match double, shared long"
 #: Pairs (hash, match) of one query that gather_sample() hands to one task.
@@ -94,8 +94,8 @@ def gather_sample(query: DataFrame, index: DataFrame, threshold: float = 0.05, e
     pairs = query.select("h").distinct().join(index.select("name", "h").distinct(), "h")
     if exclude is not None:
         pairs = pairs.join(exclude.select("name").distinct(), "name", "left_anti")
-    pairs = _kept(pairs.select("name", "h"))
-    nm = _kept(index.groupBy("name").agg(F.count("*").alias("n_match")).join(pairs.select("name").distinct(), "name", "left_semi"))
+    pairs = kept(pairs.select("name", "h"))
+    nm = kept(index.groupBy("name").agg(F.count("*").alias("n_match")).join(pairs.select("name").distinct(), "name", "left_semi"))
     rounds, remaining = [], whole
     while remaining and (n := pairs.count()):
         if n <= GROUP_PAIRS:
@@ -109,31 +109,11 @@ def gather_sample(query: DataFrame, index: DataFrame, threshold: float = 0.05, e
         rounds.append((label, len(rounds) + 1, name, round(shared / whole, 4), round(shared / size, 4), shared))
         remaining -= shared
         covered = pairs.where(F.col("name") == name).select("h")
-        pairs = _kept(pairs.join(covered, "h", "left_anti").select("name", "h"))
+        pairs = kept(pairs.join(covered, "h", "left_anti").select("name", "h"))
     return spark.createDataFrame(rounds, _GATHERED)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint, in the session's folder or one of our own where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
-def gather_round(remaining: DataFrame, index: DataFrame, whole: int) -> DataFrame:
-    """One round over DataFrames alone, for a query too large for a group: name, shared, f_query, f_match."""
-    nm = index.groupBy("name").agg(F.count("*").alias("n_match"))
-    shared = remaining.join(index.select("name", "h"), "h").groupBy("name").agg(F.count("*").alias("shared"))
-    best = shared.orderBy(F.desc("shared"), "name").limit(1)
-    return best.join(nm, "name").select("name", "shared", F.round(F.col("shared") / whole, 4).alias("f_query"), F.round(F.col("shared") / F.col("n_match"), 4).alias("f_match"))
-
-
 def gather_rounds(query: DataFrame, index: DataFrame, rounds: int) -> DataFrame:
-    """The first rounds of gather() for one query of any size: a top-1 and an anti-join a round."""
-    whole, left, out = query.count(), query.select("h"), None
-    for r in range(1, rounds + 1):
-        best = gather_round(left, index, whole).withColumn("round", F.lit(r)).persist()
-        out = best if out is None else out.unionByName(best)
-        left = left.join(index.join(best.select("name"), "name").select("h"), "h", "left_anti")
-    return out.select("round", "name", "f_query", "f_match")
+    """round, name, f_query, f_match of the first rounds of gather() for one query of any size."""
+    found = gather_sample(query, index, 0.0)
+    return found.where(F.col("round") <= rounds).select("round", "name", "f_query", "f_match")

@@ -5,6 +5,7 @@ Inputs are k x k for the strains of one species; no vector of families comes her
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +19,7 @@ class Step:
     residual: float
     error: float | None
     accepted: bool
-    reason: str
+    reason: str | None
 
 
 @dataclass
@@ -65,18 +66,29 @@ def nnls(g: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
     return x
 
 
-def forward(g: np.ndarray, b: np.ndarray, yty: float, priority: np.ndarray, most: int = 12, band: float = 0.01) -> list[int]:
-    """Columns in the order in which they lower the residual most; near ties go to priority, residual, place."""
+def forward(diagonal: np.ndarray, b: np.ndarray, yty: float, column: Callable[[int], np.ndarray], priority: np.ndarray, most: int = 12, band: float = 0.01) -> list[int]:
+    """Columns in the order in which they lower the residual most; near ties go to priority, residual, place.
+
+    Of the Gram matrix only the diagonal and the columns of what has been chosen are asked
+    for.  A candidate that does not correlate with what is left cannot lower the residual,
+    so it isn't solved for.
+    """
     order: list[int] = []
+    held = np.zeros((0, len(b)))
+    slack = 1e-10 * max(1.0, float(np.abs(b).max(initial=0.0)))
     while len(order) < min(most, len(b)):
-        tried = []
-        for j in range(len(b)):
+        at = np.array(order, int)
+        x = nnls(held[:, at], b[at])
+        left = np.full(len(b), rss(held[:, at], b[at], yty, x))
+        for j in np.flatnonzero(b - x @ held > slack):
             if j not in order:
-                at = np.array([*order, j])
-                tried.append((rss(g[np.ix_(at, at)], b[at], yty, nnls(g[np.ix_(at, at)], b[at])), j))
-        best = min(t[0] for t in tried)
-        near = [t for t in tried if t[0] <= best * (1 + band)]
-        order.append(min(near, key=lambda t: (-priority[t[1]], t[0], t[1]))[1])
+                g = np.block([[held[:, at], held[:, [j]]], [held[:, [j]].T, diagonal[[j]][None]]])
+                both = np.append(b[at], b[j])
+                left[j] = rss(g, both, yty, nnls(g, both))
+        left[at] = np.inf
+        near = np.flatnonzero(left <= left.min() * (1 + band))
+        order.append(int(min(near, key=lambda j: (-priority[j], left[j], j))))
+        held = np.vstack([held, column(order[-1])])
     return order
 
 
@@ -94,7 +106,7 @@ def stop_paired(errors: list[list[float]], least_gain: float = 0.02) -> int:
     """How many to take: go on while the paired falls exceed their standard error and a relative gain."""
     k = 0
     for now, then in zip(errors[:-1], errors[1:], strict=True):
-        if len(now) != len(then) or len(now) < 2:
+        if len(now) != len(then) or not len(now):
             break
         fall = np.array(now) - np.array(then)
         mean = float(np.mean(now))

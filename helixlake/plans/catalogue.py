@@ -408,14 +408,14 @@ def _(spark, d):
 
 @query("planted_nnls", "SELECT CAST(s AS BIGINT) AS strain, CAST(x AS DOUBLE) AS abundance, round(CAST(x AS DOUBLE) / 9, 6) AS ra FROM (VALUES (1, 5.0), (2, 3.0), (3, 1.0)) AS v(s, x)")
 def _(spark, d):
-    found, _members = P.select(_fam(spark, d), T.planted_depth(spark, d), {}, P.Options(k_max=4))
+    found, _members = P.select(_fam(spark, d), T.planted_depth(spark, d), {})
     rows = [(int(s), round(float(x), 6), round(float(r), 6)) for s, x, r in zip(found.labels, found.x, found.ra, strict=True)]
     return spark.createDataFrame(rows, "strain long, abundance double, ra double")
 
 
 @query("selection_trace")
 def _(spark, d):
-    found, _members = P.select(_fam(spark, d), T.planted_depth(spark, d), {}, P.Options(k_max=4))
+    found, _members = P.select(_fam(spark, d), T.planted_depth(spark, d), {})
     rows = [(i, int(s.candidate), s.residual, s.error, s.accepted, s.reason) for i, s in enumerate(found.steps, 1)]
     return spark.createDataFrame(rows, "step int, candidate long, residual double, cv_error double, accepted boolean, stop_reason string")
 
@@ -483,7 +483,16 @@ def _(spark, d):
 def _(spark, d):
     nodes, presence = T.nodes(spark, d), T.presence(spark, d)
     y = T.planted_depth(spark, d).select(F.col("fam").alias("nid"), F.col("y").alias("weight"))
-    found = P.profile(nodes.drop("weight").join(y, "nid"), T.edges(spark, d), presence, P.Options(k_max=4))
+    found = P.profile(nodes.drop("weight").join(y, "nid"), T.edges(spark, d), presence)
+    return P.strains_table(found)
+
+
+@query("profile_measured")
+def _(spark, d):
+    """The same from the weights that the mapping gives."""
+    found = P.profile(T.nodes(spark, d), T.edges(spark, d), T.presence(spark, d))
+    if found.genes is None:
+        return spark.createDataFrame([], "anchor long, members string, abundance double, ra double, n_genes long, n_observed long, n_reassigned long, n_imputed long")
     return P.strains_table(found)
 
 

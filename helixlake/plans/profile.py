@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass
+from datetime import datetime
 from html import escape
+from typing import Protocol
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import VERSION
 from ..operators import assign as A
 from ..operators import mixture as M
 from ..operators import solve as S
+from ..operators.tables import quantiles
+
+#: The names of the stop rules in a trace, other and paired.
+STOPPED = ("cv", "cv_paired")
+#: Strains that refitted() solves for at once.
+MOST_REFITTED = 64
 
 
 @dataclass(frozen=True)
@@ -35,33 +45,69 @@ class Profile:
     genes: DataFrame | None
 
 
-def gram_matrix(presence: DataFrame, depth: DataFrame) -> tuple[list, np.ndarray, np.ndarray, float, float]:
-    """Labels, G, b, y'y and the squares about the mean; the Gram of a species' strains is all that is collected."""
-    rows = M.gram(presence).collect()
-    by = {r["strain"]: r["b"] for r in M.rhs(presence, depth).collect()}
-    labels = sorted({r["s"] for r in rows})
-    at = {s: i for i, s in enumerate(labels)}
-    g = np.zeros((len(labels), len(labels)))
-    for r in rows:
-        g[at[r["s"]], at[r["t"]]] = g[at[r["t"]], at[r["s"]]] = r["g"]
-    b = np.array([by.get(s, 0.0) for s in labels])
+class Selector(Protocol):
+    """Chooses strains of a mixture: presence (fam, strain), depth (fam, y), priority by strain."""
+
+    def __call__(self, presence: DataFrame, depth: DataFrame, priority: dict, options: Options) -> tuple[S.Selection, DataFrame | None]: ...
+
+
+class Assigner(Protocol):
+    """Gives families to components: nodes, edges, presence, (strain, component), (component, a)."""
+
+    def __call__(self, nodes: DataFrame, edges: DataFrame, presence: DataFrame, members: DataFrame, abundance: DataFrame, least: float, most: float) -> DataFrame: ...
+
+
+def moments(presence: DataFrame, depth: DataFrame) -> tuple[list, np.ndarray, np.ndarray, float, float]:
+    """Labels, the Gram matrix' diagonal, b, y'y and the squares about the mean: one row for each strain is collected."""
+    rows = sorted(presence.join(depth, "fam").groupBy("strain").agg(F.count("*").alias("n"), F.sum("y").alias("b")).collect())
     n, total, squares = depth.agg(F.count("*"), F.sum("y"), F.sum(F.col("y") * F.col("y"))).first()
-    return labels, g, b, squares or 0.0, (squares or 0.0) - (total or 0.0) ** 2 / max(1, n)
+    squares = squares or 0.0
+    return [r["strain"] for r in rows], np.array([r["n"] for r in rows], float), np.array([r["b"] for r in rows], float), squares, squares - (total or 0.0) ** 2 / max(1, n)
+
+
+def gram_column(presence: DataFrame, labels: list, j: int) -> np.ndarray:
+    """In how many families each strain occurs together with strain j."""
+    own = presence.where(F.col("strain") == labels[j]).select("fam")
+    counts = {r["strain"]: r["count"] for r in presence.join(own, "fam", "left_semi").groupBy("strain").count().collect()}
+    return np.array([counts.get(s, 0) for s in labels], float)
+
+
+def refitted(presence: DataFrame, depth: DataFrame) -> S.Selection:
+    """All strains of a small mixture, such as the chosen ones, solved once more."""
+    labels, diagonal, b, yty, tss = moments(presence, depth)
+    if len(labels) > MOST_REFITTED:
+        raise ValueError(f"more than {MOST_REFITTED} strains to solve for at once")
+    g = np.array([gram_column(presence, labels, j) for j in range(len(labels))]).reshape(len(labels), len(labels))
+    return S.finish(g, b, yty, tss, labels, list(range(len(labels))))
 
 
 def select(presence: DataFrame, depth: DataFrame, priority: dict, options: Options = Options()) -> tuple[S.Selection, DataFrame | None]:
-    """Collapse, fence, order, cross-validate and solve.  Returns the selection and (strain, component)."""
-    if not depth.where("y > 0").limit(1).count() or not presence.limit(1).count():
+    """Collapse, fence, order, cross-validate and solve.  Returns the selection and (strain, component).
+
+    Of the Gram matrix only the diagonal and the columns of the chosen strains are
+    collected, and of the folds only the pieces among those: k_max strains at most.
+    """
+    if depth.where("y > 0").isEmpty() or presence.isEmpty():
         return S.Selection(), None
     grouped, members = M.collapse(presence, options.merge_jaccard)
-    kept = M.fence(depth).persist()
-    inside = grouped.join(kept.select("fam"), "fam", "left_semi").persist()
-    labels, g, b, yty, tss = gram_matrix(inside, kept)
-    order = S.forward(g, b, yty, np.array([priority.get(s, 0) for s in labels]), options.k_max)
-    folds = M.seeded_folds(M.ordered(kept), options.cv_folds).persist()
+    depth = M.fence(depth).persist()
+    inside = grouped.join(depth.select("fam"), "fam", "left_semi").persist()
+    labels, diagonal, b, yty, tss = moments(inside, depth)
+    columns: dict[int, np.ndarray] = {}
+
+    def column(j: int) -> np.ndarray:
+        columns[j] = gram_column(inside, labels, j)
+        return columns[j]
+
+    order = S.forward(diagonal, b, yty, column, np.array([priority.get(s, 0) for s in labels]), options.k_max)
+    g, b = np.array([columns[j][order] for j in order]).reshape(len(order), len(order)), b[order]
+    names = [labels[j] for j in order]
+    at = {s: i for i, s in enumerate(names)}
+    kind = dict(inside.dtypes)["strain"]
+    chosen = inside.where(F.col("strain").isin(names)).persist()
+    folds = M.seeded_folds(M.ordered(depth), options.cv_folds).persist()
     pieces = {}
-    at = {s: i for i, s in enumerate(labels)}
-    for r in M.fold_moments(inside, folds).collect():  # folds times the Gram of the strains
+    for r in M.fold_moments(chosen, folds).collect():  # at most folds * k_max * (k_max + 1) / 2 rows
         gf, bf = pieces.setdefault(r["fold"], (np.zeros_like(g), np.zeros_like(b)))
         i, j = at[r["s"]], at[r["t"]]
         gf[i, j] = gf[j, i] = r["g"]
@@ -75,31 +121,39 @@ def select(presence: DataFrame, depth: DataFrame, priority: dict, options: Optio
         gf, bf = pieces.get(f, (np.zeros_like(g), np.zeros_like(b)))
         models.append((f, 0, None, 0.0))
         for k in range(1, len(order) + 1):
-            cols = np.array(order[:k])
-            x = S.nnls((g - gf)[np.ix_(cols, cols)], (b - bf)[cols])
-            models += [(f, k, labels[c], float(v)) for c, v in zip(cols, x, strict=True)]
-    middle = kept.where("y > 0").agg(F.percentile("y", F.lit(0.5))).first()[0]
+            x = S.nnls((g - gf)[:k, :k], (b - bf)[:k])
+            models += [(f, k, c, float(v)) for c, v in zip(names, x, strict=False)]
+    (middle,) = quantiles(depth.where("y > 0"), "y", [0.5])
     floor = 0.01 * middle if middle else 1e-6
-    kind = dict(inside.dtypes)["strain"]
-    table = kept.sparkSession.createDataFrame(models, f"fold long, k int, strain {kind}, x double")  # at most folds * k_max**2 rows
-    found = {(r["k"], r["fold"]): r["error"] for r in M.deviance(inside, folds, table, floor).collect()}
+    table = depth.sparkSession.createDataFrame(models, f"fold long, k int, strain {kind}, x double")  # at most folds * k_max**2 rows
+    found = {(r["k"], r["fold"]): r["error"] for r in M.deviance(chosen, folds, table, floor).collect()}
     errors = [[found[k, f] for f in used if (k, f) in found] for k in range(len(order) + 1)]
     k = S.stop_paired(errors, options.cv_min_gain) if options.stop_rule == "cv_paired" else S.stop_one_se(errors)
-    result = S.finish(g, b, yty, tss, labels, order[:k])
-    for i, c in enumerate(order):
-        cols = np.array(order[: i + 1])
-        left = S.rss(g[np.ix_(cols, cols)], b[cols], yty, S.nnls(g[np.ix_(cols, cols)], b[cols]))
+    result = S.finish(g, b, yty, tss, names, list(range(k)))
+    for i, c in enumerate(names):
+        left = S.rss(g[: i + 1, : i + 1], b[: i + 1], yty, S.nnls(g[: i + 1, : i + 1], b[: i + 1]))
         mean = float(np.mean(errors[i + 1])) if errors[i + 1] else None
-        result.steps.append(S.Step(labels[c], float(np.sqrt(left)), mean, i < k, "accepted" if i < k else f"{options.stop_rule} stopped at {k}"))
+        result.steps.append(S.Step(c, float(np.sqrt(left)), mean, i < k, None if i < k else STOPPED[options.stop_rule == "cv_paired"]))
+    for df in (depth, inside, chosen, folds):
+        df.unpersist()
     return result, members
 
 
-def profile(nodes: DataFrame, edges: DataFrame, presence: DataFrame, options: Options = Options()) -> Profile:
-    """Strains of one annotated graph and their genes; presence has (nid, strain)."""
+def profile(
+    nodes: DataFrame, edges: DataFrame, presence: DataFrame, options: Options = Options(),
+    exclude: Iterable = (), selector: Selector | None = None, assigner: Assigner | None = None,
+) -> Profile:
+    """Strains of one annotated graph and their genes; presence has (nid, strain).
+
+    Strains in `exclude` are held out of the candidates only (leave-one-out): nodes and
+    weights stay, so families that they alone carry become orphans of the others.
+    """
     fam = presence.select(F.col("nid").alias("fam"), "strain").distinct()
+    if out := list(exclude):
+        fam = fam.where(~F.col("strain").isin(out))
     depth = M.families(nodes)
     priority = {r["strain"]: r["priority"] for r in M.shell_priority(nodes, fam).collect()}
-    selection, members = select(fam, depth, priority, options)
+    selection, members = (selector or select)(fam, depth, priority, options)
     if members is None or not selection.labels:
         return Profile(selection, None, None)
     spark = nodes.sparkSession
@@ -107,13 +161,12 @@ def profile(nodes: DataFrame, edges: DataFrame, presence: DataFrame, options: Op
 
     def given() -> tuple[DataFrame, DataFrame]:
         table = spark.createDataFrame([(s, float(x)) for s, x in zip(selection.labels, selection.x, strict=True)], f"component {kind}, a double")
-        return table, A.assign(nodes, edges, presence, members.join(table.select("component"), "component", "left_semi"), table, options.impute_min_frac, options.reassign_max_residual)
+        own = members.join(table.select("component"), "component", "left_semi")
+        return table, (assigner or A.assign)(nodes, edges, presence, own, table, options.impute_min_frac, options.reassign_max_residual)
 
     _, genes = given()
     if options.refine:
-        again, y = A.observed_depth(genes)
-        labels, g, b, yty, tss = gram_matrix(again, y)
-        new = S.finish(g, b, yty, tss, labels, list(range(len(labels))))
+        new = refitted(*A.observed_depth(genes))
         if new.labels:
             selection.labels, selection.x = new.labels, new.x
             _, genes = given()
@@ -131,31 +184,71 @@ def strains_table(p: Profile) -> DataFrame:
     return out.orderBy(F.desc("ra"), "component").select(F.col("component").alias("anchor"), "members", "abundance", "ra", "n_genes", "n_observed", "n_reassigned", "n_imputed")
 
 
-def write_profile(p: Profile, folder: str, species: str) -> None:
-    """strains.tsv and genes.tsv by Spark, selection.tsv, profile.json and report.html for the small rest."""
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, by the file system that Spark knows the path by."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _table(head: list[str], rows: Iterable[Iterable]) -> str:
+    cells = "".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows)
+    return f"<table><tr>{''.join(f'<th>{escape(c)}</th>' for c in head)}</tr>{cells}</table>"
+
+
+def report(sample: str, collection: str, panels: list[tuple[str, Profile, list[dict], int, int]]) -> str:
+    """One HTML page: for each (species, profile, rows of its strains, reads mapped, reads in all) its figures, strains and selection."""
+    body = []
+    for species, p, strains, mapped, total in panels:
+        share = f"{mapped:,} / {total:,} ({100 * mapped / total:.1f}%)" if total else "-"
+        steps = [(i, s.candidate, f"{s.residual:.3f}", None if s.error is None else f"{s.error:.4f}", "kept" if s.accepted else "stopped", s.reason) for i, s in enumerate(p.selection.steps, 1)]
+        body += [
+            f"<section><h2>{escape(species)}</h2><p>{len(p.selection.labels)} strains, reads mapped: {share}</p><h3>Strains</h3>",
+            _table(list(strains[0]) if strains else [], [r.values() for r in strains]), "<h3>Selection</h3>",
+            _table(["step", "candidate", "residual", "cv error", "decision", "stop reason"], steps) if steps else "<p>No step was tried.</p>", "</section>",
+        ]
+    head = f"<!doctype html><meta charset=utf-8><title>{escape(sample)}</title><h1>{escape(sample)}</h1><p>{escape(collection)}, {len(panels)} species</p>"
+    return head + ("".join(body) or "<p>No species was profiled.</p>")
+
+
+def manifest(options: Options, **info) -> str:
+    """A run's settings as TOML: when, with which version, on what and how; values of None are left out."""
+    quoted = lambda v: json.dumps(v) if isinstance(v, (str, bool, list)) else repr(v)
+    lines = [f'date = "{datetime.now():%Y-%m-%d %H:%M:%S}"', f'version = "{VERSION}"']
+    lines += [f"{k} = {quoted(v)}" for k, v in info.items() if v is not None]
+    return "\n".join([*lines, "", "[profile]", *(f"{k} = {quoted(v)}" for k, v in asdict(options).items()), ""])
+
+
+def write_profile(p: Profile, folder: str, species: str, reads: tuple[int, int] = (0, 0), options: Options = Options(), **info) -> None:
+    """strains.tsv and genes.tsv by Spark; selection.tsv, profile.json, report.html and run.toml for the small rest.
+
+    reads are those mapped and those in all; info goes to run.toml.
+    """
+    spark = p.genes.sparkSession
     tsv = lambda df, name: df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{folder}/{name}")
-    os.makedirs(folder, exist_ok=True)
     strains = strains_table(p)
     tsv(strains.coalesce(1), "strains.tsv")
     tsv(p.genes.select(F.col("component").alias("strain"), F.col("family").alias("family_id"), F.format_string("%.6f", "abundance").alias("abundance"), "status"), "genes.tsv")
     steps = [asdict(s) for s in p.selection.steps]
-    with open(f"{folder}/selection.tsv", "w") as f:
-        f.write("step\tcandidate\tresidual\tcv_error\taccepted\tstop_reason\n")
-        for i, s in enumerate(steps, 1):
-            f.write(f"{i}\t{s['candidate']}\t{s['residual']:.6f}\t{'' if s['error'] is None else format(s['error'], '.6f')}\t{s['accepted']}\t{s['reason']}\n")
+    lines = ["step\tcandidate\tresidual\tcv_error\taccepted\tstop_reason"]
+    lines += [f"{i}\t{s['candidate']}\t{s['residual']:.6f}\t{'' if s['error'] is None else format(s['error'], '.6f')}\t{s['accepted']}\t{s['reason'] or ''}" for i, s in enumerate(steps, 1)]
     rows = [r.asDict() for r in strains.collect()]  # one for each strain
-    with open(f"{folder}/profile.json", "w") as f:
-        json.dump({"species": species, "k": len(rows), "residual": p.selection.residual, "r2": p.selection.r2, "components": rows, "trace": steps}, f, default=str)
-    cells = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r.values()) + "</tr>" for r in rows)
-    head = "".join(f"<th>{escape(c)}</th>" for c in strains.columns)
-    with open(f"{folder}/report.html", "w") as f:
-        f.write(f"<!doctype html><meta charset=utf-8><title>{escape(species)}</title><h1>{escape(species)}</h1><table><tr>{head}</tr>{cells}</table>")
+    put_text(spark, f"{folder}/selection.tsv", "\n".join(lines) + "\n")
+    put_text(spark, f"{folder}/profile.json", json.dumps({"species": species, "k": len(rows), "residual": p.selection.residual, "r2": p.selection.r2, "components": rows, "trace": steps}, default=str))
+    put_text(spark, f"{folder}/report.html", report(species, info.get("collection", ""), [(species, p, rows, *reads)]))
+    put_text(spark, f"{folder}/run.toml", manifest(options, species=species, **info))
+
+
+def write_gather(gathered: DataFrame, path: str) -> None:
+    """name, f_query, f_match and the running share of the query as tab-separated text, in the order of the rounds."""
+    run = F.round(F.sum("f_query").over(W.partitionBy("query").orderBy("round").rowsBetween(W.unboundedPreceding, 0)), 4)
+    rows = gathered.withColumn("cum_f_query", run).orderBy("query", "round").select("name", "f_query", "f_match", "cum_f_query")
+    rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def detection(gathered: DataFrame) -> DataFrame:
     """genome, species, f_query, f_match and the running share of the query, in the order of the rounds."""
-    from pyspark.sql import Window as W
-
     run = F.sum("f_query").over(W.partitionBy("query").orderBy("round").rowsBetween(W.unboundedPreceding, 0))
     text = lambda c: F.format_string("%.6f", c)
     return gathered.select("query", "round", F.col("name").alias("genome"), F.substring_index("name", "@", 1).alias("species"), text(F.col("f_query")).alias("f_query"), text(F.col("f_match")).alias("f_match"), text(run).alias("cum_f_query"))

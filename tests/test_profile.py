@@ -1,10 +1,12 @@
 """A planted two-strain profile end to end, collapse, fence and reconciliation."""
 
 import json
+import tomllib
 
 import numpy as np
 from helixlake.operators import assign as A
 from helixlake.operators import mixture as M
+from helixlake.operators.tables import quantiles
 from helixlake.plans import profile as P
 
 
@@ -28,7 +30,32 @@ def test_two_strains(spark, tmp_path):
     P.write_profile(found, str(tmp_path / "out"), "s__Foo")
     data = json.loads((tmp_path / "out/profile.json").read_text())
     assert data["k"] == 2 and {c["anchor"] for c in data["components"]} == {"A", "B"}
-    assert "<table>" in (tmp_path / "out/report.html").read_text()
+    page = (tmp_path / "out/report.html").read_text()
+    assert page.count("<table>") == 2 and "2 strains" in page and "kept" in page
+    told = tomllib.loads((tmp_path / "out/run.toml").read_text())
+    assert told["species"] == "s__Foo" and told["profile"]["k_max"] == 12
+    lines = (tmp_path / "out/selection.tsv").read_text().splitlines()
+    assert len(lines) == 1 + len(found.selection.steps) and lines[-1].endswith("cv_paired")
+
+
+def test_leave_one_out_and_own_steps(spark):
+    """A strain that is held out leaves its private families to the others; selector and assigner may be replaced."""
+    held = P.profile(*graph(spark), exclude=["B"])
+    assert "B" not in held.selection.labels and "A" in held.selection.labels
+    mine = {r["family"] for r in held.genes.where("status = 'reassigned'").collect()}
+    assert mine <= {f"b{i}" for i in range(10)}
+    seen = []
+
+    def chooser(presence, depth, priority, options):
+        seen.append(priority)
+        return P.select(presence.where("strain = 'A'"), depth, priority, options)
+
+    def assigner(nodes, edges, presence, members, abundance, least, most):
+        return A.observed(nodes, A.carriers(presence, members), abundance)
+
+    own = P.profile(*graph(spark), selector=chooser, assigner=assigner)
+    assert own.selection.labels == ["A"] and seen == [{"A": 10, "B": 10, "C": 0}]
+    assert {r["status"] for r in own.genes.collect()} == {"observed"}
 
 
 def test_nothing_mapped(spark):
@@ -48,8 +75,19 @@ def test_fence_and_folds(spark):
     depth = spark.createDataFrame([(i, float(1 + i % 3)) for i in range(40)] + [(98, 1000.0), (99, 0.0)], "fam int, y double")
     kept = {r["fam"] for r in M.fence(depth).collect()}
     assert 98 not in kept and 99 in kept and len(kept) == 41
-    folds = M.seeded_folds(M.ordered(depth)).orderBy("fam_ord").toPandas()
-    assert folds["fam"].is_monotonic_increasing and folds["fold"].tolist() == np.random.default_rng(0).integers(0, 5, size=42).tolist()
+    folds = M.seeded_folds(M.ordered(M.fence(depth))).orderBy("fam_ord").toPandas()
+    want = np.random.default_rng(0).integers(0, 5, size=41).tolist()
+    assert folds["fam"].is_monotonic_increasing and folds["fold"].tolist() == want
+    for block in (1, 7, 41):
+        assert M.seeded_folds(M.ordered(M.fence(depth)), block=block).orderBy("fam_ord").toPandas()["fold"].tolist() == want
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    for values in (rng.integers(0, 4, 301) / 2, rng.normal(size=64), np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in values], "y double").repartition(3)
+        assert np.allclose(quantiles(df, "y", [0.0, 0.25, 0.5, 0.9, 1.0]), np.quantile(values, [0.0, 0.25, 0.5, 0.9, 1.0]))
+    assert quantiles(df.where("false"), "y", [0.5]) == [None]
 
 
 def test_gram_is_the_sum_of_its_folds(spark):

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from helixlake.functions import parsing as X
@@ -36,22 +37,47 @@ def test_bank_lines(spark, tmp_path):
     assert [r["path"] for r in discover.file_of_files(spark, str(tmp_path / "list.txt")).collect()] == ["a.fa", "b.fa"]
 
 
-@pytest.mark.parametrize(("spec", "parts"), [("X", ("X", "latest", None)), ("X@2.0.0", ("X", "2.0.0", None)), ("X@2.0.0:s__Foo", ("X", "2.0.0", "s__Foo")), ("X:s__Foo", ("X", "latest", "s__Foo"))])
-def test_specs(spark, spec, parts):
-    c = F.lit(spec)
-    assert tuple(spark.range(1).select(X.collection_name(c), X.collection_version(c), X.collection_member(c)).first()) == parts
+def test_specs_read_back(spark):
+    """Every spec that can be put together gives its parts back; what has a part too many or an empty one is an error."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("kmnrtz_-.7") for _ in range(rng.randint(1, 6)))
+    want = [(word(), rng.choice([None, word()]), rng.choice([None, word()])) for _ in range(60)]
+    specs = [n + (f"@{v}" if v else "") + (f":{m}" if m else "") for n, v, m in want]
+    c = X.checked_spec(F.col("s"))
+    got = spark.createDataFrame([(s,) for s in specs], "s string").select(X.collection_name(c), X.collection_version(c), X.collection_member(c)).collect()
+    assert [tuple(r) for r in got] == [(n, v or "latest", m) for n, v, m in want]
+    for bad in ("kmn@1:a:b", "kmn:a:b", "kmn@", "kmn@:a", "", "kmn:", "k@1@2"):
+        with pytest.raises(Exception, match="not a collection spec"):
+            spark.createDataFrame([(bad,)], "s string").select(c).collect()
 
 
 def test_scalar_parsing(spark):
-    one = lambda c: spark.range(1).select(c).first()[0]
-    assert [one(X.value_kind(F.lit(x))) for x in ("42", "3.14", "abc")] == ["int", "float", "str"]
-    assert [one(X.is_fastx(F.lit(x))) for x in ("x.fa", "x.fasta.gz", "reads.fq.gz", "x.gbff", "x.txt", "x.gz")] == [True, True, True, False, False, False]
-    assert [one(X.partition_colour(F.lit(x))) for x in ("P", "shell", "C", "q")] == ["#e59c04", "#00d860", "#79deff", "#d62728"]
-    assert one(X.label_family(F.lit("<fam:1>:79"))) == "fam:1" and one(X.label_hits(F.lit("<fam:1>:79"))) == 79
-    assert one(X.include_list(F.lit(" a, b,,"))) == ["a", "b"] and one(X.include_list(F.lit("*"))) is None
-    assert one(X.signature_name(F.lit("pan1"), F.lit("/d/genome11.fa"))) == "pan1@genome11"
-    assert one(X.signature_name(F.lit("pan1"), F.lit("/dir/genome11.fa"), True)) == "pan1@dir"
-    assert one(X.human_size(F.lit(1536))) == "1.5 KB"
+    def told(values, column):
+        return [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i").select(column(F.col("v"))).collect()]
+
+    def kind(text):
+        for of in (int, float):
+            try:
+                of(text)
+                return of.__name__
+            except ValueError:
+                pass
+        return "str"
+
+    values = ["0", "-17", "+5", "6.25", "1e3", "-.5", "7 apples", "", "0x1f", "12,5", "north"]
+    assert told(values, X.value_kind) == [kind(v) for v in values]
+    names = [f"/bank/s{i}{a}{b}" for i, (a, b) in enumerate((a, b) for a in (".FNA", ".fq", ".fastq", ".fasta", ".fa", ".gbff", ".tsv", "") for b in ("", ".gz"))]
+    fastx = lambda n: n.lower().removesuffix(".gz").rsplit(".", 1)[-1] in X.FASTX
+    assert told(names, X.is_fastx) == [fastx(n) for n in names]
+    assert told(["Persistent", "S", "cloud", "shell", "P", "unknown"], X.partition_colour) == [X.COLOURS[k] for k in ("P", "S", "C", "S", "P", "other")]
+    labels = [(f"<g{i}{':x' * (i % 2)}>", 3 * i) for i in range(4)]
+    assert told([f"{n}:{h}" for n, h in labels], X.label_family) == [n[1:-1] for n, _ in labels]
+    assert told([f"{n}:{h}" for n, h in labels], X.label_hits) == [h for _, h in labels]
+    assert told([" kt , mz,, ", "*", None, " * "], X.include_list) == [["kt", "mz"], None, None, None]
+    assert told(["/bank/sp9/iso3.fna"], lambda c: X.signature_name(F.lit("sp9"), c)) == ["sp9@iso3"]
+    assert told(["/bank/iso3/contigs.fna"], lambda c: X.signature_name(F.lit("sp9"), c, True)) == ["sp9@iso3"]
+    sizes = [0, 1023, 1024, 5 * 1024**2 // 2, 7 * 1024**3, 3 * 1024**4]
+    assert told(map(str, sizes), lambda c: X.human_size(c.cast("double"))) == ["0.0 B", "1023.0 B", "1.0 KB", "2.5 MB", "7.0 GB", "3.0 TB"]
 
 
 def test_catalogue(spark):
@@ -74,8 +100,6 @@ def test_mapping_tsv(spark):
 
 
 def test_sketches(spark):
-    import random
-
     random.seed(5)
     base = "".join(random.choice("ACGT") for _ in range(3000))
     flip = str.maketrans("ACGT", "TGCA")
