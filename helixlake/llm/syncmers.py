@@ -25,10 +25,10 @@ CELLS, ROWS_PER_BUCKET, LEVELS = 65_536, 4_000, 4
 
 
 def _hashes(text: Column) -> Column:
-    runs = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
     windows = lambda r: F.regexp_extract_all(r, F.lit(rf"(?=(\S{{{WINDOW}}}))"), F.lit(1))
-    cut = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= CHUNK, F.array(r)).otherwise(windows(r))))
-    return F.transform(F.when(text.rlike(rf"\S{{{CHUNK + 1}}}"), cut).otherwise(runs), lambda t: F.xxhash64(t))
+    cut = lambda runs: F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= CHUNK, F.array(r)).otherwise(windows(r))))
+    tokens = lambda runs: F.when(F.exists(runs, lambda r: F.length(r) > CHUNK), cut(runs)).otherwise(runs)
+    return F.transform(let(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), tokens), lambda t: F.xxhash64(t))
 
 
 def _shifted(of: Column, n: Column, count: int) -> list[Column]:
