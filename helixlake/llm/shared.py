@@ -52,6 +52,12 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def single_threaded(spark: SparkSession) -> None:
+    """Python workers from now on leave matrix products to one thread each; the tasks are the parallel part."""
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+        spark.sparkContext.environment.setdefault(name, "1")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
