@@ -5,8 +5,9 @@ word, each hashed to one of SIZE places.  FTRL-proximal keeps a learning rate fo
 each coordinate, and its L1 term leaves most weights at zero, so the weights that are
 broadcast are a few thousand numbers.
 
-The fit runs over a bounded sample of the labelled training rows (MOST_ROWS, by the
-order of a hash) in one task; scoring covers every document.
+The fit runs over a bounded sample of the labelled training rows (MOST_ROWS, and
+MOST_PLACES features, by the order of a hash) in one task, which reads them one after
+the other; scoring covers every document.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from .textbatch import joined, mix, prefix_hash, range_hash, slices
 
 BITS = 20
 SIZE = 1 << BITS
-MOST_ROWS = 16_000
+#: Bounds of the training sample: rows, and features of all its rows together.
+MOST_ROWS, MOST_PLACES = 16_000, 50_000_000
 EPOCHS, ALPHA, BETA, L1, L2 = 5, 1.0, 1.0, 4.0, 0.1
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -74,31 +76,48 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             place, row = features(texts[a:b])
             key = np.unique(row * SIZE + place)
             parts = np.split((key % SIZE).astype(np.int32), np.searchsorted(key, np.arange(1, b - a) * SIZE))
-            yield pd.DataFrame({"one": 1, "ord": pdf["ord"].iloc[a:b].to_numpy(), "label": pdf["label"].iloc[a:b].to_numpy(), "places": [p.tobytes() for p in parts]})
+            own = pdf.iloc[a:b]
+            yield pd.DataFrame({"id": own["id"].to_numpy(), "ord": own["ord"].to_numpy(), "label": own["label"].to_numpy(), "places": [p.tobytes() for p in parts]})
 
 
-def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("ord")
-    w = ftrl([np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["places"]], pdf["label"].to_numpy(float))
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows, y, held = [], [], 0
+    for pdf in batches:
+        for label, places in zip(pdf["label"], pdf["places"], strict=True):
+            held += len(places) // 4
+            if held <= MOST_PLACES:
+                rows.append(np.frombuffer(places, np.int32).astype(np.int64))
+                y.append(label)
+    w = ftrl(rows, np.array(y, float))
     at = np.flatnonzero(w)
-    return pd.DataFrame({"place": at, "weight": w[at]})
+    yield pd.DataFrame({"place": at, "weight": w[at]})
 
 
 def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> np.ndarray:
-    """Dense weights; with no labelled row all are zero, and every score is one half."""
-    known = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    sample = known.orderBy(F.xxhash64(id_col), id_col).limit(MOST_ROWS).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label"))
+    """Dense weights; with no labelled row all are zero, and every score is one half.
+
+    Rows with a null id or label are passed over.  Of an id with several labels the
+    greatest counts, and of several rows of docs with that id the one of the least hash.
+    """
+    known = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("double")).alias("label"))
+    sample = known.orderBy(F.xxhash64(id_col), id_col).limit(MOST_ROWS).select(F.col(id_col).alias("_id"), "label")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = slim.join(F.broadcast(sample), F.col("id") == F.col("_id")).select("text", "label", F.xxhash64(F.lit(7), "id").alias("ord"))
-    hashed = rows.mapInPandas(_hashed, "one int, ord long, label double, places binary")
-    fitted = hashed.groupBy("one").applyInPandas(_fitted, "place long, weight double").toPandas()  # sparse, at most SIZE rows
+    rows = slim.join(F.broadcast(sample), F.col("id") == F.col("_id")).select("id", "text", "label", F.xxhash64(F.lit(7), "id").alias("ord"))
+    kind = dict(slim.dtypes)["id"]
+    hashed = rows.mapInPandas(_hashed, f"id {kind}, ord long, label double, places binary")
+    one = hashed.groupBy("id", "ord").agg(F.min_by(F.struct("label", "places"), F.xxhash64("places")).alias("r")).select("id", "ord", "r.*")
+    fitted = one.repartition(1).sortWithinPartitions("ord", "id").select("label", "places").mapInPandas(_fitted, "place long, weight double").toPandas()  # sparse, at most SIZE rows
     w = np.zeros(SIZE, np.float32)
     w[fitted["place"].to_numpy(np.int64)] = fitted["weight"].to_numpy()
     return w
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score of each row; null counts as the empty text, scored by the constant alone."""
+    """id and score of each row; null counts as the empty text, scored by the constant alone.
+
+    Each row is scored on its own text, so equal texts score the same and repeated ids
+    play no part.  Other columns are ignored; an empty table gives no row.
+    """
     at = np.flatnonzero(weights)
     shared = docs.sparkSession.sparkContext.broadcast((at, weights[at]))
     dense: list[np.ndarray] = []
