@@ -28,6 +28,8 @@ from .textbatch import mix, slices
 N = 4
 MIN_RATE, SHARE = 5e-5, 0.2
 SLOTS, PROBES = 1 << 17, 2
+#: Languages of a model: those with the most text, the first by name where that is equal.
+MOST_LANGUAGES = 512
 UNDETERMINED = "und"
 _ALPHA: list[np.ndarray] = []
 
@@ -104,11 +106,12 @@ def build(chosen: list[tuple[str, int]]) -> Model:
     languages = sorted({lang for lang, _ in chosen})
     place = {lang: i for i, lang in enumerate(languages)}
     table = np.zeros((SLOTS, max(1, -(-len(languages) // 64))), np.uint64)
-    for lang, i in place.items():
-        h = np.array([g for x, g in chosen if x == lang], np.int64).view(np.uint64)
-        for p in range(PROBES):
-            at = (mix(h + np.uint64(p * 0x51ED27)) >> np.uint64(40)).astype(np.int64) % SLOTS
-            table[at, i // 64] |= np.uint64(1) << np.uint64(i % 64)
+    own = np.array([place[lang] for lang, _ in chosen], np.int64)
+    h = np.array([g for _, g in chosen], np.int64).view(np.uint64)
+    bit = np.uint64(1) << (own % 64).astype(np.uint64)
+    for p in range(PROBES):
+        at = (mix(h + np.uint64(p * 0x51ED27)) >> np.uint64(40)).astype(np.int64) % SLOTS
+        np.bitwise_or.at(table, (at, own // 64), bit)
     fill = [((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))]
     return Model(languages, table, np.array(fill) ** PROBES)
 
@@ -139,27 +142,30 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """The model of rows with a language and a text; other rows are passed over."""
+    """The model of rows with a language and a text; other rows are passed over, and every row counts as often as it occurs."""
     known = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = known.mapInPandas(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_gram = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))  # at most one entry for each language
-    totals = {r["lang"]: r["n"] for r in known.select("lang", F.length("text").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    sizes = known.select("lang", F.length("text").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = {r["lang"]: r["n"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not totals:
         return build([])
+    known = known.where(F.col("lang").isin(list(totals)))
+    counts = known.mapInPandas(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    by_gram = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))  # at most one entry for each language
     rate = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(1.0 / max(1, n)))])
     rated = by_gram.select("gram", F.transform("by", lambda b: F.struct(b["lang"].alias("lang"), (b["n"] * F.element_at(rate, b["lang"])).alias("rate"))).alias("by"))
     most = F.array_max(F.transform("by", lambda b: b["rate"]))
     good = F.filter("by", lambda b: (b["rate"] >= MIN_RATE) & (b["rate"] >= SHARE * most))
     chosen = rated.select("gram", F.explode(good).alias("b")).select("b.lang", "gram")
-    found = [(r["lang"], r["gram"]) for r in chosen.collect()]  # at most 1 / MIN_RATE for each language
-    return build(found)
+    found = chosen.toPandas()  # at most 1 / MIN_RATE for each language
+    return build(list(zip(found["lang"], found["gram"].astype("int64"), strict=True)))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score of each row of docs.
 
     Null texts and texts without a letter are `und` with score 0.  Equal texts get
-    equal answers; the first language by name wins a tie.
+    equal answers, whatever their ids; the first language by name wins a tie.  Other
+    columns are ignored, and an empty table gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return answers(docs, id_col, text_col, {"lang_pred": "string", "score": "double"}, lambda: shared.value.decide)
