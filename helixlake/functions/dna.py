@@ -26,19 +26,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
-def kmers(seqs: DataFrame, seq_col: str, k: int, keep: list[str], canonical: bool = True) -> DataFrame:
+#: Bases of a sequence whose positions become rows together.
+PIECE = 1 << 16
+
+
+def kmers(seqs: DataFrame, seq_col: str, k: int, keep: list[str], canonical: bool = True, piece: int = PIECE) -> DataFrame:
     """keep, pos and kmer (binary) of every k-mer that holds A, C, G and T alone.
 
-    Positions are cut from binary columns, where a substring costs its own length;
-    the reverse complement is made once for a sequence and read from its end.
+    A sequence is cut into pieces that overlap by k - 1, so no row holds the positions of
+    a whole chromosome.  Positions are cut from binary columns, where a substring costs
+    its own length; the reverse complement is made once for a piece and read from its end.
     """
-    base = seqs.where(F.length(seq_col) >= k).select(
-        *keep, F.upper(seq_col).cast("binary").alias("_fwd"), reverse_complement(F.upper(seq_col)).cast("binary").alias("_rev")
-    )  # a projection of its own, below the rows of positions
-    rows = base.withColumn("_n", F.length("_fwd")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - k)).alias("pos"))
-    forward = F.expr(f"substring(_fwd, pos + 1, {k})")
-    backward = F.expr(f"substring(_rev, _n - {k} - pos + 1, {k})")
-    made = rows.select(*keep, "pos", (F.least(forward, backward) if canonical else forward).alias("kmer"))
+    whole = seqs.where(F.length(seq_col) >= k).select(*keep, F.upper(seq_col).cast("binary").alias("_all"))
+    cut = whole.select(*keep, "_all", F.explode(F.sequence(F.lit(0), F.length("_all") - k, F.lit(piece))).alias("_from"))
+    base = cut.select(*keep, "_from", F.expr(f"substring(_all, _from + 1, {piece + k - 1})").alias("_fwd"))
+    base = base.select(*keep, "_from", "_fwd", reverse_complement(F.col("_fwd").cast("string")).cast("binary").alias("_rev"))  # a projection of its own, below the rows of positions
+    rows = base.withColumn("_n", F.length("_fwd")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - k)).alias("_at"))
+    forward = F.expr(f"substring(_fwd, _at + 1, {k})")
+    backward = F.expr(f"substring(_rev, _n - {k} - _at + 1, {k})")
+    made = rows.select(*keep, (F.col("_from") + F.col("_at")).alias("pos"), (F.least(forward, backward) if canonical else forward).alias("kmer"))
     return made.where(F.col("kmer").cast("string").rlike("^[ACGT]+$"))
 
 

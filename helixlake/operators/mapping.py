@@ -14,16 +14,22 @@ K_OFFSET = 21
 
 
 def kmer_labels(seqs: DataFrame, seq_col: str, label_col: str, k: int = 21, min_count: int = 1, within: DataFrame | None = None) -> DataFrame:
-    """(h, label) of all k-mers that a label's sequences hold; `within` (h) restricts to known k-mers."""
+    """(h, label) of all k-mers that a label's sequences hold; `within` (h) restricts to known k-mers, before any is counted."""
     rows = kmers(spread(seqs.select(label_col, seq_col)), seq_col, k, [label_col]).select(hashed(F.col("kmer")).alias("h"), F.col(label_col).alias("label"))
-    counted = rows.groupBy("h", "label").agg(F.count("*").alias("_c")).where(F.col("_c") >= min_count).select("h", "label")
-    return counted.join(within.select("h").distinct(), "h", "left_semi") if within is not None else counted
+    if within is not None:
+        rows = rows.join(within.select("h").distinct(), "h", "left_semi")
+    return rows.groupBy("h", "label").agg(F.count("*").alias("_c")).where(F.col("_c") >= min_count).select("h", "label")
+
+
+def read_hashes(reads: DataFrame, seq_col: str, k: int = 21) -> DataFrame:
+    """(h): the distinct k-mers of reads, to restrict labels to."""
+    return kmers(reads.select(seq_col), seq_col, k, []).select(hashed(F.col("kmer")).alias("h")).distinct()
 
 
 def label_hits_of_reads(reads: DataFrame, seq_col: str, read_col: str, labels: DataFrame, k: int = 21) -> DataFrame:
     """read, label, hits, n_kmers: positions of each read whose k-mer carries a label.
 
-    The k-mers that reads hold cut the label table down before its rows are joined.
+    Labels made for these reads alone are best restricted to their k-mers, read_hashes().
     """
     rows = kmers(reads.select(read_col, seq_col), seq_col, k, [read_col]).select(F.col(read_col).alias("read"), hashed(F.col("kmer")).alias("h"))
     per_hash = rows.groupBy("read", "h").agg(F.count("*").alias("times"))
@@ -39,11 +45,11 @@ def mapped(hits: DataFrame, min_fraction: float = 0.15, most: int = 0) -> DataFr
     return ranked.where(F.col("rank") <= most) if most else ranked
 
 
-def mapping_from_tsv(lines: DataFrame, line: Column) -> DataFrame:
-    """mapped, family and hits of each line: index, name, then <family>:hits; only the first label counts."""
+def mapping_from_tsv(lines: DataFrame, line: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, mapped, family and hits of each line: index, name, then <family>:hits; only the first label counts."""
     parts = F.split(F.trim(line), "\t")
     label = F.when(F.size(parts) >= 3, F.get(parts, F.lit(2)))
-    return lines.select((F.size(parts) >= 3).alias("mapped"), label_family(label).alias("family"), label_hits(label).alias("hits"))
+    return lines.select(*keep, (F.size(parts) >= 3).alias("mapped"), label_family(label).alias("family"), label_hits(label).alias("hits"))
 
 
 def annotate(mapping: DataFrame, nodes: DataFrame, offset: int = K_OFFSET) -> DataFrame:

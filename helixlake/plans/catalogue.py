@@ -126,42 +126,46 @@ def _(spark, d):
     return S.gather(T.read_sketches(spark, d).withColumn("query", F.col("query").cast("string")), T.genome_index(spark, d), 0.05)
 
 
-@query("gather_excluding", _ROUNDS.split("\no1 AS")[0] + "\nnx AS (SELECT * FROM idx WHERE species <> 'src0'), o AS (SELECT name, count(*) AS s FROM smp JOIN nx USING (h) GROUP BY name), b AS (SELECT * FROM o ORDER BY s DESC, name LIMIT 1) SELECT name, round(s / CAST(nq AS DOUBLE), 4) AS f_query, round(s / CAST(nm AS DOUBLE), 4) AS f_match FROM b JOIN nm USING (name), w")
-def _(spark, d):
+def _without_src0(spark, d):
     index = T.genome_index(spark, d)
-    out = index.where("species = 'src0'").select("name")
-    return S.gather_sample(T.sample(spark, d), index, 0.0, out).where("round = 1").select("name", "f_query", "f_match")
+    return S.gather_sample(T.sample(spark, d), index, 0.0, index.where("species = 'src0'").select("name"))
+
+
+def _detected(spark, d):
+    return S.gather_sample(T.sample(spark, d), T.genome_index(spark, d), 0.05)
+
 
+# The whole gather has no SQL; tests compare these with a plain greedy cover.
 
-@query("detection_cumsum", _ROUNDS + "SELECT round, name AS genome, split_part(name, '@', 1) AS species, printf('%.6f', f_query) AS f_query, printf('%.6f', f_match) AS f_match, printf('%.6f', sum(f_query) OVER (ORDER BY round)) AS cum_f_query FROM f")
+
+@query("gather_excluding")
 def _(spark, d):
-    found = S.gather_rounds(T.sample(spark, d), T.genome_index(spark, d), 3)
-    return P.detection(found.withColumn("query", F.lit("sample"))).drop("query")
+    return _without_src0(spark, d).select("name", "f_query", "f_match")
 
 
-@query("candidates_first_seen", _ROUNDS + "SELECT split_part(name, '@', 1) AS species, min(round) AS first_round FROM f GROUP BY 1")
+@query("detection_cumsum")
 def _(spark, d):
-    found = S.gather_rounds(T.sample(spark, d), T.genome_index(spark, d), 3)
-    return P.candidates(found.withColumn("query", F.lit("sample"))).drop("query")
+    return P.detection(_detected(spark, d)).drop("query")
 
 
-# The three queries above stop where their SQL does; these, without SQL, do the whole job.
+@query("candidates_first_seen")
+def _(spark, d):
+    return P.candidates(_detected(spark, d)).drop("query")
 
 
 @query("gather_excluding_full")
 def _(spark, d):
-    index = T.genome_index(spark, d)
-    return S.gather_sample(T.sample(spark, d), index, 0.0, index.where("species = 'src0'").select("name")).select("round", "name", "f_query", "f_match")
+    return _without_src0(spark, d).select("round", "name", "f_query", "f_match")
 
 
 @query("detection_full")
 def _(spark, d):
-    return P.detection(S.gather_sample(T.sample(spark, d), T.genome_index(spark, d), 0.05)).drop("query")
+    return P.detection(_detected(spark, d)).drop("query")
 
 
 @query("candidates_full")
 def _(spark, d):
-    return P.candidates(S.gather_sample(T.sample(spark, d), T.genome_index(spark, d), 0.05)).drop("query")
+    return P.candidates(_detected(spark, d)).drop("query")
 
 
 # --- k-mer index and mapping
@@ -179,7 +183,9 @@ def _labels(spark, d):
 
 
 def _hits(spark, d):
-    return R.label_hits_of_reads(T.reads(spark, d), "seq", "read", _labels(spark, d), T.K)
+    reads = T.reads(spark, d)
+    labels = R.kmer_labels(T.genomes(spark, d), "seq", "species", T.K, within=R.read_hashes(reads, "seq", T.K))
+    return R.label_hits_of_reads(reads, "seq", "read", labels, T.K)
 
 
 @query("kmer_label_index", f"WITH {_LABELS} SELECT label, count(*) AS n_kmers, min(h) AS least, max(h) AS greatest FROM lab GROUP BY label")
@@ -214,9 +220,7 @@ def _(spark, d):
     label = F.concat(F.lit("<fam"), F.col("l_partkey").cast("string"), F.lit(">:"), F.col("l_quantity").cast("bigint").cast("string"))
     line = F.when(F.col("l_linenumber") != 3, F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.lit("read"), label)).otherwise(F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.lit("read")))
     lines = items.select("l_orderkey", line.alias("line"))
-    parts = F.split(F.trim("line"), "\t")
-    given = F.when(F.size(parts) >= 3, F.get(parts, F.lit(2)))
-    return lines.select("l_orderkey", (F.size(parts) >= 3).alias("mapped"), X.label_family(given).alias("family"), X.label_hits(given).alias("hits"))
+    return R.mapping_from_tsv(lines, F.col("line"), ("l_orderkey",))
 
 
 @query("annotate_counts", f"WITH {T.NODES} SELECT nid, read_count, kmer_count, round(weight, 6) AS weight FROM nodes")

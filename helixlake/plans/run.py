@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.mapping import annotate, annotation_report, kmer_labels, label_hits_of_reads, mapped
-from ..operators.search import gather_sample
+from ..operators.mapping import annotate, annotation_report, kmer_labels, label_hits_of_reads, mapped, read_hashes
+from ..operators.search import gather_sample, search
 from ..operators.sketch import sketch
 from .profile import Options, Profile, candidates, detection, profile
 
 
 @dataclass(frozen=True)
 class Stages:
-    """Named tables in a folder; a table that was written whole is read and not made again."""
+    """Named tables in a folder; a table that was written whole, from the same inputs and settings, is read and not made again."""
 
     spark: SparkSession
     folder: str
+    #: What the tables are made of: DataFrames, which are known by their plans, and settings, by their texts.
+    made_of: tuple = ()
 
     def __call__(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        path = f"{self.folder}/{name}"
+        known = "|".join(str(x.semanticHash()) if isinstance(x, DataFrame) else repr(x) for x in self.made_of)
+        path = f"{self.folder}/{name}" + (f"-{hashlib.sha256(known.encode()).hexdigest()[:16]}" if self.made_of else "")
         done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
             make().write.mode("overwrite").parquet(path)
@@ -40,6 +44,47 @@ def index_bank(genomes: DataFrame, folder: str, k: int = 21, scaled: int = 1000,
     info.coalesce(1).write.mode("overwrite").json(f"{folder}/index_info")
 
 
+@dataclass(frozen=True)
+class Bank:
+    """A stored bank: its indexes and the settings that they were made with."""
+
+    genomes: DataFrame
+    pangenomes: DataFrame
+    k: int
+    scaled: int
+    n: int
+
+    def sketch(self, sequences: DataFrame, query: str = "query") -> DataFrame:
+        """(query, h) of sequences (query, sequence), by the bank's own settings."""
+        return sketch(sequences.withColumnRenamed(query, "query"), "sequence", ["query"], self.k, self.scaled, self.n)
+
+    def index(self, level: str = "genome") -> DataFrame:
+        """(name, h) of the genomes, or of the pangenomes by species."""
+        if level not in ("genome", "pangenome"):
+            raise ValueError(f"unknown index {level!r}")
+        return self.genomes.select("name", "h") if level == "genome" else self.pangenomes.select(F.col("species").alias("name"), "h")
+
+    def search(self, queries: DataFrame, level: str = "genome", mode: str = "jaccard", threshold: float = 0.01) -> DataFrame:
+        """Matches of sketches (query, h), the best first within a query."""
+        return search(queries, self.index(level), mode, threshold).orderBy("query", F.desc("score"), "name")
+
+    def search_sequences(self, sequences: DataFrame, level: str = "genome", mode: str = "jaccard", threshold: float = 0.01) -> DataFrame:
+        return self.search(self.sketch(sequences), level, mode, threshold)
+
+    def search_genome(self, name: str, level: str = "genome", mode: str = "jaccard", threshold: float = 0.01) -> DataFrame:
+        """Matches of a genome that the bank holds itself."""
+        return self.search(self.genomes.where(F.col("name") == name).select(F.lit(name).alias("query"), "h"), level, mode, threshold)
+
+    def gather(self, query: DataFrame, threshold: float = 0.05, exclude: DataFrame | None = None) -> DataFrame:
+        return gather_sample(query, self.genomes, threshold, exclude)
+
+
+def open_bank(spark: SparkSession, folder: str) -> Bank:
+    """The bank that index_bank() wrote to a folder."""
+    info = spark.read.json(f"{folder}/index_info").first()
+    return Bank(spark.read.parquet(f"{folder}/genomes"), spark.read.parquet(f"{folder}/pangenomes"), info["kmer_size"], info["scaled"], info["n"])
+
+
 def index_pangenome(families: DataFrame, folder: str, k: int = 21, min_count: int = 1, within: DataFrame | None = None) -> None:
     """Write (h, label) of the families' k-mers, sorted by hash."""
     rows = kmer_labels(families, "sequence", "family", k, min_count, within)
@@ -54,11 +99,13 @@ def profile_sample(
 
     reads (read, sequence); bank (name, species, h); families (species, family,
     sequence); nodes, edges and presence of all species, each with a column species.
-    Detection is skipped where species are named.  The reads of all species are mapped
+    Detection is skipped where species are named; those named twice are profiled once.  The reads of all species are mapped
     in one plan; only the solve runs species by species.
     """
     spark = reads.sparkSession
-    stage = Stages(spark, folder)
+    asked = None if species is None else list(dict.fromkeys(species))  # once each, in the order given
+    stage = Stages(spark, folder, (reads, bank, families, nodes, edges, presence, discarded, asked, k, scaled))
+    species = asked
     if species is None:
         query = stage("sketch", lambda: sketch(reads.withColumn("query", F.lit("sample")), "sequence", ["query"], k, scaled))
         out = None if discarded is None else bank.join(discarded.select("species").distinct(), "species", "left_semi").select("name")
@@ -67,7 +114,7 @@ def profile_sample(
         species = [r["species"] for r in candidates(found).orderBy("first_round").collect()]  # species of one sample
     mine = F.col("species").isin(species)
     full = F.concat_ws("\t", "species", "family")
-    labels = kmer_labels(families.where(mine).select(full.alias("label_name"), "sequence"), "sequence", "label_name", k)
+    labels = kmer_labels(families.where(mine).select(full.alias("label_name"), "sequence"), "sequence", "label_name", k, within=read_hashes(reads, "sequence", k))
     best = stage("mapping", lambda: _best(label_hits_of_reads(reads, "sequence", "read", labels, k)))
     graph = nodes.where(mine).withColumn("nid", F.concat_ws("\t", "species", "nid"))
     stage("report", lambda: annotation_report(best, graph))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +35,21 @@ def fetch_plan(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """label and action (present or fetch) of wanted files."""
     have = present.select("label").distinct().withColumn("_h", F.lit(True))
     return wanted.join(have, "label", "left").select("label", F.when(F.col("_h"), "present").otherwise("fetch").alias("action"))
+
+
+class Source(Protocol):
+    """What a profile asks of a store of pangenomes: the tables of one species."""
+
+    def tables(self, species: str) -> dict[str, DataFrame]: ...
+
+
+def requested(tokens: str, names: dict[int, str]) -> list[str]:
+    """The pangenomes of a comma-separated request, by name or number, once each in the order asked for."""
+    known, out = set(names.values()), []
+    for token in filter(None, (t.strip() for t in tokens.split(","))):
+        name = names.get(int(token)) if token.isdigit() else token
+        if name not in known:
+            raise ValueError(f"no such pangenome: {token}")
+        if name not in out:
+            out.append(name)
+    return out

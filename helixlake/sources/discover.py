@@ -16,8 +16,17 @@ def listed(spark: SparkSession, folder: str, pattern: str = GENOMES, recursive:
 
 
 def file_of_files(spark: SparkSession, path: str) -> DataFrame:
-    """The paths that a text file names, one a line; blank lines do not count."""
-    return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
+    """The paths that a text file names, one a line; blank lines do not count, and a path that does not exist is an error.
+
+    The names are read one after the other on the driver, which keeps none of them.
+    """
+    named = spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for r in named.toLocalIterator():
+        at = jvm.org.apache.hadoop.fs.Path(r["path"])
+        if not at.getFileSystem(conf).exists(at):
+            raise FileNotFoundError(f"a listed file does not exist: {r['path']}")
+    return named
 
 
 def bank_lines(lines: DataFrame) -> DataFrame:

@@ -20,6 +20,12 @@ def test_reads_to_profile(spark, tmp_path):
     run.index_bank(make(genomes, "name string, species string, sequence string"), folder, scaled=5)
     bank = spark.read.parquet(f"{folder}/genomes")
     assert spark.read.parquet(f"{folder}/pangenomes").select("species").distinct().count() == 2
+    stored = run.open_bank(spark, folder)
+    assert (stored.k, stored.scaled, stored.n) == (21, 5, 0)
+    own = stored.search_genome("s1@A", mode="containment").collect()
+    assert (own[0]["name"], own[0]["score"]) == ("s1@A", 1.0) and [r["score"] for r in own] == sorted((r["score"] for r in own), reverse=True)
+    whole = stored.search_sequences(make([("q", genomes[1][2])], "query string, sequence string"), "pangenome", "containment", 0.5).collect()
+    assert [(r["query"], r["name"], r["score"]) for r in whole] == [("q", "s1", 1.0)]
     nodes = make([("s1", f, "P" if int(f[1:]) >= 16 else "S", 200) for f in fams], "species string, nid string, partition string, length int")
     edges = make([("s1", f"f{i}", f"f{i + 1}") for i in range(23)], "species string, src string, dst string")
     args = (
@@ -32,7 +38,8 @@ def test_reads_to_profile(spark, tmp_path):
     assert set(ra) == {"A", "B"} and abs(ra["B"] - 2 / 3) < 0.05
     again = run.profile_sample(*args, scaled=5)
     assert again["s1"].selection.labels == found["s1"].selection.labels
-    assert run.profile_sample(*args, species=["s1"], scaled=5)["s1"].selection.labels == found["s1"].selection.labels
+    assert len(list((tmp_path / "run").glob("mapping-*"))) == 1
+    assert run.profile_sample(*args, species=["s1", "s1"], scaled=5)["s1"].selection.labels == found["s1"].selection.labels
 
 
 def test_settings(tmp_path):

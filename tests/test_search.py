@@ -45,6 +45,7 @@ def test_whole_detection(spark):
     for r in testmap.genome_index(spark, SMALL).collect():
         genomes.setdefault(r["name"], set()).add(r["h"])
     run = lambda name: entry.queries()[name](spark, SMALL).orderBy(*(["first_round"] if name.startswith("cand") else ["round"])).collect()
+    run_plain = lambda name: sorted(tuple(r) for r in entry.queries()[name](spark, SMALL).collect())
     want, total = cover(query, genomes, 0.05), 0
     for r, (k, name, f_query, f_match, _) in zip(run("detection_full"), want, strict=True):
         total += f_query
@@ -53,5 +54,14 @@ def test_whole_detection(spark):
     for k, name, *_ in want:
         first.setdefault(name.split("@")[0], k)
     assert {r["species"]: r["first_round"] for r in run("candidates_full")} == first
+    assert run_plain("detection_cumsum") == sorted(map(tuple, run("detection_full"))) and run_plain("candidates_first_seen") == sorted(map(tuple, run("candidates_full")))
     rest = cover(query, {n: hs for n, hs in genomes.items() if not n.startswith("src0@")}, 0.0)
     assert [tuple(r) for r in run("gather_excluding_full")] == [r[:4] for r in rest]
+    assert run_plain("gather_excluding") == sorted(r[1:4] for r in rest)
+    whole = cover(query, genomes, 0.0)
+    assert [tuple(r)[1:] for r in run("gather_full")] == whole
+    reads = {}
+    for r in testmap.read_sketches(spark, SMALL).collect():
+        reads.setdefault(str(r["query"]), set()).add(r["h"])
+    per_read = sorted((q, *x) for q, hs in reads.items() for x in cover(hs, genomes, 0.05))
+    assert sorted(tuple(r) for r in entry.queries()["gather_per_read"](spark, SMALL).collect()) == per_read

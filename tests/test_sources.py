@@ -6,6 +6,7 @@ import random
 
 import pytest
 from helixlake.functions import parsing as X
+from helixlake.functions.dna import kmers
 from helixlake.operators import sketch as K
 from helixlake.operators.mapping import annotate, annotation_report, mapping_from_tsv
 from helixlake.operators.search import gather, search
@@ -27,14 +28,68 @@ def test_fasta_fastq_genbank(spark, tmp_path):
         fastx.read_sequences(spark, "x.txt")
 
 
+def test_scans_of_odd_files(spark, tmp_path):
+    """Marks inside headers, foreign line ends, qualities that look like headers, and splits at any line."""
+    rng = random.Random(33)
+    (tmp_path / "odd.fna").write_bytes(b">one > two >three\r\nAC\r\nGT\r\n>four\r\n\r\nTT\r\n")
+    got = {(r["seq_id"], r["sequence"]) for r in fastx.read_fasta(spark, str(tmp_path / "odd.fna")).collect()}
+    assert got == {("one", "ACGT"), ("four", "TT")}
+    (tmp_path / "odd.gbk").write_bytes(b"LOCUS X1 4 bp\r\nCOMMENT http://a//b\r\nORIGIN\r\n 1 acgt\r\n//\r\nLOCUS X2 2 bp\r\nORIGIN\r\n 1 tt\r\n//\r\n")
+    assert {(r["seq_id"], r["sequence"]) for r in fastx.read_genbank(spark, str(tmp_path / "odd.gbk")).collect()} == {("X1", "ACGT"), ("X2", "TT")}
+    want, text = [], []
+    for i in range(400):
+        n = rng.randint(1, 60)
+        seq, qual = "".join(rng.choice("ACGTN") for _ in range(n)), "".join(rng.choice("@+IF#5") for _ in range(n))
+        want.append((f"r{i}", seq, qual))
+        text.append(f"@r{i} x\n{seq}\n+{'r' + str(i) if i % 3 else ''}\n{qual}\n")
+    (tmp_path / "reads.fq").write_text("".join(text) + "\n")
+    with gzip.open(tmp_path / "reads.fq.gz", "wt") as f:
+        f.write("".join(text))
+    read = lambda name: sorted((r["seq_id"], r["sequence"], r["qual"]) for r in fastx.read_fastq(spark, str(tmp_path / name)).collect())
+    assert read("reads.fq.gz") == sorted(want)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (150, 333, 4096):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            assert read("reads.fq") == sorted(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_kmers_of_a_long_sequence(spark):
+    rng = random.Random(3)
+    seq = "".join(rng.choice("ACGTN") if rng.random() < 0.02 else rng.choice("ACGT") for _ in range(3000))
+    docs = spark.createDataFrame([("a", seq), ("b", seq[:21]), ("c", seq[:20])], "name string, seq string")
+    flip = str.maketrans("ACGT", "TGCA")
+    want = {(n, i, min(s[i : i + 21], s[i : i + 21][::-1].translate(flip))) for n, s in (("a", seq), ("b", seq[:21])) for i in range(len(s) - 20) if "N" not in s[i : i + 21]}
+    for piece in (1, 37, 1 << 16):
+        got = kmers(docs, "seq", 21, ["name"], piece=piece).select("name", "pos", F.col("kmer").cast("string")).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_requests():
+    names = {4: "s__Kt", 9: "s__Mz"}
+    assert catalog.requested(" 9, s__Kt,,4 ,s__Mz", names) == ["s__Mz", "s__Kt"] and catalog.requested("", names) == []
+    for bad in ("5", "s__Rq"):
+        with pytest.raises(ValueError):
+            catalog.requested(bad, names)
+
+
 def test_bank_lines(spark, tmp_path):
     lines = lambda *x: spark.createDataFrame([(v,) for v in x], "line string")
     assert {tuple(r) for r in discover.bank_lines(lines("p1 a.fa b.fa", "", "p2\tc.fa")).collect()} == {("p1", "a.fa"), ("p1", "b.fa"), ("p2", "c.fa")}
     for bad in (("p1",), ("p1 a", "p1 b")):
         with pytest.raises(Exception, match="a line has no path|an id is given twice"):
             discover.bank_lines(lines(*bad)).collect()
-    (tmp_path / "list.txt").write_text("a.fa\n\n b.fa \n")
-    assert [r["path"] for r in discover.file_of_files(spark, str(tmp_path / "list.txt")).collect()] == ["a.fa", "b.fa"]
+    for name in "ab":
+        (tmp_path / f"{name}.fa").write_text(">x\nA\n")
+    (tmp_path / "list.txt").write_text(f"{tmp_path}/a.fa\n\n {tmp_path}/b.fa \n")
+    assert [r["path"] for r in discover.file_of_files(spark, str(tmp_path / "list.txt")).collect()] == [f"{tmp_path}/a.fa", f"{tmp_path}/b.fa"]
+    (tmp_path / "list.txt").write_text(f"{tmp_path}/c.fa\n")
+    with pytest.raises(FileNotFoundError):
+        discover.file_of_files(spark, str(tmp_path / "list.txt"))
 
 
 def test_specs_read_back(spark):
