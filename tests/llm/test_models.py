@@ -99,7 +99,7 @@ def test_moments_are_sums_over_rows(spark):
     assert np.allclose(every, x.T @ x) and np.allclose(positive, x[flag].T @ x[flag])
 
 
-def plain_ftrl(rows, labels, epochs, alpha, beta, l1, l2, bias):
+def plain_ftrl(rows, labels, epochs, alpha, beta, l1, l2, bias, positive=1.0):
     """FTRL-proximal, coordinate by coordinate."""
     z, n = defaultdict(float), defaultdict(float)
 
@@ -110,7 +110,7 @@ def plain_ftrl(rows, labels, epochs, alpha, beta, l1, l2, bias):
         for row, y in zip(rows, labels, strict=True):
             on = set(row) | {bias}
             w = {i: weight(i) for i in on}
-            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (positive if y else 1.0)
             for i in on:
                 sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
                 z[i] += g - sigma * w[i]
@@ -128,6 +128,19 @@ def test_ftrl_coordinate_by_coordinate():
     assert all(abs(got[i] - w) < 1e-9 for i, w in want.items())
 
 
+def test_ftrl_with_rare_labels_that_count_more():
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 400, rng.integers(1, 40))) for _ in range(300)]
+    y = np.array([float(7 in r) for r in rows])
+    positive = toxicity.balance(y)
+    assert positive == min(toxicity.MOST_BALANCE, (y == 0).sum() / y.sum())
+    got = toxicity.ftrl(rows, y, positive=positive)
+    want = plain_ftrl([r.tolist() for r in rows], y, toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2, toxicity.SIZE - 1, positive)
+    assert {int(i) for i in np.flatnonzero(got)} == set(want) and want[7] > 0
+    assert all(abs(got[i] - w) < 1e-9 for i, w in want.items())
+    assert toxicity.balance(np.zeros(5)) == 5 and toxicity.balance(np.ones(3)) == toxicity.balance(np.zeros(0)) == 1
+
+
 def test_toxic_features_are_words_pairs_and_skips():
     texts = ["You ARE, a b; a", "", "one", "x y x y x"]
     place, row = toxicity.features(texts)
