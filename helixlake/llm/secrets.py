@@ -26,7 +26,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import body, documents, let, written
+from .shared import body, documents, let, quoted, unused, written
 
 try:  # the standard library's own parser of its patterns
     from re import _parser as sre_parse
@@ -51,8 +51,10 @@ _HEADER = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 _TO_FOOTER = r"(?:(?!-----)[\s\S])*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
 #: ... or without a footer the known header fields and the base64 run.  White space, quotes and marks of
 #: quoted or escaped lines belong to the run if 16 characters of base64 follow, or the short last line.
-#: Both repeat one character at a time, which Java does without recursion.
-_FIELDS = r"(?:(?:\s|\\[nr])*(?:Proc-Type|DEK-Info):[^\r\n\\]*){0,4}"
+#: All of them repeat one character at a time, which Java does without recursion; a repeated alternation
+#: would need a frame of the stack for each turn.
+_BREAKS = r"(?:(?=\s|\\[nr]|(?<=\\)[nr])[\s\\nr])*"
+_FIELDS = rf"(?:{_BREAKS}(?:Proc-Type|DEK-Info):[^\r\n\\]*){{0,4}}"
 _RUN = r"""(?:(?=[A-Za-z0-9+/=]|[\s\\"'>#*|,]{1,16}(?:[A-Za-z0-9+/]{16}|[A-Za-z0-9+/]{1,15}(?:=|\s*[\r\n]|\\[nr]|["']|\s*\Z)))[A-Za-z0-9+/=\s\\"'>#*|,])*"""
 
 _NAMED = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]"""
@@ -191,10 +193,11 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text")
 
 def with_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> tuple[DataFrame, list[Column]]:
     """docs, all columns, with what the index says of each text; and whether a text is to be verified, for each rule."""
-    cand = written(candidates(docs, rules, text_col).select(F.col("doc").alias("__secret_doc"), F.col("rules").alias("__secret_rules")))
+    doc, bits = unused(docs, "__secret_doc", "__secret_rules")
+    cand = written(candidates(docs, rules, text_col).select(F.col("doc").alias(doc), F.col("rules").alias(bits)))
     few = cand.count() <= BROADCAST_CANDIDATES
-    told = docs.join(F.broadcast(cand) if few else cand, _key(text_col) == cand["__secret_doc"], "left")
-    named = F.coalesce(cand["__secret_rules"], F.lit(0).cast("bigint"))
+    told = docs.join(F.broadcast(cand) if few else cand, _key(text_col) == F.col(doc), "left")
+    named = F.coalesce(bits, F.lit(0).cast("bigint"))
     return told, [(named.bitwiseAND(F.lit(1 << k).cast("bigint")) != 0) if trigram_query(r.regex) else F.lit(True) for k, r in enumerate(rules)]
 
 
@@ -237,13 +240,14 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
     """docs, all columns, with `out`: an array of (start, k, end, kind) by start and rule.
 
     Null and empty texts have no spans.  Spans of one kind do not overlap, those of
-    different kinds may.  Every row is scanned on its own text, whatever its id.
+    different kinds may.  Every row is scanned on its own text, whatever its id.  A column
+    of docs that is named `out` gives way, all others pass through.
     """
     told, asked = with_rules(docs, rules, text_col)
     text = body(text_col)
     none = F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>")
     parts = [F.when(ask, spans(text, rule, k)).otherwise(none) for k, (rule, ask) in enumerate(zip(rules, asked, strict=True))]
-    return told.select(*[docs[c] for c in docs.columns if c != out], F.array_sort(F.concat(*parts)).alias(out))
+    return told.select(*[quoted(c) for c in docs.columns if c != out], F.array_sort(F.concat(*parts)).alias(out))
 
 
 def joined_spans(found: Column) -> Column:
@@ -267,7 +271,8 @@ def masked(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     """docs with every secret replaced by [kind]; the longest rules first, keys before all others.
 
     Each rule is one replacement in what the rules before it have left, so the time is
-    linear in the text.  Texts without a secret are unchanged, nulls stay null.
+    linear in the text.  Texts without a secret are unchanged, nulls stay null.  All other
+    columns pass through as they are, whatever their names.
     """
     told, asked = with_rules(docs, rules, text_col)
 
@@ -277,4 +282,4 @@ def masked(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     clean = F.col(text_col)
     for rule, ask in sorted(zip(rules, asked, strict=True), key=lambda x: x[0].kind != "private_key"):
         clean = let(clean, hidden(rule, ask))
-    return told.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return told.select(*[clean.alias(c) if c == text_col else quoted(c) for c in docs.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,17 +40,65 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
+    return on_disk(out, path)
+
+
+_LEFT: dict[str, SparkSession] = {}
+
+
+def on_disk(df: DataFrame, *paths: str) -> DataFrame:
+    """df, which reads files of these paths: discard(df) deletes them, and the end of the driver's Python does."""
+    if not _LEFT:
+        atexit.register(_delete_left)
+    _LEFT.update(dict.fromkeys(paths, df.sparkSession))
+    df._written_to = paths
+    return df
+
+
+def resting_on(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, which reads tables of written(): discard(df) deletes them."""
+    df._written_to = tuple(p for t in tables for p in vars(t).get("_written_to", ()))
+    return df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    _LEFT.pop(path, None)
+
+
+def _delete_left() -> None:
+    for path, spark in list(_LEFT.items()):
+        if spark.sparkContext._jsc is not None:  # a stopped session can't reach the folder
+            _delete(spark, path)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that written() made and that nothing will read again."""
+    """Delete tables that written() made, or that a result rests on, and that nothing will read again."""
     for df in tables:
-        if path := vars(df).get("_written_to"):
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        for path in vars(df).get("_written_to", ()):
+            _delete(df.sparkSession, path)
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def every(docs: DataFrame) -> list[Column]:
+    return [quoted(c) for c in docs.columns]
+
+
+def unused(docs: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that docs, in any case of letters, does not have."""
+    have = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name.lower() in have:
+            name += "_"
+        return name
+
+    return [free(s) for s in stems]
 
 
 def single_threaded(spark: SparkSession) -> None:
