@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import answers, documents, fold
+from .shared import answers, documents, every, fold, quoted
 from .textbatch import mix, slices
 
 N = 4
@@ -172,7 +172,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def identify_rows(docs: DataFrame, model: Model, text_col: str = "text", out: str = "__told") -> DataFrame:
-    """docs, all columns, with a struct (lang_pred, score) in `out`, by the same rule as identify()."""
+    """docs, all columns, with a struct (lang_pred, score) in `out`, by the same rule as identify().
+
+    `out` has to be a name that docs does not have.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -183,7 +186,7 @@ def identify_rows(docs: DataFrame, model: Model, text_col: str = "text", out: st
             parts.append(pd.DataFrame({"lang_pred": names, "score": score}))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float)})
 
-    return docs.withColumn(out, told(docs[text_col].cast("string")))
+    return docs.select(*every(docs), told(quoted(text_col).cast("string")).alias(out))
 
 
 def trained(docs: DataFrame) -> Model:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import answers, discard, documents, written
+from .shared import answers, discard, documents, every, quoted, resting_on, unused, written
 from .textbatch import ascii_lower, joined, mix, prefix_hash, range_hash, slices, words
 
 K, MATCHES = 64, 32
@@ -509,9 +509,11 @@ def keep_by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The texts are shuffled only if more than BROADCAST_GONE documents go.
     """
-    gone = written(near_duplicates(docs, id_col, text_col, shingle).where(~F.col("kept")).select(F.col(id_col).alias("__gone_id")).distinct())
+    (name,) = unused(docs, "__gone_id")
+    gone = written(near_duplicates(docs, id_col, text_col, shingle).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct())
     few = gone.count() <= BROADCAST_GONE
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("bigint") == gone["__gone_id"], "left_anti")
+    out = docs.join(F.broadcast(gone) if few else gone, quoted(id_col).cast("bigint") == F.col(name), "left_anti")
+    return resting_on(out, gone)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -524,9 +526,11 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ids = docs.select(F.col(id_col).alias("id"))
     if ids.where("id is null").isEmpty() and ids.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
         return keep_by_id(docs, id_col, text_col, shingle)
+    (row_id,) = unused(docs, "__row_id")
     ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = written(ordered.withColumn("__row_id", F.monotonically_increasing_id()))
-    return keep_by_id(rows, "__row_id", text_col, shingle).select(*docs.columns)
+    rows = written(ordered.select(*every(docs), F.monotonically_increasing_id().alias(row_id)))
+    kept = keep_by_id(rows, row_id, text_col, shingle)
+    return resting_on(kept.select(*every(docs)), rows, kept)
 
 
 def op5_minhash_near_dedup(spark, sf_dir):

@@ -71,6 +71,25 @@ def test_dedup_decides_row_by_row(spark, monkeypatch):
     assert sum(t.startswith("word0") for _, t in got) == 1 and (("4", near) in got or ("4", rows[12][1]) in got)
 
 
+def test_columns_pass_through(spark):
+    """Columns named like those the stages use inside, names with dots, and a map keep their values."""
+    odd = ["__sha", "__keep", "__told", "told", "__row_id", "__row", "__gone_id", "__secret_doc", "__secret_rules", "a.b", "c`d", "n", "p", "id"]
+    text = ["the same words in this text", "the same words in this text", "one more text", "and password = abcdefghijkl12345", None]
+    rows = [(k, t, "en", "s", len(t or ""), {"k": k}, *[f"{name} {k}" for name in odd]) for k, t in enumerate(text)]
+    kinds = ", ".join(f"`{name.replace('`', '``')}` string" for name in odd)
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, m map<string, long>, {kinds}")
+    for ids in docs, docs.withColumn("doc_id", F.lit(None).cast("long")):
+        for name, stage in pipeline.STAGES[:4]:
+            out = stage(spark, ids, SMALL)
+            assert out.columns == docs.columns
+            got = out.collect()
+            assert len(got) == (5 if name == "secret_scan" else 4), name
+            for r in got:
+                k = r["m"]["k"]
+                assert [r[c] for c in odd] == [f"{c} {k}" for c in odd] and (r["text"] == text[k] or (name == "secret_scan" and k == 3))
+        assert pipeline.packing_stage(spark, ids, SMALL).where("start = 0").count() == 5
+
+
 HIDDEN = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{12,})"""),
     ("access", r"AKIA[A-Z0-9]{14,}"), ("hex", r"[0-9a-f]{16,}"),
