@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs.  All but the last return the columns
-of documents.
+of documents: every column passes through as it is, whatever its name and type (the
+secret scan alone changes text and n_chars).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from helixlake.llm.language_id import UNDETERMINED, identify_rows, trained
 from helixlake.llm.near_dedup import keep_representatives
 from helixlake.llm.packing import pack_documents
 from helixlake.llm.secrets import masked
-from helixlake.llm.shared import discard, documents, written
+from helixlake.llm.shared import discard, documents, every, quoted, unused, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     null and empty ones included.  Each row is judged by its own text, ids play no part.
     """
     model = trained(documents(spark, sf_dir))
-    told = identify_rows(docs, model)
-    return told.where(F.col("__told.lang_pred") != UNDETERMINED).select(*docs.columns)
+    (out,) = unused(docs, "told")
+    told = identify_rows(docs, model, out=out)
+    return told.where(quoted(out)["lang_pred"] != UNDETERMINED).select(*every(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,8 +86,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        last, docs = docs, stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs)
-            discard(last)
-    return docs
+        last, out = docs, stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return out
+        docs = written(out)
+        discard(last, out)
