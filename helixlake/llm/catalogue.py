@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op9_bpe_prefix_dp
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .language_id import op1_language_id
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .near_dedup import op5_minhash_near_dedup
 from .packing import op4_vector_packing
 from .quality import op3_quality_pu
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_secret_scan": op8_secret_scan,
         "op9_bpe_prefix_dp": op9_bpe_prefix_dp,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op10_exact_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
