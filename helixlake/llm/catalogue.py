@@ -13,6 +13,7 @@ from .secrets import op8_secret_scan
 from .suffix_dedup import op7_suffix_dedup
 from .syncmers import op2_closed_syncmers
 from .toxicity import op6_toxicity_ftrl
+from .warc import OP12_SQL, op12_warc
 
 
 def queries() -> dict:
@@ -28,8 +29,9 @@ def queries() -> dict:
         "op9_bpe_prefix_dp": op9_bpe_prefix_dp,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_warc": op12_warc,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op10_exact_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_warc": OP12_SQL}
