@@ -9,6 +9,7 @@ from .merkle import OP11_SQL, op11_merkle_manifest
 from .near_dedup import op5_minhash_near_dedup
 from .packing import op4_vector_packing
 from .quality import op3_quality_pu
+from .ranked_search import OP13_SQL, op13_ranked_search
 from .secrets import op8_secret_scan
 from .suffix_dedup import op7_suffix_dedup
 from .syncmers import op2_closed_syncmers
@@ -30,8 +31,9 @@ def queries() -> dict:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_warc": op12_warc,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_warc": OP12_SQL}
+    return {"op10_exact_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_warc": OP12_SQL, "op13_ranked_search": OP13_SQL}
