@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import kept, released
 
 PARTITIONS = ("P", "S", "C")
 
@@ -111,17 +111,26 @@ def specific_nodes(nodes: DataFrame, presence: DataFrame, strain, avoid: list) -
 
 
 def connected(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reached over pairs (a, b), by passing labels on.
+    """(node, component): the smallest node reached over pairs (a, b).
 
-    Meant for graphs of strains, whose number is small; each round is checkpointed.
+    Each node has a parent, itself at first.  In a round a node hears of the grandparents
+    of its neighbours; it, and its parent, take the least that is known, and its own
+    grandparent becomes its parent.  So paths shorten by doubling, and the number of
+    rounds follows the logarithm of the longest path.
     """
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    state = nodes.select("node", F.col("node").alias("component"))
+    both = kept(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    state = kept(nodes.select("node", F.col("node").alias("up")))
     while True:
-        heard = both.join(state.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("_c"))
-        new = state.join(heard, state["node"] == heard["a"], "left").select("node", "component", F.least("component", "_c").alias("_n"))
-        new = kept(new)
-        changed = new.where("_n < component").limit(1).count()
-        state = new.select("node", F.col("_n").alias("component"))
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        grown = state.join(above, "up").select("node", "up", "top")
+        heard = both.join(grown.select(F.col("node").alias("b"), "top"), "b").groupBy(F.col("a").alias("node")).agg(F.min("top").alias("low"))
+        told = kept(grown.join(heard, "node", "left").select("node", "up", F.least("top", "low").alias("low")))
+        hooks = told.groupBy(F.col("up").alias("node")).agg(F.min("low").alias("hook"))
+        new = kept(told.join(hooks, "node", "left").select("node", "up", F.least("up", "low", "hook").alias("new")))
+        changed = new.where("new < up").limit(1).count()
+        released(state, told)
         if not changed:
-            return state
+            released(both)
+            return new.select("node", F.col("up").alias("component"))
+        state = kept(new.select("node", F.col("new").alias("up")))
+        released(new)

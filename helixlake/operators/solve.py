@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 TINY = 1e-9
+#: The names of the stop rules in a trace, other and paired.
+STOPPED = ("cv", "cv_paired")
 
 
 @dataclass
@@ -66,32 +68,62 @@ def nnls(g: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
     return x
 
 
+def next_column(diagonal: np.ndarray, b: np.ndarray, yty: float, held: np.ndarray, order: list[int], priority: np.ndarray, band: float = 0.01) -> int:
+    """The column that lowers the residual most beside those in order, whose Gram columns are held; near ties go to priority, residual, place.
+
+    A candidate that does not correlate with what is left cannot lower the residual, so
+    it isn't solved for.
+    """
+    slack = 1e-10 * max(1.0, float(np.abs(b).max(initial=0.0)))
+    at = np.array(order, int)
+    x = nnls(held[:, at], b[at])
+    left = np.full(len(b), rss(held[:, at], b[at], yty, x))
+    for j in np.flatnonzero(b - x @ held > slack):
+        if j not in order:
+            g = np.block([[held[:, at], held[:, [j]]], [held[:, [j]].T, diagonal[[j]][None]]])
+            both = np.append(b[at], b[j])
+            left[j] = rss(g, both, yty, nnls(g, both))
+    left[at] = np.inf
+    near = np.flatnonzero(left <= left.min() * (1 + band))
+    return int(min(near, key=lambda j: (-priority[j], left[j], j)))
+
+
 def forward(diagonal: np.ndarray, b: np.ndarray, yty: float, column: Callable[[int], np.ndarray], priority: np.ndarray, most: int = 12, band: float = 0.01) -> list[int]:
-    """Columns in the order in which they lower the residual most; near ties go to priority, residual, place.
+    """Columns in the order in which they lower the residual most.
 
-    Of the Gram matrix only the diagonal and the columns of what has been chosen are asked
-    for.  A candidate that does not correlate with what is left cannot lower the residual,
-    so it isn't solved for.
+    Of the Gram matrix only the diagonal and the columns of what has been chosen are asked for.
     """
     order: list[int] = []
     held = np.zeros((0, len(b)))
-    slack = 1e-10 * max(1.0, float(np.abs(b).max(initial=0.0)))
     while len(order) < min(most, len(b)):
-        at = np.array(order, int)
-        x = nnls(held[:, at], b[at])
-        left = np.full(len(b), rss(held[:, at], b[at], yty, x))
-        for j in np.flatnonzero(b - x @ held > slack):
-            if j not in order:
-                g = np.block([[held[:, at], held[:, [j]]], [held[:, [j]].T, diagonal[[j]][None]]])
-                both = np.append(b[at], b[j])
-                left[j] = rss(g, both, yty, nnls(g, both))
-        left[at] = np.inf
-        near = np.flatnonzero(left <= left.min() * (1 + band))
-        order.append(int(min(near, key=lambda j: (-priority[j], left[j], j))))
+        order.append(next_column(diagonal, b, yty, held, order, priority, band))
         held = np.vstack([held, column(order[-1])])
     return order
 
 
+def fold_models(g: np.ndarray, b: np.ndarray, pieces: dict[int, tuple[np.ndarray, np.ndarray]], used: list[int]) -> list[tuple[int, int, int | None, float]]:
+    """(fold, k, place, x) of the first k columns solved without each fold; place is None in the model of k = 0."""
+    models = []
+    for f in used:
+        gf, bf = pieces.get(f, (np.zeros_like(g), np.zeros_like(b)))
+        models.append((f, 0, None, 0.0))
+        for k in range(1, len(b) + 1):
+            x = nnls((g - gf)[:k, :k], (b - bf)[:k])
+            models += [(f, k, i, float(v)) for i, v in enumerate(x)]
+    return models
+
+
+def stepwise(g: np.ndarray, b: np.ndarray, yty: float, tss: float, names: list, errors: list[list[float]], paired: bool, least_gain: float) -> Selection:
+    """The selection that a stop rule makes of columns in order, with a step for each."""
+    k = stop_paired(errors, least_gain) if paired else stop_one_se(errors)
+    result = finish(g, b, yty, tss, names, list(range(k)))
+    for i, c in enumerate(names):
+        left = rss(g[: i + 1, : i + 1], b[: i + 1], yty, nnls(g[: i + 1, : i + 1], b[: i + 1]))
+        mean = float(np.mean(errors[i + 1])) if errors[i + 1] else None
+        result.steps.append(Step(c, float(np.sqrt(left)), mean, i < k, None if i < k else STOPPED[paired]))
+    return result
+
+
 def stop_one_se(errors: list[list[float]]) -> int:
     """How many to take: go on while the mean falls by more than the standard error of the folds."""
     k = 0

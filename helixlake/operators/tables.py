@@ -1,23 +1,51 @@
-"""Tables that are kept or ranked on the way: cut lineage, running sums, exact quantiles."""
+"""Tables that are kept or ranked on the way: cut lineage, running sums, ranks and exact quantiles."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Ranges of groups that may be broadcast: one row for each group and range partition.
+BROADCAST_RANGES = 100_000
 
-def kept(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint in the session's shared folder; in local mode, in one of our own where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; in local mode, one of our own where none is set."""
+    have = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not have:
+        known = context._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            return known.get()
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+        have = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(have)
+        return context._jsc.sc().getCheckpointDir().get()
+    return have
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, until released()."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Deletes tables of kept() that nothing will read again."""
+    for df in tables:
+        if df is not None and (path := vars(df).pop("_kept_at", None)):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def running(df: DataFrame, by: str, weight, out: str) -> DataFrame:
@@ -32,6 +60,24 @@ def running(df: DataFrame, by: str, weight, out: str) -> DataFrame:
     return local.join(F.broadcast(before), "_p").withColumn(out, F.col(out) + F.col("_before")).drop("_p", "_before")
 
 
+def ranked(df: DataFrame, group: str, order: str) -> DataFrame:
+    """df with place, a row's place from 0 in its group by a column, and n, the rows of the group.
+
+    Rows are sorted by range partitions, so a large group lies in many of them; only
+    counts meet, one for each group and partition.
+    """
+    sorted_ = df.repartitionByRange(group, order).sortWithinPartitions(group, order)
+    placed = kept(sorted_.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_at")))
+    counts = placed.groupBy(group, "_p").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    before = F.sum("_rows").over(W.partitionBy(group).orderBy("_p")) - F.col("_rows")
+    ranges = kept(counts.select(group, "_p", "_first", before.alias("_before"), F.sum("_rows").over(W.partitionBy(group)).alias("n")))
+    few = ranges.count() <= BROADCAST_RANGES
+    told = placed.join(F.broadcast(ranges) if few else ranges, [group, "_p"])
+    out = kept(told.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("place"), "n"))
+    released(placed, ranges)
+    return out
+
+
 def quantiles(df: DataFrame, column: str, places: list[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation; None for a table without values.
 
@@ -39,12 +85,22 @@ def quantiles(df: DataFrame, column: str, places: list[float]) -> list[float | N
     value nor the number of distinct ones meets in one task.
     """
     counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("_c"))
-    ranked = running(counted, "v", F.col("_c"), "_upto")
-    n = ranked.agg(F.max("_upto")).first()[0]
+    rows = running(counted, "v", F.col("_c"), "_upto")
+    n = rows.agg(F.max("_upto")).first()[0]
     if not n:
         return [None] * len(places)
     spots = [p * (n - 1) for p in places]
     ranks = sorted({int(s) for s in spots} | {min(n - 1, int(s) + 1) for s in spots})
-    found = ranked.agg(*[F.min(F.when(F.col("_upto") > r, F.col("v"))) for r in ranks]).first()
+    found = rows.agg(*[F.min(F.when(F.col("_upto") > r, F.col("v"))) for r in ranks]).first()
     at = dict(zip(ranks, map(float, found), strict=True))
     return [at[int(s)] + (s - int(s)) * (at[min(n - 1, int(s) + 1)] - at[int(s)]) for s in spots]
+
+
+def grouped_quantiles(df: DataFrame, group: str, column: str, places: dict[str, float]) -> DataFrame:
+    """quantiles() of each group: the group and a column for each place, by name."""
+    rows = ranked(df.where(F.col(column).isNotNull()).select(group, F.col(column).cast("double").alias("v")), group, "v")
+    spot = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+    low = lambda p: F.floor(spot(p))
+    at = lambda place: F.max(F.when(F.col("place") == place, F.col("v")))
+    found = rows.groupBy(group).agg(F.max("n").alias("n"), *[x for c, p in places.items() for x in (at(low(p)).alias(f"{c}_a"), at(F.least(F.col("n") - 1, low(p) + 1)).alias(f"{c}_b"))])
+    return found.select(group, *[(F.col(f"{c}_a") + (spot(p) - low(p)) * (F.col(f"{c}_b") - F.col(f"{c}_a"))).alias(c) for c, p in places.items()])

@@ -20,8 +20,6 @@ from ..operators import mixture as M
 from ..operators import solve as S
 from ..operators.tables import quantiles
 
-#: The names of the stop rules in a trace, other and paired.
-STOPPED = ("cv", "cv_paired")
 #: Strains that refitted() solves for at once.
 MOST_REFITTED = 64
 
@@ -116,24 +114,13 @@ def select(presence: DataFrame, depth: DataFrame, priority: dict, options: Optio
     sizes = {r["fold"]: r["count"] for r in folds.groupBy("fold").count().collect()}
     total = sum(sizes.values())
     used = sorted(f for f, n in sizes.items() if 0 < n < total)
-    models = []
-    for f in used:
-        gf, bf = pieces.get(f, (np.zeros_like(g), np.zeros_like(b)))
-        models.append((f, 0, None, 0.0))
-        for k in range(1, len(order) + 1):
-            x = S.nnls((g - gf)[:k, :k], (b - bf)[:k])
-            models += [(f, k, c, float(v)) for c, v in zip(names, x, strict=False)]
+    models = [(f, k, None if i is None else names[i], x) for f, k, i, x in S.fold_models(g, b, pieces, used)]
     (middle,) = quantiles(depth.where("y > 0"), "y", [0.5])
     floor = 0.01 * middle if middle else 1e-6
     table = depth.sparkSession.createDataFrame(models, f"fold long, k int, strain {kind}, x double")  # at most folds * k_max**2 rows
     found = {(r["k"], r["fold"]): r["error"] for r in M.deviance(chosen, folds, table, floor).collect()}
     errors = [[found[k, f] for f in used if (k, f) in found] for k in range(len(order) + 1)]
-    k = S.stop_paired(errors, options.cv_min_gain) if options.stop_rule == "cv_paired" else S.stop_one_se(errors)
-    result = S.finish(g, b, yty, tss, names, list(range(k)))
-    for i, c in enumerate(names):
-        left = S.rss(g[: i + 1, : i + 1], b[: i + 1], yty, S.nnls(g[: i + 1, : i + 1], b[: i + 1]))
-        mean = float(np.mean(errors[i + 1])) if errors[i + 1] else None
-        result.steps.append(S.Step(c, float(np.sqrt(left)), mean, i < k, None if i < k else STOPPED[options.stop_rule == "cv_paired"]))
+    result = S.stepwise(g, b, yty, tss, names, errors, options.stop_rule == "cv_paired", options.cv_min_gain)
     for df in (depth, inside, chosen, folds):
         df.unpersist()
     return result, members
@@ -173,15 +160,21 @@ def profile(
     return Profile(selection, members, genes)
 
 
+def strain_rows(table: DataFrame, members: DataFrame, genes: DataFrame, by: list[str]) -> DataFrame:
+    """table (by, component, abundance, ra) with the members of each component and the numbers of its genes."""
+    keys = [*by, "component"]
+    names = members.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.col("strain").cast("string"))), ";").alias("members"))
+    out = table.join(names, keys).join(A.status_counts(genes, by), keys, "left").na.fill(0)
+    return out.select(*by, F.col("component").alias("anchor"), "members", "abundance", "ra", "n_genes", "n_observed", "n_reassigned", "n_imputed")
+
+
 def strains_table(p: Profile) -> DataFrame:
     """anchor, members, abundance, ra and counts of genes, by ra."""
     spark = p.genes.sparkSession
     kind = dict(p.genes.dtypes)["component"]
     rows = [(s, float(x), float(r)) for s, x, r in zip(p.selection.labels, p.selection.x, p.selection.ra, strict=True)]
-    names = p.members.groupBy("component").agg(F.array_join(F.sort_array(F.collect_list(F.col("strain").cast("string"))), ";").alias("members"))
     table = spark.createDataFrame(rows, f"component {kind}, abundance double, ra double")
-    out = table.join(names, "component").join(A.status_counts(p.genes), "component", "left").na.fill(0)
-    return out.orderBy(F.desc("ra"), "component").select(F.col("component").alias("anchor"), "members", "abundance", "ra", "n_genes", "n_observed", "n_reassigned", "n_imputed")
+    return strain_rows(table, p.members, p.genes, []).orderBy(F.desc("ra"), "anchor")
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,25 +10,9 @@ from pyspark.sql import functions as F
 from ..operators.mapping import annotate, annotation_report, kmer_labels, label_hits_of_reads, mapped, read_hashes
 from ..operators.search import gather_sample, search
 from ..operators.sketch import sketch
+from .batch import Profiles, profile_all
 from .profile import Options, Profile, candidates, detection, profile
-
-
-@dataclass(frozen=True)
-class Stages:
-    """Named tables in a folder; a table that was written whole, from the same inputs and settings, is read and not made again."""
-
-    spark: SparkSession
-    folder: str
-    #: What the tables are made of: DataFrames, which are known by their plans, and settings, by their texts.
-    made_of: tuple = ()
-
-    def __call__(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        known = "|".join(str(x.semanticHash()) if isinstance(x, DataFrame) else repr(x) for x in self.made_of)
-        path = f"{self.folder}/{name}" + (f"-{hashlib.sha256(known.encode()).hexdigest()[:16]}" if self.made_of else "")
-        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-            make().write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+from .stages import Stages
 
 
 def index_bank(genomes: DataFrame, folder: str, k: int = 21, scaled: int = 1000, n: int = 0) -> None:
@@ -94,32 +76,36 @@ def index_pangenome(families: DataFrame, folder: str, k: int = 21, min_count: in
 def profile_sample(
     reads: DataFrame, bank: DataFrame, families: DataFrame, nodes: DataFrame, edges: DataFrame, presence: DataFrame, folder: str,
     species: list[str] | None = None, discarded: DataFrame | None = None, options: Options = Options(), k: int = 21, scaled: int = 1000,
-) -> dict[str, Profile]:
+) -> Profiles:
     """Profiles of the species in a sample, by species.
 
     reads (read, sequence); bank (name, species, h); families (species, family,
     sequence); nodes, edges and presence of all species, each with a column species.
-    Detection is skipped where species are named; those named twice are profiled once.  The reads of all species are mapped
-    in one plan; only the solve runs species by species.
+    Detection is skipped where species are named; those named twice are profiled once.
+    All species are mapped and solved in one plan.  Stages are kept in `folder`, each by
+    what it is made of, so a change of the graph does not map the reads again.
     """
     spark = reads.sparkSession
+    stage = Stages(spark, folder)
     asked = None if species is None else list(dict.fromkeys(species))  # once each, in the order given
-    stage = Stages(spark, folder, (reads, bank, families, nodes, edges, presence, discarded, asked, k, scaled))
-    species = asked
-    if species is None:
-        query = stage("sketch", lambda: sketch(reads.withColumn("query", F.lit("sample")), "sequence", ["query"], k, scaled))
+    if asked is None:
+        query = stage("sketch", lambda: sketch(reads.withColumn("query", F.lit("sample")), "sequence", ["query"], k, scaled), (reads, k, scaled))
         out = None if discarded is None else bank.join(discarded.select("species").distinct(), "species", "left_semi").select("name")
-        found = stage("gather", lambda: gather_sample(query, bank, 0.05, out))
-        stage("detection", lambda: detection(found))
-        species = [r["species"] for r in candidates(found).orderBy("first_round").collect()]  # species of one sample
-    mine = F.col("species").isin(species)
+        found = stage("gather", lambda: gather_sample(query, bank, 0.05, out), (query, bank, discarded))
+        stage("detection", lambda: detection(found), (found,))
+        asked = [r["species"] for r in candidates(found).orderBy("first_round").collect()]  # species of one sample
+    mine = F.col("species").isin(asked)
     full = F.concat_ws("\t", "species", "family")
-    labels = kmer_labels(families.where(mine).select(full.alias("label_name"), "sequence"), "sequence", "label_name", k, within=read_hashes(reads, "sequence", k))
-    best = stage("mapping", lambda: _best(label_hits_of_reads(reads, "sequence", "read", labels, k)))
+
+    def mapping() -> DataFrame:
+        labels = kmer_labels(families.where(mine).select(full.alias("label_name"), "sequence"), "sequence", "label_name", k, within=read_hashes(reads, "sequence", k))
+        return _best(label_hits_of_reads(reads, "sequence", "read", labels, k))
+
+    best = stage("mapping", mapping, (reads, families, sorted(asked), k))
     graph = nodes.where(mine).withColumn("nid", F.concat_ws("\t", "species", "nid"))
-    stage("report", lambda: annotation_report(best, graph))
-    told = stage("annotated", lambda: annotate(best, graph)).withColumn("nid", F.substring_index("nid", "\t", -1))
-    return {s: refit(told, edges, presence, s, options) for s in species}
+    stage("report", lambda: annotation_report(best, graph), (best, nodes, sorted(asked)))
+    told = stage("annotated", lambda: annotate(best, graph), (best, nodes, sorted(asked))).withColumn("nid", F.substring_index("nid", "\t", -1))
+    return profile_all(told, edges.where(mine), presence.where(mine), options, asked)
 
 
 def _best(hits: DataFrame) -> DataFrame:
