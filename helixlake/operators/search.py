@@ -6,12 +6,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import kept, once, released
 
 SCORES = ("jaccard", "containment", "max_containment")
 _GATHERED = "query string, round int, name string, f_query double, f_match double, shared long"
-#: Pairs (hash, match) of one query that gather_sample() hands to one task.
-GROUP_PAIRS = 500_000
+#: Pairs (hash, match) of one query that gather_sample() hands to one task, and matches that it does.
+GROUP_PAIRS, MOST_MATCHES = 500_000, 4096
 
 
 def overlaps(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -38,7 +38,9 @@ def search(queries: DataFrame, index: DataFrame, mode: str = "containment", thre
     )
 
 
-def _cover(threshold: float, done: int = 0, uncovered: int | None = None):
+def _cover(threshold: float, done: int = 0, uncovered: int | None = None, bound: tuple[int, str] | None = None):
+    """A greedy cover of one group; with a bound (count, name), only as long as the best of the group comes before it."""
+
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = int(pdf["n_query"].iloc[0])
         held = {name: set(part) for name, part in pdf.groupby("name")["h"]}
@@ -51,10 +53,9 @@ def _cover(threshold: float, done: int = 0, uncovered: int | None = None):
             for name, hs in held.items():
                 hs &= left
                 scores[name] = len(hs)
-            allowed = [n for n, c in scores.items() if c and c / remaining >= threshold]
-            if not allowed:
+            best = min(scores, key=lambda n: (-scores[n], n))
+            if not scores[best] or scores[best] / remaining < threshold or bound and (-scores[best], best) > (-bound[0], bound[1]):
                 break
-            best = min(allowed, key=lambda n: (-scores[n], n))
             out.append((sample, done + len(out) + 1, best, round(scores[best] / whole, 4), round(scores[best] / size[best], 4), scores[best]))
             remaining -= scores[best]
             left -= held.pop(best)
@@ -81,35 +82,59 @@ def gather(queries: DataFrame, index: DataFrame, threshold: float = 0.05, exclud
     return rows.groupBy("query").applyInPandas(_cover(threshold), _GATHERED)
 
 
+def without(pairs: DataFrame, counts: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """pairs (name, h) without the hashes that the named matches hold, and counts (name, shared) lowered by the pairs that went."""
+    covered = pairs.where(F.col("name").isin(names)).select("h").distinct().withColumn("_gone", F.lit(True))
+    told = kept(pairs.join(covered, "h", "left"))
+    fewer = told.where("_gone").groupBy("name").agg(F.count("*").alias("_n"))
+    left = F.col("shared") - F.coalesce("_n", F.lit(0))
+    lowered = kept(counts.join(fewer, "name", "left").select("name", left.alias("shared")).where("shared > 0"))
+    rest = kept(told.where("_gone is null").select("name", "h"))
+    released(told, pairs, counts)
+    return rest, lowered
+
+
 def gather_sample(query: DataFrame, index: DataFrame, threshold: float = 0.05, exclude: DataFrame | None = None) -> DataFrame:
-    """gather() of one query of any size.
+    """gather() of one query of any size, lazily.
 
-    Each round is a count by match, a top-1 and an anti-join of the pairs, kept by a
-    checkpoint, until the threshold is reached or nothing is left.  Once GROUP_PAIRS pairs
-    or fewer remain, counted, one task does the other rounds.
+    What a match shares with the rest of the query only falls, so its last count is a
+    bound.  One task covers the hashes of the best matches by that count, GROUP_PAIRS pairs
+    at most, for as many rounds as its best comes before the bound of all others.
+    Then the covered hashes leave the pairs and the counts are lowered by what went: a
+    join for many rounds.  A match with more pairs than that is taken by its count alone.
     """
     spark = query.sparkSession
+    query, index = once(query.select("query", "h")), once(index.select("name", "h").distinct())
     first = query.select("query").first()
     label, whole = first["query"] if first else None, query.count()
-    pairs = query.select("h").distinct().join(index.select("name", "h").distinct(), "h")
+    pairs = query.select("h").distinct().join(index, "h")
     if exclude is not None:
         pairs = pairs.join(exclude.select("name").distinct(), "name", "left_anti")
     pairs = kept(pairs.select("name", "h"))
-    nm = kept(index.groupBy("name").agg(F.count("*").alias("n_match")).join(pairs.select("name").distinct(), "name", "left_semi"))
+    counts = kept(pairs.groupBy("name").agg(F.count("*").alias("shared")))
+    nm = kept(index.groupBy("name").agg(F.count("*").alias("n_match")).join(counts.select("name"), "name", "left_semi"))
     rounds, remaining = [], whole
-    while remaining and (n := pairs.count()):
-        if n <= GROUP_PAIRS:
-            rest = pairs.join(nm, "name").select(F.lit(label).alias("query"), "h", "name", F.lit(whole).alias("n_query"), "n_match")
-            tail = rest.groupBy("query").applyInPandas(_cover(threshold, len(rounds), remaining), _GATHERED)
-            return spark.createDataFrame(rounds, _GATHERED).unionByName(tail) if rounds else tail
-        top = pairs.groupBy("name").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "name").limit(1)
-        name, shared, size = top.join(nm, "name").select("name", "shared", "n_match").first()
-        if shared / remaining < threshold:
+    while remaining:
+        best = counts.orderBy(F.desc("shared"), "name").limit(MOST_MATCHES + 1).collect()
+        if not best or best[0]["shared"] / remaining < threshold:
+            break
+        taken, size = 1, best[0]["shared"]
+        while taken < min(len(best), MOST_MATCHES) and size + best[taken]["shared"] <= GROUP_PAIRS:
+            size, taken = size + best[taken]["shared"], taken + 1
+        bound = (best[taken]["shared"], best[taken]["name"]) if taken < len(best) else None
+        own = pairs.where(F.col("name").isin([r["name"] for r in best[:taken]])) if size <= GROUP_PAIRS else None
+        if own is None:
+            name, shared, n = counts.where(F.col("name") == best[0]["name"]).join(nm, "name").select("name", "shared", "n_match").first()
+            new = [(label, len(rounds) + 1, name, round(shared / whole, 4), round(shared / n, 4), shared)]
+        else:
+            rows = own.join(nm, "name").select(F.lit(label).alias("query"), "h", "name", F.lit(whole).alias("n_query"), "n_match")
+            new = [tuple(r) for r in rows.groupBy("query").applyInPandas(_cover(threshold, len(rounds), remaining, bound), _GATHERED).orderBy("round").collect()]
+        rounds += new
+        remaining -= sum(r[-1] for r in new)
+        if bound is None and own is not None:
             break
-        rounds.append((label, len(rounds) + 1, name, round(shared / whole, 4), round(shared / size, 4), shared))
-        remaining -= shared
-        covered = pairs.where(F.col("name") == name).select("h")
-        pairs = kept(pairs.join(covered, "h", "left_anti").select("name", "h"))
+        pairs, counts = without(pairs, counts, [r[2] for r in new])
+    released(query, index, pairs, counts, nm)
     return spark.createDataFrame(rounds, _GATHERED)
 
 

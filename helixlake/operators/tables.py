@@ -48,6 +48,14 @@ def released(*tables: DataFrame | None) -> None:
             at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df, kept() if reading it means more than a scan of files with a projection or filter."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter") and node.children().size() == 1:
+        node = node.children().apply(0)
+    return df if node.nodeName() == "LogicalRelation" else kept(df)
+
+
 def running(df: DataFrame, by: str, weight, out: str) -> DataFrame:
     """df with `out`: the sum of a weight over all rows up to this one in the order of a unique column.
 

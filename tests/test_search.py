@@ -37,6 +37,24 @@ def test_gather_of_a_sample(spark, monkeypatch, most):
     assert search.gather_sample(q.where("false"), index).count() == 0 and search.gather_sample(q, index.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("most", "matches"), [(400, 4096), (10**6, 5), (900, 12)])
+def test_gather_counts_all_pairs_rarely(spark, monkeypatch, most, matches):
+    """Most rounds are told from bounds: the pairs are gone over for fewer than half of them."""
+    rng = random.Random(8)
+    query = {f"{i:04d}" for i in range(900)}
+    genomes = {f"g{i:02d}": {f"{(i * 14 + rng.randrange(60)) % 1000:04d}" for _ in range(40)} for i in range(60)}
+    q = spark.createDataFrame([("sample", h) for h in query], "query string, h string")
+    index = spark.createDataFrame([(n, h) for n, hs in genomes.items() for h in hs], "name string, h string")
+    monkeypatch.setattr(search, "GROUP_PAIRS", most)
+    monkeypatch.setattr(search, "MOST_MATCHES", matches)
+    passes, step = [], search.without
+    monkeypatch.setattr(search, "without", lambda *a: (passes.append(1), step(*a))[1])
+    got = search.gather_sample(q, index, 0.0).orderBy("round").collect()
+    want = cover(query, genomes, 0.0)
+    assert [tuple(r)[1:] for r in got] == want and len(want) > 20
+    assert 0 < 2 * len(passes) < len(want)
+
+
 def test_whole_detection(spark):
     from helixlake.plans import testmap
 
