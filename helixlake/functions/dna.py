@@ -21,9 +21,12 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores where its files give fewer partitions than that."""
+    """df dealt over all cores where it scans files of fewer partitions than that; other plans stay, as to count theirs would run them."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter") and node.children().size() == 1:
+        node = node.children().apply(0)
+    return df.repartition(wanted) if node.nodeName() == "LogicalRelation" and df.rdd.getNumPartitions() < wanted else df
 
 
 #: Bases of a sequence whose positions become rows together.

@@ -8,19 +8,76 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import hashed, kmers, spread
 from ..functions.parsing import label_family, label_hits
+from .tables import kept
 
 #: Fixed value: added to a read's k-mer hits before they are divided by the family's length.
 K_OFFSET = 21
 
 
-def kmer_labels(seqs: DataFrame, seq_col: str, label_col: str, k: int = 21, min_count: int = 1, within: DataFrame | None = None) -> DataFrame:
-    """(h, label) of all k-mers that a label's sequences hold; `within` (h) restricts to known k-mers, before any is counted."""
+#: Words of 64 bits of a sieve: a table of at most so many rows, which may be broadcast.
+SIEVE_WORDS = 1 << 20
+#: A sieve with a larger share of its bits set than this lets too much through to be worth a join.
+FULL = 0.5
+
+
+def _sieve_place(words: int) -> tuple[Column, Column]:
+    """The word of a hash and its four bits there."""
+    y = F.xxhash64(F.lit(1), "h")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(y, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+    return F.pmod(F.xxhash64("h"), F.lit(words)), bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+
+
+def sieve(hashes: DataFrame, words: int = SIEVE_WORDS) -> DataFrame:
+    """A Bloom filter of (h): (word, bits), of at most `words` rows however many hashes there are; a row is combined before it is shuffled."""
+    word, bits = _sieve_place(words)
+    return hashes.select(word.alias("_word"), bits.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+
+
+def sifted(rows: DataFrame, filters: DataFrame, words: int = SIEVE_WORDS) -> DataFrame:
+    """rows (with h) that a sieve may hold: none that it holds goes, and of the others those with all bits set by chance stay."""
+    word, bits = _sieve_place(words)
+    told = rows.withColumns({"_word": word, "_own": bits}).join(F.broadcast(filters), "_word")
+    return told.where(F.col("_bits").bitwiseAND(F.col("_own")) == F.col("_own")).select(*rows.columns)
+
+
+def kmer_labels(seqs: DataFrame, seq_col: str, label_col: str, k: int = 21, min_count: int = 1, within: DataFrame | None = None, words: int = SIEVE_WORDS) -> DataFrame:
+    """(h, label) of all k-mers that a label's sequences hold; `within` (h) restricts to known k-mers, before any is counted.
+
+    Most rows that `within` does not hold fall to a sieve where they are made, before the
+    shuffle that decides; not if so many hashes are known that it would hold back little.
+    """
     rows = kmers(spread(seqs.select(label_col, seq_col)), seq_col, k, [label_col]).select(hashed(F.col("kmer")).alias("h"), F.col(label_col).alias("label"))
     if within is not None:
-        rows = rows.join(within.select("h").distinct(), "h", "left_semi")
+        within = kept(within.select("h").distinct())
+        filters = kept(sieve(within, words))
+        full = (filters.agg(F.sum(F.bit_count("_bits"))).first()[0] or 0) / (64 * words)
+        rows = (sifted(rows, filters, words) if full <= FULL else rows).join(within, "h", "left_semi")
     return rows.groupBy("h", "label").agg(F.count("*").alias("_c")).where(F.col("_c") >= min_count).select("h", "label")
 
 
+def colour_classes(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, class) and (class, kind, label) of distinct rows (h, kind, label): hashes of the same labels share a class.
+
+    A class is known by the number of its labels and two sums of their hashes, so no set
+    of labels is put together for each hash; its labels are those of its first hash.
+    """
+    total = lambda *x: F.sum(F.xxhash64(*x).cast("decimal(20,0)"))
+    sums = labelled.groupBy("h").agg(F.count("*").alias("n"), total("kind", "label").alias("p"), total(F.lit(1), F.xxhash64("label", "kind"), "label").alias("q"))
+    classes = kept(sums.select("h", F.md5(F.concat_ws(":", "n", "p", "q").cast("binary")).alias("class")))
+    first = classes.groupBy("class").agg(F.min("h").alias("h"))
+    return classes, labelled.join(first, "h").select("class", "kind", "label")
+
+
+def class_hits_of_reads(reads: DataFrame, seq_col: str, read_col: str, kmer_classes: DataFrame, classes: DataFrame, kind: str, k: int = 21) -> DataFrame:
+    """label_hits_of_reads() for labels of a kind, by classes: a read's k-mers are joined once, and its classes then to their labels."""
+    rows = kmers(reads.select(read_col, seq_col), seq_col, k, [read_col]).select(F.col(read_col).alias("read"), hashed(F.col("kmer")).alias("h"))
+    per_hash = rows.groupBy("read", "h").agg(F.count("*").alias("times"))
+    totals = per_hash.groupBy("read").agg(F.sum("times").alias("n_kmers"))
+    by_class = per_hash.join(kmer_classes, "h").groupBy("read", "class").agg(F.sum("times").alias("times"))
+    hits = by_class.join(classes.where(F.col("kind") == kind), "class").groupBy("read", "label").agg(F.sum("times").alias("hits"))
+    return hits.join(totals, "read")
+
+
 def read_hashes(reads: DataFrame, seq_col: str, k: int = 21) -> DataFrame:
     """(h): the distinct k-mers of reads, to restrict labels to."""
     return kmers(reads.select(seq_col), seq_col, k, []).select(hashed(F.col("kmer")).alias("h")).distinct()

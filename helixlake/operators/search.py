@@ -14,15 +14,18 @@ _GATHERED = "query string, round int, name string, f_query double, f_match doubl
 GROUP_PAIRS, MOST_MATCHES = 500_000, 4096
 
 
-def overlaps(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """query, name, shared, n_query, n_match for every pair that shares a hash; one equi-join."""
+def overlaps(queries: DataFrame, index: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """query, name, shared, n_query, n_match for every pair that shares a hash; one equi-join.
+
+    sizes (name, n_match) of the index are counted unless given.
+    """
     nq = queries.groupBy("query").agg(F.count("*").alias("n_query"))
-    nm = index.groupBy("name").agg(F.count("*").alias("n_match"))
+    nm = index.groupBy("name").agg(F.count("*").alias("n_match")) if sizes is None else sizes
     shared = queries.join(index.select("name", "h"), "h").groupBy("query", "name").agg(F.count("*").alias("shared"))
     return shared.join(nq, "query").join(nm, "name")
 
 
-def search(queries: DataFrame, index: DataFrame, mode: str = "containment", threshold: float = 0.01, digits: int = 4) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, mode: str = "containment", threshold: float = 0.01, digits: int = 4, sizes: DataFrame | None = None) -> DataFrame:
     """query, name, score, coverage, match_containment of all matches at or above the threshold.
 
     coverage is the Jaccard likeness of the two sketches, match_containment the share
@@ -30,7 +33,7 @@ def search(queries: DataFrame, index: DataFrame, mode: str = "containment", thre
     """
     if mode not in SCORES:
         raise ValueError(f"unknown score {mode!r}")
-    both = overlaps(queries, index)
+    both = overlaps(queries, index, sizes)
     jaccard = F.col("shared") / (F.col("n_query") + F.col("n_match") - F.col("shared"))
     score = {"jaccard": jaccard, "containment": F.col("shared") / F.col("n_query"), "max_containment": F.col("shared") / F.least("n_query", "n_match")}[mode]
     return both.where((score >= threshold) & (score > 0)).select(

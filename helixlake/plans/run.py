@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.mapping import annotate, annotation_report, kmer_labels, label_hits_of_reads, mapped, read_hashes
+from ..operators.mapping import annotate, annotation_report, class_hits_of_reads, colour_classes, kmer_labels, label_hits_of_reads, mapped, read_hashes
 from ..operators.search import gather_sample, search
 from ..operators.sketch import sketch
+from ..operators.tables import kept, released
 from .batch import Profiles, profile_all
-from .profile import Options, Profile, candidates, detection, profile
+from .buckets import read_buckets, write_buckets
+from .profile import Options, Profile, candidates, detection, profile, put_text
 from .stages import Stages
 
 
-def index_bank(genomes: DataFrame, folder: str, k: int = 21, scaled: int = 1000, n: int = 0) -> None:
-    """Write the genome and pangenome indexes of genomes (name, species, sequence), sorted by hash for pruning."""
+def index_bank(genomes: DataFrame, folder: str, k: int = 21, scaled: int = 1000, n: int = 0, buckets: int = 64) -> None:
+    """Write the genome and pangenome indexes of genomes (name, species, sequence), in buckets by hash, and their sizes."""
     spark = genomes.sparkSession
-    index = sketch(genomes, "sequence", ["name", "species"], k, scaled, n)
-    index.repartitionByRange("h").sortWithinPartitions("h").write.mode("overwrite").parquet(f"{folder}/genomes")
-    whole = spark.read.parquet(f"{folder}/genomes").select("species", "h").distinct()
-    whole.repartitionByRange("h").sortWithinPartitions("h").write.mode("overwrite").parquet(f"{folder}/pangenomes")
-    info = spark.range(1).select(F.lit(k).alias("kmer_size"), F.lit(scaled).alias("scaled"), F.lit(n).alias("n"))
-    info.coalesce(1).write.mode("overwrite").json(f"{folder}/index_info")
+    index = write_buckets(sketch(genomes, "sequence", ["name", "species"], k, scaled, n), f"{folder}/genomes", "h", buckets)
+    index.groupBy("name").agg(F.count("*").alias("n_match")).write.mode("overwrite").parquet(f"{folder}/genome_sizes")
+    whole = write_buckets(index.select(F.col("species"), "h").distinct(), f"{folder}/pangenomes", "h", buckets)
+    whole.groupBy(F.col("species").alias("name")).agg(F.count("*").alias("n_match")).write.mode("overwrite").parquet(f"{folder}/pangenome_sizes")
+    put_text(spark, f"{folder}/index_info/info.json", json.dumps({"kmer_size": k, "scaled": scaled, "n": n, "buckets": buckets}))
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,8 @@ class Bank:
     k: int
     scaled: int
     n: int
+    #: (name, n_match) by level; counted where a bank has none.
+    sizes: dict[str, DataFrame] = field(default_factory=dict)
 
     def sketch(self, sequences: DataFrame, query: str = "query") -> DataFrame:
         """(query, h) of sequences (query, sequence), by the bank's own settings."""
@@ -47,8 +51,8 @@ class Bank:
         return self.genomes.select("name", "h") if level == "genome" else self.pangenomes.select(F.col("species").alias("name"), "h")
 
     def search(self, queries: DataFrame, level: str = "genome", mode: str = "jaccard", threshold: float = 0.01) -> DataFrame:
-        """Matches of sketches (query, h), the best first within a query."""
-        return search(queries, self.index(level), mode, threshold).orderBy("query", F.desc("score"), "name")
+        """Matches of sketches (query, h), the best first within a query; the index is read where it lies, and only queries are shuffled to it."""
+        return search(queries, self.index(level), mode, threshold, sizes=self.sizes.get(level)).orderBy("query", F.desc("score"), "name")
 
     def search_sequences(self, sequences: DataFrame, level: str = "genome", mode: str = "jaccard", threshold: float = 0.01) -> DataFrame:
         return self.search(self.sketch(sequences), level, mode, threshold)
@@ -64,13 +68,47 @@ class Bank:
 def open_bank(spark: SparkSession, folder: str) -> Bank:
     """The bank that index_bank() wrote to a folder."""
     info = spark.read.json(f"{folder}/index_info").first()
-    return Bank(spark.read.parquet(f"{folder}/genomes"), spark.read.parquet(f"{folder}/pangenomes"), info["kmer_size"], info["scaled"], info["n"])
+    sizes = {level: spark.read.parquet(f"{folder}/{level}_sizes") for level in ("genome", "pangenome")}
+    return Bank(read_buckets(spark, f"{folder}/genomes"), read_buckets(spark, f"{folder}/pangenomes"), info["kmer_size"], info["scaled"], info["n"], sizes)
 
 
-def index_pangenome(families: DataFrame, folder: str, k: int = 21, min_count: int = 1, within: DataFrame | None = None) -> None:
-    """Write (h, label) of the families' k-mers, sorted by hash."""
-    rows = kmer_labels(families, "sequence", "family", k, min_count, within)
-    rows.repartitionByRange("h").sortWithinPartitions("h", "label").write.mode("overwrite").parquet(folder)
+def index_pangenome(genes: DataFrame, folder: str, k: int = 21, min_count: int = 1, within: DataFrame | None = None, buckets: int = 64) -> None:
+    """Write the k-mers of genes (family, sequence, and genome if known) with their labels.
+
+    A k-mer is one row (h, class), in buckets by hash; a class has the labels of both
+    kinds, families and genomes, that its k-mers share.
+    """
+    kinds = [c for c in ("family", "genome") if c in genes.columns]
+    parts = [kmer_labels(genes, "sequence", kind, k, min_count, within).select("h", F.lit(kind).alias("kind"), F.col("label").cast("string").alias("label")) for kind in kinds]
+    labelled = kept(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    by_hash, classes = colour_classes(labelled)
+    write_buckets(by_hash, f"{folder}/kmers", "h", buckets)
+    classes.repartition("class").sortWithinPartitions("class", "kind", "label").write.mode("overwrite").parquet(f"{folder}/classes")
+    put_text(genes.sparkSession, f"{folder}/index_info/info.json", json.dumps({"kmer_size": k, "min_count": min_count, "kinds": kinds}))
+    released(labelled, by_hash)
+
+
+@dataclass(frozen=True)
+class Pangenome:
+    """A stored index of labels: (h, class) in buckets by hash, (class, kind, label), and the length of its k-mers."""
+
+    kmers: DataFrame
+    classes: DataFrame
+    k: int
+
+    def labels(self, kind: str = "family") -> DataFrame:
+        """(h, label) of a kind."""
+        return self.kmers.join(self.classes.where(F.col("kind") == kind), "class").select("h", "label")
+
+    def hits(self, reads: DataFrame, seq_col: str, read_col: str, kind: str = "family") -> DataFrame:
+        """read, label, hits, n_kmers of labels of a kind; of the index nothing is shuffled by hash."""
+        return class_hits_of_reads(reads, seq_col, read_col, self.kmers, self.classes, kind, self.k)
+
+
+def open_pangenome(spark: SparkSession, folder: str) -> Pangenome:
+    """The index that index_pangenome() wrote to a folder."""
+    info = spark.read.json(f"{folder}/index_info").first()
+    return Pangenome(read_buckets(spark, f"{folder}/kmers"), spark.read.parquet(f"{folder}/classes"), info["kmer_size"])
 
 
 def profile_sample(
