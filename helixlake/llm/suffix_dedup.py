@@ -24,8 +24,11 @@ smallest id), so a passage that a third of all documents share reaches its bucke
 for each chunk.  A gram with more than VARIED different spans in a chunk, such as a
 frequent phrase, is not sent to step 2 by its spans: two marks say which ids hold it,
 its runs are ties, and their strings are dealt by their own fingerprints in step 3.  So
-no gram sends more than VARIED entries of a chunk to one bucket.  Fingerprints have 64
-bits, and runs are compared together with 32 more of their gram.
+no gram sends more than VARIED entries of a chunk to one bucket.
+
+Runs and strings are compared by two keys: 64 bits of the whole and 32 of the sampled
+gram, which equal ones share.  Unequal ones are taken for equal with a chance of 2**-96
+a pair, and of 2**-64 among those of one gram; 10**13 runs of 100 TB make about 10**26 pairs.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, written
+from .shared import documents, resting_on, written
 from .textbatch import mix, powers, prefix_hash, range_hash
 
 WIDTH, GRAM = 50, 20
@@ -85,17 +88,23 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return rows.mapInArrow(gathered, CHUNK_SCHEMA)
 
 
+def _changes(value: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where a pair differs from the one before it."""
+    out = np.ones(len(value), bool)
+    out[1:] = (value[1:] != value[:-1]) | (second[1:] != second[:-1])
+    return out
+
+
 class Entries:
-    """Fingerprints of a chunk, one for each distinct value: that of the smallest document.
+    """Fingerprints of a chunk, one for each distinct pair of a value and a second key: that of the smallest document.
 
     `local` marks items that repeat a value of a smaller document of the same chunk.
     Kept entries stand by bucket and value, an order that each pass finds again.
     """
 
-    def __init__(self, value: np.ndarray, doc: np.ndarray, ids: np.ndarray, bucket: np.ndarray, buckets: int):
-        order = np.lexsort((ids[doc], value))
-        first = np.ones(len(order), bool)
-        first[1:] = value[order][1:] != value[order][:-1]
+    def __init__(self, value: np.ndarray, second: np.ndarray, doc: np.ndarray, ids: np.ndarray, bucket: np.ndarray, buckets: int):
+        order = np.lexsort((ids[doc], second, value))
+        first = _changes(value[order], second[order])
         group = np.cumsum(first) - 1
         kept = order[first]
         self.local = np.zeros(len(value), bool)
@@ -155,15 +164,15 @@ class Chunk:
     def runs(self, buckets: int) -> None:
         """Set self.entries of the runs `sent`; `local` of all; and marks (gram, id, salt) of varied grams."""
         self.span = range_hash(self.prefix, self.start, self.end + WIDTH - 1)
-        value, bucket = mix(self.span ^ self.gram), (self.gram >> np.uint64(7)).astype(np.int64) % buckets
-        every = Entries(value, self.doc, self.ids, bucket, buckets)
-        self.local, self.entries, self.sent = every.local, every, np.arange(len(value))
+        bucket = (self.gram >> np.uint64(7)).astype(np.int64) % buckets
+        every = Entries(self.span, self.gram, self.doc, self.ids, bucket, buckets)
+        self.local, self.entries, self.sent = every.local, every, np.arange(len(self.span))
         self.marks = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         _, at, count = np.unique(self.gram[every.kept], return_inverse=True, return_counts=True)
         varied = every.of(count[at] > VARIED) if len(at) else np.zeros(0, bool)
         if varied.any():
             self.sent = np.flatnonzero(~varied)
-            self.entries = Entries(value[self.sent], self.doc[self.sent], self.ids, bucket[self.sent], buckets)
+            self.entries = Entries(self.span[self.sent], self.gram[self.sent], self.doc[self.sent], self.ids, bucket[self.sent], buckets)
             rest = np.flatnonzero(varied)
             order = rest[np.lexsort((self.ids[self.doc[rest]], self.gram[rest]))]
             edge = np.flatnonzero(np.diff(self.gram[order], prepend=self.gram[order][:1] ^ np.uint64(1)))
@@ -179,13 +188,14 @@ class Chunk:
         return repeated, open_runs & ~repeated
 
     def ties(self, open_runs: np.ndarray, buckets: int) -> Entries:
-        """Entries of all strings of the given runs; their starts are kept in self.at."""
+        """Entries of all strings of the given runs; their starts are kept in self.at, their grams in self.of_gram."""
         size = (self.end - self.start)[open_runs]
         first = np.concatenate([[0], np.cumsum(size)])[:-1]
         self.at = np.repeat(self.start[open_runs] - first, size) + np.arange(size.sum())
         self.string = range_hash(self.prefix, self.at, self.at + WIDTH)
+        self.of_gram = np.repeat((self.gram[open_runs] >> np.uint64(32)).astype("<u4"), size)
         doc = np.repeat(self.doc[open_runs], size)
-        return Entries(self.string, doc, self.ids, (self.string >> np.uint64(7)).astype(np.int64) % buckets, buckets)
+        return Entries(self.string, self.of_gram, doc, self.ids, (self.string >> np.uint64(7)).astype(np.int64) % buckets, buckets)
 
     def answered(self, repeated: np.ndarray) -> list[tuple]:
         """A row for each document, from the starts of repeated strings."""
@@ -234,11 +244,10 @@ def _opened(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _repeats(value: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether a smaller id has the same value."""
-    order = np.lexsort((ids, value))
-    first = np.ones(len(order), bool)
-    first[1:] = value[order][1:] != value[order][:-1]
+def _repeats(value: np.ndarray, second: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether a smaller id has the same value and second key."""
+    order = np.lexsort((ids, second, value))
+    first = _changes(value[order], second[order])
     out = np.zeros(len(order), bool)
     out[order] = ids[order] > ids[order[first]][np.cumsum(first) - 1]
     return out
@@ -258,7 +267,7 @@ def _decide(kinds: list[str], decide: Callable[..., list[np.ndarray]]):
 
 
 def _runs_decided(ids: np.ndarray, gram: np.ndarray, span: np.ndarray) -> list[np.ndarray]:
-    known = _repeats(mix(span + gram.astype(np.uint64)), ids)
+    known = _repeats(span, gram, ids)
     rest = np.flatnonzero(~known)
     order = rest[np.argsort(gram[rest], kind="stable")]
     edge = np.flatnonzero(np.diff(gram[order], prepend=gram[order][:1] ^ np.uint32(1))) if len(order) else np.zeros(0, int)
@@ -269,8 +278,8 @@ def _runs_decided(ids: np.ndarray, gram: np.ndarray, span: np.ndarray) -> list[n
     return [known, tied]
 
 
-def _strings_decided(ids: np.ndarray, string: np.ndarray) -> list[np.ndarray]:
-    return [_repeats(string, ids)]
+def _strings_decided(ids: np.ndarray, string: np.ndarray, gram: np.ndarray) -> list[np.ndarray]:
+    return [_repeats(string, gram, ids)]
 
 
 def _answers(entries: Entries, reply: list, each: int) -> list[np.ndarray]:
@@ -298,8 +307,7 @@ BLOBS, BITS = "bucket int, chunk long, blob binary", "chunk long, bucket int, bi
 
 
 def _with_reply(held: DataFrame, bits: DataFrame, name: str) -> DataFrame:
-    """The chunks with the answers that a comparison gave to each."""
-    bits = written(bits)
+    """The chunks with the answers that a comparison gave to each, a written table."""
     size = bits.agg(F.sum(F.length("bits") + 16)).first()[0] or 0
     reply = bits.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias(name))
     return held.join(F.broadcast(reply) if size <= BROADCAST_BYTES else reply, "chunk", "left")
@@ -334,7 +342,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         c, _, tied = open_runs(row)
         e = c.ties(np.flatnonzero(tied), buckets)
         doc = np.searchsorted(c.offsets, c.at, "right") - 1
-        return _blobs(row["chunk"], c, e, [c.string], doc)
+        return _blobs(row["chunk"], c, e, [c.string, c.of_gram], doc)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,12 +358,12 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    runs = held.mapInArrow(_shipped(ship_runs), BLOBS).groupBy("bucket").applyInArrow(_decide(["<u4", "<u8"], _runs_decided), BITS)
-    asked = _with_reply(held, runs, "runs")
-    ties = asked.mapInArrow(_shipped(ship_ties), BLOBS).groupBy("bucket").applyInArrow(_decide(["<u8"], _strings_decided), BITS)
-    told = _with_reply(asked, ties, "ties")
+    runs_told = written(held.mapInArrow(_shipped(ship_runs), BLOBS).groupBy("bucket").applyInArrow(_decide(["<u4", "<u8"], _runs_decided), BITS))
+    asked = _with_reply(held, runs_told, "runs")
+    ties_told = written(asked.mapInArrow(_shipped(ship_ties), BLOBS).groupBy("bucket").applyInArrow(_decide(["<u8", "<u4"], _strings_decided), BITS))
+    told = _with_reply(asked, ties_told, "ties")
     done = told.mapInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.withColumnRenamed("id", id_col)
+    return resting_on(done.withColumnRenamed("id", id_col), held, runs_told, ties_told)
 
 
 def op7_suffix_dedup(spark, sf_dir):
