@@ -48,8 +48,9 @@ def test_language_against_plain_sets(spark):
 def test_many_languages_are_bounded(spark, monkeypatch):
     rows = [(i, f"w{'abcdefghij'[i % 10]}rd " * (30 - i % 10), f"l{i % 10}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
-    assert language_id.learn(docs).languages == ["l0", "l1", "l2"]
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 3)
+    model = language_id.learn(docs)
+    assert [m.languages for m in (model, *model.more)] == [["l0", "l1", "l2"], ["l3", "l4", "l5"], ["l6", "l7", "l8"], ["l9"]]
 
 
 def plain_risk(w, x, positive, prior):
@@ -162,3 +163,22 @@ def test_labels_that_disagree_and_rows_that_repeat(spark, monkeypatch):
     assert np.count_nonzero(clean) and (clean == twice).all()
     monkeypatch.setattr(toxicity, "MOST_PLACES", 100)
     assert np.count_nonzero(toxicity.learn(docs, labels)) <= 100
+
+
+def test_languages_beyond_one_model(spark, monkeypatch):
+    """As many models as languages ask for decide like one model of all of them."""
+    rng = random.Random(7)
+    stock = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnop"[k % 7 : k % 7 + 9]) for _ in range(rng.randint(3, 7))) for _ in range(40)] for k in range(11)}
+    rows = [(i, " ".join(rng.choice(stock[lang]) for _ in range(30)), lang) for i, lang in enumerate(list(stock) * 12)]
+    rows += [(900, "", "l00"), (901, None, None), (902, "12 ?", "l01"), (903, rows[5][1] + " " + rows[6][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = lambda model: sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(docs, model).collect())
+    by_row = lambda model: sorted((r["doc_id"], r["__told"]["lang_pred"], round(r["__told"]["score"], 9)) for r in language_id.identify_rows(docs, model).collect())
+    whole = language_id.learn(docs)
+    assert not whole.more and len(whole.languages) == 11
+    want = told(whole)
+    assert by_row(whole) == want
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 4)
+    parts = language_id.learn(docs)
+    assert [m.languages for m in (parts, *parts.more)] == [whole.languages[a : a + 4] for a in (0, 4, 8)]
+    assert told(parts) == want == by_row(parts)

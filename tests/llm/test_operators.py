@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -623,7 +624,8 @@ def test_language(spark, table, empty):
 
 
 def test_bloom_answers_all_languages():
-    model = language_id.build([("a", 5), ("b", 5), ("b", 9), *((f"l{i}", 77) for i in range(70))])
+    rows = [("a", 5), ("b", 5), ("b", 9), *((f"l{i}", 77) for i in range(70))]
+    model = language_id.build(pa.table({"lang": [x for x, _ in rows], "gram": [g for _, g in rows]}))
     masks = model.masks(np.array([5, 9, 77], np.uint64))
     on = [{model.languages[j] for j in range(len(model.languages)) if masks[r, j // 64] >> np.uint64(j % 64) & np.uint64(1)} for r in range(3)]
     assert {"a", "b"} <= on[0] and "b" in on[1] and len(on[2]) >= 70
