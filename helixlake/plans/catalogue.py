@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,8 +15,11 @@ from ..operators import mapping as R
 from ..operators import mixture as M
 from ..operators import search as S
 from ..operators import sketch as K
+from ..operators.tables import shared_folder
 from . import profile as P
+from . import run
 from . import testmap as T
+from .batch import profile_all
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -230,6 +235,37 @@ def _(spark, d):
     return R.mapped(_hits(spark, d), most=1).select("read", "label", "hits")
 
 
+def _stored(spark) -> str:
+    return f"{shared_folder(spark)}/stored/{uuid.uuid4().hex}"
+
+
+@query("stored_bank_search", _PAIRS + _SCORED.format("con", 0.01))
+def _(spark, d):
+    """search_containment in a bank that was written in buckets and opened again."""
+    folder = _stored(spark)
+    run.index_bank(T.genomes(spark, d).withColumnRenamed("seq", "sequence"), folder, T.K, T.SCALED)
+    return run.open_bank(spark, folder).search(T.read_sketches(spark, d), "genome", "containment")
+
+
+def _pangenome(spark, d):
+    """The stored index of species and genomes, by classes, of the k-mers that reads hold."""
+    folder = _stored(spark)
+    genes = T.genomes(spark, d).select(F.col("species").alias("family"), F.col("name").alias("genome"), F.col("seq").alias("sequence"))
+    run.index_pangenome(genes, folder, T.K, within=R.read_hashes(T.reads(spark, d), "seq", T.K))
+    return run.open_pangenome(spark, folder)
+
+
+@query("class_hits_family", _HITS + "SELECT read, label, hits, n_kmers FROM hits")
+def _(spark, d):
+    return _pangenome(spark, d).hits(T.reads(spark, d), "seq", "read").select("read", "label", "hits", "n_kmers")
+
+
+@query("class_hits_genome", f"""WITH {T.GENOME_KMERS}, {T.READ_KMERS}, lab AS (SELECT DISTINCT substr(md5(kmer), 1, 15) AS h, name AS label FROM gk), rh AS (SELECT read, substr(md5(kmer), 1, 15) AS h FROM rk),
+n AS (SELECT read, count(*) AS n_kmers FROM rh GROUP BY read) SELECT read, label, count(*) AS hits, n_kmers FROM rh JOIN lab USING (h) JOIN n USING (read) GROUP BY read, label, n_kmers""")
+def _(spark, d):
+    return _pangenome(spark, d).hits(T.reads(spark, d), "seq", "read", "genome").select("read", "label", "hits", "n_kmers")
+
+
 @query("mapping_tsv", """SELECT l_orderkey, l_linenumber <> 3 AS mapped, CASE WHEN l_linenumber <> 3 THEN 'fam' || l_partkey END AS family, CASE WHEN l_linenumber <> 3 THEN CAST(l_quantity AS BIGINT) END AS hits FROM lineitem""")
 def _(spark, d):
     items = T.table(spark, d, "lineitem")
@@ -433,6 +469,27 @@ def _(spark, d):
     return spark.createDataFrame(rows, "strain long, abundance double, ra double")
 
 
+def _four_species(spark, d):
+    """Nodes, edges and presence of four species, parts by key, with weights from the planted strains."""
+    own_species = T.table(spark, d, "part").select(F.col("p_partkey").alias("nid"), F.concat(F.lit("s"), (F.col("p_partkey") % 4).cast("string")).alias("species"))
+    y = T.planted_depth(spark, d).select(F.col("fam").alias("nid"), F.col("y").alias("weight"))
+    nodes = T.bare_nodes(spark, d).join(y, "nid").join(own_species, "nid")
+    edges = T.edges(spark, d).join(own_species.select(F.col("nid").alias("src"), "species"), "src")
+    return nodes, edges, T.presence(spark, d).join(own_species, "nid")
+
+
+@query("planted_species", """WITH s AS (SELECT DISTINCT 's' || (p_partkey % 4) AS species FROM part) SELECT species, CAST(strain AS BIGINT) AS strain, CAST(x AS DOUBLE) AS abundance, round(CAST(x AS DOUBLE) / 9, 6) AS ra FROM s, (VALUES (1, 5.0), (2, 3.0), (3, 1.0)) AS v(strain, x)""")
+def _(spark, d):
+    """The planted strains of each of several species, solved in one plan."""
+    return profile_all(*_four_species(spark, d)).strains.select("species", "strain", r6(F.col("x")).alias("abundance"), r6(F.col("ra")).alias("ra"))
+
+
+@query("profile_species")
+def _(spark, d):
+    """Strains and counts of genes of several species; a test compares it with the profile of each."""
+    return profile_all(*_four_species(spark, d)).table()
+
+
 @query("selection_trace")
 def _(spark, d):
     found, _members = P.select(_fam(spark, d), T.planted_depth(spark, d), {})
