@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .murmur import murmur_hex
+
 #: Hexadecimal digits of a k-mer's hash that are kept: 60 bits.
 DIGITS = 15
 
@@ -52,14 +54,17 @@ def kmers(seqs: DataFrame, seq_col: str, k: int, keep: list[str], canonical: boo
 
 
 def hashed(kmer: Column, method: str = "md5") -> Column:
-    """A k-mer's hash: 15 hex digits of md5 (equal in any engine), or of xxhash64 (fast)."""
+    """A k-mer's hash: 15 hex digits of md5 (equal in any engine) or of xxhash64 (fast), or the 16 of murmur3 (seed 42, other tools')."""
     if method == "md5":
         return F.substring(F.md5(kmer), 1, DIGITS)
     if method == "xxhash64":
         return F.substring(F.lpad(F.lower(F.hex(F.xxhash64(kmer))), 16, "0"), 1, DIGITS)
+    if method == "murmur3":
+        return murmur_hex(kmer)
     raise ValueError(f"unknown hash {method!r}")
 
 
-def threshold(scaled: int) -> str:
+def threshold(scaled: int, method: str = "md5") -> str:
     """The hash below which a k-mer is sampled, one in `scaled`, as hex digits."""
-    return format(16**DIGITS // scaled, f"0{DIGITS}x") if scaled > 1 else "g"
+    digits = 16 if method == "murmur3" else DIGITS
+    return format(16**digits // scaled, f"0{digits}x") if scaled > 1 else "g"

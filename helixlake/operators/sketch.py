@@ -18,7 +18,7 @@ def sketch(seqs: DataFrame, seq_col: str, keys: list[str], k: int = 21, scaled:
     h = hashed(F.col("kmer"), method)
     rows = kmers(spread(seqs.select(*keys, seq_col)), seq_col, k, keys).select(*keys, h.alias("h"))
     if not n:
-        rows = rows.where(F.col("h") < threshold(scaled))
+        rows = rows.where(F.col("h") < threshold(scaled, method))
     rows = rows.distinct() if min_count <= 1 else rows.groupBy(*keys, "h").agg(F.count("*").alias("_c")).where(F.col("_c") >= min_count).select(*keys, "h")
     if n:
         rows = rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("h"))).where(F.col("_r") <= n).drop("_r")

@@ -50,6 +50,12 @@ def _(spark, d):
     return T.genome_index(spark, d, n=50).select("name", "h")
 
 
+@query("sketch_murmur3")
+def _(spark, d):
+    """Sketches by the hash of other tools; DuckDB has none, a test compares it with a plain one."""
+    return T.genome_index(spark, d, 100, method="murmur3").select("name", "h")
+
+
 @query("sketch_union_species", f"WITH {T.INDEX} SELECT DISTINCT species, h FROM idx")
 def _(spark, d):
     return K.merged(T.genome_index(spark, d), ["species"])
@@ -541,6 +547,18 @@ for _name, _sql in (("observed", "obs"), ("imputed", "imp"), ("reassigned", "rea
         return _rounded(made)
 
 
+_SPARSE = _GENES.replace("WHERE l_returnflag = 'A')", "WHERE l_returnflag = 'A' AND l_linenumber = 7)")
+
+
+@query("assign_imputed_sparse", _SPARSE + "SELECT component, family, round(abundance, 6) AS abundance, status FROM imp")
+def _(spark, d):
+    """Imputed families where the mapping covers few of them."""
+    _, edges, presence, members, abundance = _graph(spark, d)
+    few = T.table(spark, d, "lineitem").where("l_returnflag = 'A' and l_linenumber = 7").select(F.col("l_partkey").alias("family"), F.col("l_quantity").cast("bigint").alias("hits"))
+    nodes = R.annotate(few, T.bare_nodes(spark, d))
+    return _rounded(A.imputed(nodes, edges, A.carriers(presence, members), abundance))
+
+
 @query("genes_tsv", _GENES + "SELECT component AS strain, family AS family_id, round(abundance, 6) AS abundance, status FROM genes")
 def _(spark, d):
     return _genes(spark, d).select(F.col("component").alias("strain"), F.col("family").alias("family_id"), r6(F.col("abundance")).alias("abundance"), "status")
@@ -608,7 +626,7 @@ def _(spark, d):
     version = F.concat_ws(".", (F.col("n_chars") % 7).cast("string"), (F.col("doc_id") % 11).cast("string"), F.lit("0"))
     spec = F.concat("source", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("@"), version)), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(":s__"), "lang")).otherwise(""))
     s = F.col("spec")
-    return T.table(spark, d, "documents").select("doc_id", spec.alias("spec")).select("doc_id", X.collection_name(s).alias("name"), X.collection_version(s).alias("version"), X.collection_member(s).alias("member"))
+    return T.table(spark, d, "documents").select("doc_id", spec.alias("spec")).select("doc_id", X.checked_spec(F.col("spec")).alias("spec")).select("doc_id", X.collection_name(s).alias("name"), X.collection_version(s).alias("version"), X.collection_member(s).alias("member"))
 
 
 @query("parse_version_sort", "WITH v AS (SELECT DISTINCT 'v' || (n_chars % 13) || '.' || (doc_id % 11) || '.0' AS version, n_chars % 13 AS a, doc_id % 11 AS b FROM documents) SELECT version, row_number() OVER (ORDER BY a, b) AS place FROM v")
@@ -649,6 +667,17 @@ def _(spark, d):
     return T.table(spark, d, "events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"))
 
 
+@query("catalog_releases", "SELECT event_type AS name, 'v' || CAST(json_extract_string(props, '$.k') AS BIGINT) || '.' || event_id % 10 || '.0' AS version, event_id AS pangenome_count FROM events")
+def _(spark, d):
+    """Releases of collections that are given as JSON: one with a release for each event."""
+    from ..sources.catalog import releases
+
+    version = F.concat(F.lit("v"), F.from_json("props", "k bigint")["k"].cast("string"), F.lit("."), (F.col("event_id") % 10).cast("string"), F.lit(".0"))
+    release = F.array(F.struct(version.alias("version"), F.col("event_id").alias("pangenome_count")))
+    texts = T.table(spark, d, "events").select(F.to_json(F.struct(F.col("event_type").alias("name"), release.alias("releases"))).alias("text"))
+    return releases(texts, "text").select("name", "version", "pangenome_count")
+
+
 @query("policy_filter", "SELECT c_custkey, c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN 'supported' WHEN 'MACHINERY' THEN 'discarded' ELSE 'unsupported' END AS verdict FROM customer")
 def _(spark, d):
     from ..sources.catalog import verdicts

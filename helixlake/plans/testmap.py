@@ -36,8 +36,8 @@ def reads(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read"), project_dna(F.col("text")).alias("seq"))
 
 
-def genome_index(spark, sf_dir, scaled: int = SCALED, n: int = 0) -> DataFrame:
-    return sketch(genomes(spark, sf_dir), "seq", ["name", "species"], K, scaled, n)
+def genome_index(spark, sf_dir, scaled: int = SCALED, n: int = 0, method: str = "md5") -> DataFrame:
+    return sketch(genomes(spark, sf_dir), "seq", ["name", "species"], K, scaled, n, method)
 
 
 def read_sketches(spark, sf_dir) -> DataFrame:

@@ -191,3 +191,53 @@ def test_running_sketch(spark, tmp_path):
     lines = spark.read.text(str(tmp_path / "in")).selectExpr("'sample' as name", "value as seq")
     want = {r["h"] for r in K.sketch(lines, "seq", ["name"], 21, 1).collect()}
     assert {r["h"] for r in spark.read.parquet(str(tmp_path / "out")).select("h").distinct().collect()} == want
+
+
+def plain_murmur(data, seed):
+    """The published definition, one value at a time."""
+    full = (1 << 64) - 1
+    turn = lambda x, r: (x << r | x >> (64 - r)) & full
+    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
+
+    def last(k):
+        k = (k ^ k >> 33) * 0xFF51AFD7ED558CCD & full
+        k = (k ^ k >> 33) * 0xC4CEB9FE1A85EC53 & full
+        return k ^ k >> 33
+
+    h1 = h2 = seed
+    n = len(data) // 16
+    for i in range(n):
+        k1, k2 = (int.from_bytes(data[16 * i + j : 16 * i + j + 8], "little") for j in (0, 8))
+        h1 ^= turn(k1 * c1 & full, 31) * c2 & full
+        h1 = ((turn(h1, 27) + h2) * 5 + 0x52DCE729) & full
+        h2 ^= turn(k2 * c2 & full, 33) * c1 & full
+        h2 = ((turn(h2, 31) + h1) * 5 + 0x38495AB5) & full
+    tail = data[16 * n :]
+    h2 ^= turn(int.from_bytes(tail[8:], "little") * c2 & full, 33) * c1 & full
+    h1 ^= turn(int.from_bytes(tail[:8], "little") * c1 & full, 31) * c2 & full
+    h1, h2 = h1 ^ len(data), h2 ^ len(data)
+    h1 = (h1 + h2) & full
+    h2 = (h2 + h1) & full
+    h1, h2 = last(h1), last(h2)
+    h1 = (h1 + h2) & full
+    return h1, (h2 + h1) & full
+
+
+def test_murmur3(spark):
+    import numpy as np
+    from helixlake.functions import murmur
+
+    vectors = {b"": (0, 0), b"hello": (0xCBD8A7B341BD9B02, 0x5B1E906A48AE1D19), b"The quick brown fox jumps over the lazy dog": (0xE34BBC7BBC071B6C, 0x7A433CA9C49A9347)}
+    for data, want in vectors.items():  # published values, seed 0
+        rows = np.frombuffer(data, np.uint8).reshape(1, len(data))
+        assert plain_murmur(data, 0) == want == tuple(int(x[0]) for x in murmur.murmur3(rows, 0))
+    rng = random.Random(5)
+    values = [bytes(rng.randrange(256) for _ in range(n)) for n in range(70) for _ in range(3)]
+    assert murmur.first_halves(values).tolist() == [plain_murmur(v, 42)[0] for v in values]
+    seq = "".join(rng.choice("ACGT") for _ in range(400))
+    docs = spark.createDataFrame([("a", seq), ("b", seq[:30]), ("c", None)], "name string, seq string")
+    flip = str.maketrans("ACGT", "TGCA")
+    want = {(n, format(plain_murmur(min(k, k[::-1].translate(flip)).encode(), 42)[0], "016x")) for n, s in (("a", seq), ("b", seq[:30])) for i in range(len(s) - 20) for k in [s[i : i + 21]]}
+    got = {tuple(r) for r in K.sketch(docs, "seq", ["name"], 21, 4, method="murmur3").collect()}
+    assert got == {(n, h) for n, h in want if int(h, 16) < 2**64 // 4} and len(got) > 40
+    assert K.sketch(docs, "seq", ["name"], 21, 1, 5, method="murmur3").count() == 10
