@@ -68,7 +68,7 @@ def partition_colour(partition: Column) -> Column:
 
 def value_kind(text: Column) -> Column:
     """int, float or str: the first that a text converts to."""
-    return F.when(F.expr("1=1") & text.try_cast("bigint").isNotNull() & text.rlike(r"^\s*[+-]?\d+\s*$"), "int").when(text.try_cast("double").isNotNull(), "float").otherwise("str")
+    return F.when(text.try_cast("bigint").isNotNull() & text.rlike(r"^\s*[+-]?\d+\s*$"), "int").when(text.try_cast("double").isNotNull(), "float").otherwise("str")
 
 
 def human_size(n: Column) -> Column:

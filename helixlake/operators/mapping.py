@@ -102,6 +102,24 @@ def mapped(hits: DataFrame, min_fraction: float = 0.15, most: int = 0) -> DataFr
     return ranked.where(F.col("rank") <= most) if most else ranked
 
 
+def mapping_lines(reads: DataFrame, best: DataFrame, mode: str = "matches", as_json: bool = False) -> DataFrame:
+    """One line of text (index, value) for each of reads (index, read), with its labels of best (read, label, hits, rank) in their order.
+
+    Tab-separated: index, read, and `<label>:hits` for each label in the mode `matches`, or `<label>` in
+    the mode `labels`; a read without a label ends after its name.  As JSON: the same as an object.
+    """
+    if mode not in ("matches", "labels"):
+        raise ValueError(f"unknown mode {mode!r}")
+    listed = best.groupBy("read").agg(F.sort_array(F.collect_list(F.struct("rank", "label", "hits"))).alias("_l"))  # the labels of one read
+    rows = reads.join(listed, "read", "left")
+    found = F.coalesce("_l", F.array().cast("array<struct<rank:int,label:string,hits:bigint>>"))
+    if as_json:
+        each = F.transform(found, lambda x: F.struct(x["label"].alias("label"), x["hits"].alias("hits"))) if mode == "matches" else F.transform(found, lambda x: x["label"])
+        return rows.select("index", F.to_json(F.struct("index", F.col("read").cast("string").alias("read"), each.alias("labels"))).alias("value"))
+    text = F.transform(found, lambda x: F.concat(F.lit("<"), x["label"], F.concat(F.lit(">:"), x["hits"].cast("string")) if mode == "matches" else F.lit(">")))
+    return rows.select("index", F.array_join(F.concat(F.array(F.col("index").cast("string"), F.col("read").cast("string")), text), "\t").alias("value"))
+
+
 def mapping_from_tsv(lines: DataFrame, line: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """keep, mapped, family and hits of each line: index, name, then <family>:hits; only the first label counts."""
     parts = F.split(F.trim(line), "\t")

@@ -281,6 +281,13 @@ def _(spark, d):
     return R.mapping_from_tsv(lines, F.col("line"), ("l_orderkey",))
 
 
+@query("mapping_lines", _HITS + """, l AS (SELECT read, string_agg('<' || label || '>:' || hits, chr(9) ORDER BY rank) AS t FROM good GROUP BY read)
+SELECT item_id AS index, item_id || chr(9) || item_id || coalesce(chr(9) || t, '') AS value FROM benchmark LEFT JOIN l ON read = item_id""")
+def _(spark, d):
+    reads = T.table(spark, d, "benchmark").select(F.col("item_id").alias("index"), F.col("item_id").alias("read"))
+    return R.mapping_lines(reads, R.mapped(_hits(spark, d)))
+
+
 @query("annotate_counts", f"WITH {T.NODES} SELECT nid, read_count, kmer_count, round(weight, 6) AS weight FROM nodes")
 def _(spark, d):
     return T.nodes(spark, d).select("nid", "read_count", "kmer_count", r6(F.col("weight")).alias("weight"))

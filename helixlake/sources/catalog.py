@@ -31,12 +31,24 @@ def verdicts(rows: DataFrame, name: str, policy: DataFrame, default: str = "unsu
     return rows.join(table, name, "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
-def fetch_plan(wanted: DataFrame, present: DataFrame) -> DataFrame:
-    """label and action (present or fetch) of wanted files."""
-    have = present.select("label").distinct().withColumn("_h", F.lit(True))
+def fetch_plan(wanted: DataFrame, present: DataFrame, force: bool = False) -> DataFrame:
+    """label and action (present or fetch) of wanted files; with `force`, all are fetched again."""
+    have = present.select("label").distinct().withColumn("_h", F.lit(not force))
     return wanted.join(have, "label", "left").select("label", F.when(F.col("_h"), "present").otherwise("fetch").alias("action"))
 
 
+def outcomes(plan: DataFrame, tried: DataFrame) -> DataFrame:
+    """label and outcome of a plan: present, fetched or failed, as the last of tried (label, attempt, error) says, or pending where none was made."""
+    last = tried.groupBy("label").agg(F.max_by(F.struct(F.col("error").isNull().alias("ok"), "error"), "attempt").alias("_t"))
+    told = F.when(F.col("action") == "present", "present").when(F.col("_t.ok"), "fetched").when(F.col("_t").isNotNull(), "failed").otherwise("pending")
+    return plan.join(last, "label", "left").select("label", told.alias("outcome"), F.when(told == "failed", F.col("_t.error")).alias("error"))
+
+
+def tally(told: DataFrame) -> DataFrame:
+    """One row: how many files were present, fetched, failed or are pending."""
+    return told.agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("present", "fetched", "failed", "pending")])
+
+
 class Source(Protocol):
     """What a profile asks of a store of pangenomes: the tables of one species."""
 

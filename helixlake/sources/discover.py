@@ -18,14 +18,17 @@ def listed(spark: SparkSession, folder: str, pattern: str = GENOMES, recursive:
 def file_of_files(spark: SparkSession, path: str) -> DataFrame:
     """The paths that a text file names, one a line; blank lines do not count, and a path that does not exist is an error.
 
-    The names are read one after the other on the driver, which keeps none of them.
+    Each folder that is named is listed once; names go through the driver a folder at a time, and it keeps none of them.
     """
     named = spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
+    folder = F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1)
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for r in named.toLocalIterator():
-        at = jvm.org.apache.hadoop.fs.Path(r["path"])
-        if not at.getFileSystem(conf).exists(at):
-            raise FileNotFoundError(f"a listed file does not exist: {r['path']}")
+    for r in named.groupBy(folder.alias("folder")).agg(F.collect_set("path").alias("paths")).toLocalIterator():
+        at = jvm.org.apache.hadoop.fs.Path(r["folder"] or ("/" if r["paths"][0].startswith("/") else "."))
+        fs = at.getFileSystem(conf)
+        have = {s.getPath().getName() for s in fs.listStatus(at)} if fs.exists(at) else set()
+        if missing := sorted(p for p in r["paths"] if p.rpartition("/")[2] not in have):
+            raise FileNotFoundError(f"a listed file does not exist: {missing[0]}")
     return named
 
 

@@ -27,7 +27,7 @@ def test_contract(spark):
     assert entry.entry(spark).columns == ["query", "name", "score", "coverage", "match_containment"]
 
 
-@pytest.mark.parametrize("name", ["sketch_sizes", "search_containment", "gather_rounds3", "read_top_label", "annotate_counts", "coverage_per_strain", "genome_coverage", "gram_fold", "collapse_components", "fence", "assign_observed", "assign_reassigned", "refine_rhs", "planted_nnls", "parse_spec", "catalog_props"])
+@pytest.mark.parametrize("name", ["sketch_sizes", "search_containment", "gather_rounds3", "read_top_label", "annotate_counts", "coverage_per_strain", "genome_coverage", "gram_fold", "collapse_components", "fence", "assign_observed", "assign_reassigned", "refine_rhs", "planted_nnls", "planted_species", "parse_spec", "catalog_props", "catalog_releases", "gather_full", "class_hits_genome", "stored_bank_search", "mapping_lines", "assign_imputed_sparse"])
 def test_parity(spark, con, name):
     got, want = entry.queries()[name](spark, SMALL).toPandas(), con.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
