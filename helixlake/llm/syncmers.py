@@ -13,6 +13,8 @@ fingerprint and the Jaccard likeness of two texts come from all their anchors.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,8 +101,10 @@ class Buckets:
     """Buckets of neighbouring ids with about as many rows each, from counts of fixed size.
 
     The id range is cut into cells, which are counted; a cell with more rows than a bucket
-    should have is cut again, up to LEVELS times and as long as its ids differ.  So a few
-    ids far from all others cost one more count, and rows of one id stay together.
+    should have is cut again between its ends, up to LEVELS times and as long as its ids differ.  So a few
+    ids far from all others cost one more count, and rows of one id stay together.  An id
+    with more rows than a bucket should have is alone in its bucket, and `parts` tells
+    over how many its rows may be dealt by a hash (1 for all other buckets).
     """
 
     def __init__(self, ids: DataFrame, rows_per_bucket: int, cells: int):
@@ -110,18 +114,20 @@ class Buckets:
         self.most = max(rows_per_bucket, -(-2 * n // cells))
         given = ids.select(self.ident(F.col("id")).alias("ident"))
         nodes, size = [(lo - 1, max(1, -(-(hi - lo + 2) // cells)))], cells
-        #: Of each level: first id and width of the cells of its nodes, cells of a node, and (rows, last id) and next node by (node, cell).
+        #: Of each level: first id and width of the cells of its nodes, cells of a node, and (rows, first id, last id) and next node by (node, cell).
         self.levels: list[tuple[list, int, dict, dict]] = []
         while nodes and len(self.levels) < LEVELS:
             self.levels.append((nodes, size, {}, {}))
             at = self._walk(F.col("ident"))
-            reached = given.select(at.alias("at"), "ident").where("at.node >= 0").groupBy("at.node", "at.cell").agg(F.count("*").alias("n"), F.max("ident").alias("most"))
-            counts = {(r["node"], r["cell"]): (r["n"], int(r["most"])) for r in reached.collect()}  # at most as many as cells were made
-            heavy = sorted(x for x, (rows, _) in counts.items() if rows > self.most and nodes[x[0]][1] > 1) if len(self.levels) < LEVELS else []
+            reached = given.select(at.alias("at"), "ident").where("at.node >= 0").groupBy("at.node", "at.cell").agg(F.count("*").alias("n"), F.min("ident").alias("least"), F.max("ident").alias("most"))
+            counts = {(r["node"], r["cell"]): (r["n"], int(r["least"]), int(r["most"])) for r in reached.collect()}  # at most as many as cells were made
+            heavy = sorted(x for x, (rows, *_) in counts.items() if rows > self.most and nodes[x[0]][1] > 1) if len(self.levels) < LEVELS else []
             self.levels[-1] = (nodes, size, counts, {x: i for i, x in enumerate(heavy)})
             below = max(16, cells // max(1, len(heavy)))
-            nodes, size = [(nodes[k][0] + c * nodes[k][1], max(1, -(-nodes[k][1] // below))) for k, c in heavy], below
+            spans = [counts[x][1:] for x in heavy]
+            nodes, size = [(least, max(1, -(-(most - least + 1) // below))) for least, most in spans], below
         self.heads: list[int] = []
+        self.parts: list[int] = []
         self.bucket: list[dict] = [{} for _ in self.levels]
         self.filled = 0
         self._fill(0, 0)
@@ -135,9 +141,11 @@ class Buckets:
             if at in below:
                 self._fill(level + 1, below[at])
                 continue
-            rows, most = counts[at]
-            if not self.heads or self.filled >= self.most:
+            rows, least, most = counts[at]
+            parts = -(-rows // self.most) if least == most else 1
+            if not self.heads or self.filled >= self.most or parts > 1:
                 self.heads.append(most)
+                self.parts.append(parts)
                 self.filled = 0
             self.heads[-1] = max(self.heads[-1], most)
             self.filled += rows
@@ -187,24 +195,49 @@ def _either(other: Column):
     return lambda here: F.when(here >= 0, here).otherwise(other)
 
 
+def _in_parts(placed: DataFrame, found: Buckets, tie: Column, leads: Column) -> tuple[DataFrame, Column, int]:
+    """placed with the buckets of crowded ids dealt over their parts by a hash of 32 bits, what marks the first rows, and the number of buckets.
+
+    One count finds the parts that have rows; there are fewer of them than two for each bucket's worth of rows.
+    """
+    parts = F.get(_constant(found.parts, "bigint"), F.col("_bucket"))
+    part = F.shiftright(tie * parts, 32).cast("int")  # 0 where a bucket has one part
+    first = [0, *itertools.accumulate(found.parts)]
+    slot = F.get(_constant(first[:-1], "int"), F.col("_bucket")) + part
+    top = {r["slot"]: r["top"] for r in placed.where(parts > 1).groupBy(slot.alias("slot")).agg(F.max(tie).alias("top")).collect()}
+    whole = {first[i] for i, n in enumerate(found.parts) if n == 1}
+    held = sorted(whole | top.keys())
+    number = dict(zip(held, range(len(held)), strict=True))
+    tops = F.get(_constant([top.get(x, -1) for x in range(first[-1])], "bigint"), slot)
+    leads = leads & ((tops < 0) | (tops == tie))
+    numbers = F.get(_constant([number.get(x, -1) for x in range(first[-1])], "int"), slot)
+    return placed.withColumn("_leads", leads).withColumn("_bucket", numbers), F.col("_leads"), len(held)
+
+
 def with_next(rows: DataFrame, id_col: str, columns: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, cells: int = CELLS) -> DataFrame:
     """rows with next_<column>: the values of the next row by descending id, of the first row after the last.
 
     Rows are dealt by buckets of neighbouring ids and the window runs within a bucket.
     The first row of a bucket is also sent, as a ghost, to the end of the bucket above
-    it, so one shuffle serves all.  Null ids stand after all others.  Rows that repeat an
-    id stand together in one bucket, by the hash of their columns.
+    it, so one shuffle serves all.  Null ids stand after all others.  Rows that share an
+    id, or have none, follow each other by the hash of their columns, which also deals
+    them over several buckets where they are more than one should have.  So only rows
+    that are alike in id and columns always stand together.
     """
-    found = Buckets(rows.select(F.col(id_col).cast("bigint").alias("id")), rows_per_bucket, cells)
-    head = F.get(_constant(found.heads or [0], "decimal(20,0)"), F.col("_bucket"))
-    above = F.pmod(F.col("_bucket") + 1, F.lit(max(1, len(found.heads))))
+    ident = F.col(id_col).cast("bigint")
+    found = Buckets(rows.select(ident.alias("id")), rows_per_bucket, cells)
+    placed = rows.withColumn("_ident", found.ident(ident)).withColumn("_bucket", found.of(F.col("_ident")))
+    total, order = len(found.heads), [ident.desc_nulls_last(), *[F.xxhash64(c) for c in columns]]
+    leads = F.col("_ident") == F.get(_constant(found.heads or [0], "decimal(20,0)"), F.col("_bucket"))
+    if max(found.parts, default=1) > 1:
+        tie = F.shiftrightunsigned(F.xxhash64(*columns), 32)
+        placed, leads, total = _in_parts(placed, found, tie, leads)
+        order.insert(1, tie.desc())
+    above = F.pmod(F.col("_bucket") + 1, F.lit(max(1, total)))
     place = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("ghost")))
     ghost = F.array(F.struct(above.alias("b"), F.lit(True).alias("ghost")))
-    dealt = (
-        rows.withColumn("_ident", found.ident(F.col(id_col).cast("bigint"))).withColumn("_bucket", found.of(F.col("_ident")))
-        .withColumn("_place", F.explode(F.when(F.col("_ident") == head, F.concat(place, ghost)).otherwise(place))).drop("_ident")
-    )
-    window = W.partitionBy("_place.b").orderBy("_place.ghost", F.col(id_col).cast("bigint").desc_nulls_last(), *[F.xxhash64(c) for c in columns])
+    dealt = placed.withColumn("_place", F.explode(F.when(leads, F.concat(place, ghost)).otherwise(place))).drop("_ident")
+    window = W.partitionBy("_place.b").orderBy("_place.ghost", *order)
     following = F.lead(F.struct(*columns)).over(window)
     return (
         dealt.withColumn("_next", following).where(~F.col("_place.ghost"))

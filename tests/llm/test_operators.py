@@ -445,6 +445,30 @@ def test_ids_far_from_all_others(spark):
     assert got == dict(zip(order, order[1:] + order[:1], strict=True))
 
 
+@pytest.mark.parametrize("far", [[], [10**18, -(2**62)]])
+def test_rows_of_one_id_are_dealt_over_buckets(spark, far):
+    """A third of the rows has no id, and a third has one: no bucket takes them all, and the order stays one ring."""
+    rows = [(i, f"own {i}") for i in [*range(1000), *far]] + [(7, f"seven {i}") for i in range(1000)] + [(None, f"none {i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, body string").repartition(3)
+    found = syncmers.Buckets(docs.select(F.col("doc_id").alias("id")), 50, syncmers.CELLS)
+    assert sorted(found.parts)[-3:] == [1, 20, 21]
+    tie = F.shiftrightunsigned(F.xxhash64("body"), 32)
+    placed = docs.withColumn("_ident", found.ident(F.col("doc_id"))).withColumn("_bucket", found.of(F.col("_ident")))
+    dealt, _, total = syncmers._in_parts(placed, found, tie, F.lit(True))
+    sizes = [r["count"] for r in dealt.groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 100 and len(sizes) == total
+    got = syncmers.with_next(docs, "doc_id", ["body"], 50).collect()
+    ids, follows = {t: i for i, t in rows}, {r["body"]: r["next_body"] for r in got}
+    assert len(got) == len(follows) == len(rows)
+    first = max((t for i, t in rows if i is not None), key=lambda t: ids[t])
+    ring = [first]
+    while len(ring) < len(rows):
+        ring.append(follows[ring[-1]])
+    assert follows[ring[-1]] == first and set(ring) == set(ids)
+    order = [-(1 << 63) if ids[t] is None else ids[t] for t in ring]
+    assert order == sorted(order, reverse=True)
+
+
 def test_next_rows_in_small_buckets(table, empty, awkward):
     docs = table.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
     for per in (1, 3, 100):
