@@ -42,19 +42,24 @@ def equal_strains(presence: DataFrame) -> DataFrame:
 
 
 def candidate_strains(presence: DataFrame, least: float) -> DataFrame:
-    """(s, t, ns, nt) of strains that may agree by `least`, s < t: of like size, and with a family in common among the rarest of both.
+    """(s, t, ns, nt) of strains that may agree by `least`, s < t: of like size, and with enough families in common among the rarest of both.
 
     Two sets that agree by that share a family among their first n - ceil(least * n) + 1
-    in any one order of all families; here the rarest come first.
+    in any one order of all families; here the rarest come first.  Families that are not among
+    those of both lie behind the first ones of one of the two, so what a pair shares there and
+    the longer of the rests bound what it shares at all.
     """
     counts = presence.groupBy("fam").agg(F.count("*").alias("_c"))
     order = W.partitionBy("strain").orderBy("_c", "fam")
     placed = presence.join(counts, "fam").select("strain", "fam", F.row_number().over(order).alias("_i"), F.count("*").over(W.partitionBy("strain")).alias("_n"))
-    first = placed.where(F.col("_i") <= F.col("_n") - F.ceil(F.lit(least) * F.col("_n") - ROUNDING) + 1)
+    rest = lambda n: F.greatest(F.ceil(F.lit(least) * n - ROUNDING) - 1, F.lit(0))
+    first = placed.where(F.col("_i") <= F.col("_n") - rest(F.col("_n")))
     a = first.select("fam", F.col("strain").alias("s"), F.col("_n").alias("ns"))
     b = first.select("fam", F.col("strain").alias("t"), F.col("_n").alias("nt"))
     sized = F.least("ns", "nt") >= F.lit(least) * F.greatest("ns", "nt") - ROUNDING
-    return a.join(b, "fam").where((F.col("s") < F.col("t")) & sized).select("s", "t", "ns", "nt").distinct()
+    met = a.join(b, "fam").where((F.col("s") < F.col("t")) & sized).groupBy("s", "t", "ns", "nt").agg(F.count("*").alias("_m"))
+    most = F.least(F.col("_m") + F.greatest(rest(F.col("ns")), rest(F.col("nt"))), "ns", "nt")
+    return met.where(most * (1 + least) >= F.lit(least) * (F.col("ns") + F.col("nt")) - ROUNDING).select("s", "t", "ns", "nt")
 
 
 def similar_sets(presence: DataFrame, least: float) -> DataFrame:
