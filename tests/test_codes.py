@@ -88,3 +88,42 @@ def test_same_rows_as_by_functions(genomes, monkeypatch, method):
     monkeypatch.setattr(K, "fast", lambda *a: False)
     assert made == [sorted(map(tuple, K.sketch(twice, "seq", ["name", "id"], 21, method=method, **c).collect())) for c in cases]
     assert all(made)
+
+
+@pytest.mark.parametrize("k", [2, 21, 31])
+def test_labels_of_distinct_kmers(spark, monkeypatch, k):
+    """Labels and counts as a plain dictionary has them, for k-mers dealt as numbers; their rows are few."""
+    from helixlake.operators import mapping as R
+
+    rng = random.Random(k)
+    core = some(rng, 400)
+    rows = [(i % 3 or None, core[100 * i :] + some(rng, 200)) for i in range(4)] + [(7, None), (8, "ACGT" * 20), (8, "ACGT" * 20)]
+    df = spark.createDataFrame(rows, "label int, seq string").repartition(3)
+    times = {}
+    for i, x in plain_kmers([s for _, s in rows], k):
+        key = hashlib.md5(x.encode()).hexdigest()[:15], rows[i][0]
+        times[key] = times.get(key, 0) + 1
+    order = lambda x: (x[0], x[1] or 0)
+    for least in (1, 2):
+        got = [tuple(r) for r in R.kmer_labels(df, "seq", "label", k, least).collect()]
+        assert sorted(got, key=order) == sorted((x for x, n in times.items() if n >= least), key=order)
+    plan = R.kmer_labels(df, "seq", "label", k)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(part" in plan and "hashpartitioning(h" not in plan
+
+
+def test_ends_of_labels_need_no_sort(spark):
+    """The label index is summed in a hash table: rows of all k-mers are not sorted by their label."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["kmer_label_index"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_known_prefixes(spark):
+    """No known hash is without its bit."""
+    from helixlake.operators import mapping as R
+
+    hs = ["0" * 15, "f" * 15, *(hashlib.md5(bytes([i])).hexdigest()[:15] for i in range(200))]
+    bits = R.known_prefixes(spark.createDataFrame([(h,) for h in hs], "h string"))
+    first = [int(h, 16) >> 34 for h in hs]
+    assert all(int(bits[p >> 6]) >> (p & 63) & 1 for p in first) and sum(int(x).bit_count() for x in bits[bits > 0].tolist()) == len(set(first))
