@@ -31,6 +31,8 @@ def rhs(presence: DataFrame, depth: DataFrame) -> DataFrame:
 
 #: Slack of bounds on sizes, which are products with a decimal share.
 ROUNDING = 1e-9
+#: Share of a fence that a depth may lie above it, as both are rounded.
+AT_FENCE = 1e-12
 
 
 def equal_strains(presence: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def grouped_fence(depth: DataFrame, group: str) -> DataFrame:
     """fence() of each group of families, by its own depths; a group without a positive depth keeps those of 0."""
     q = grouped_quantiles(depth.where("y > 0"), group, "y", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     top = q.select(group, F.when(F.col("q3") > F.col("q1"), F.col("q3") + 3 * (F.col("q3") - F.col("q1"))).otherwise(20 * F.col("q2")).alias("_top"))
-    return depth.join(top, group, "left").where((F.col("y") <= F.col("_top")) | (F.col("y") == 0)).select(*depth.columns)
+    return depth.join(top, group, "left").where((F.col("y") <= F.col("_top") * (1 + AT_FENCE)) | (F.col("y") == 0)).select(*depth.columns)
 
 
 def fence(depth: DataFrame) -> DataFrame:
@@ -110,7 +112,7 @@ def fence(depth: DataFrame) -> DataFrame:
     if q2 is None:
         return depth.where("y = 0")
     top = q3 + 3 * (q3 - q1) if q3 > q1 else 20 * q2
-    return depth.where((F.col("y") <= top) | (F.col("y") == 0))
+    return depth.where((F.col("y") <= top * (1 + AT_FENCE)) | (F.col("y") == 0))
 
 
 def ordered(depth: DataFrame) -> DataFrame:
