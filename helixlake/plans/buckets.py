@@ -14,15 +14,15 @@ def _name(path: str) -> str:
     return f"stored_{hashlib.sha256(path.encode()).hexdigest()[:20]}"
 
 
-def write_buckets(df: DataFrame, path: str, key: str, buckets: int = 64) -> DataFrame:
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int = 64, dealt: bool = False) -> DataFrame:
     """df as Parquet files, one for each bucket of the key and sorted by it; returns the stored table.
 
-    The rows are shuffled here, once, as all later joins would ask for.  How
-    the table lies is written beside it, so that any session can open it.
+    The rows are shuffled here, once, as all later joins would ask for; not if they are
+    dealt over as many partitions by the key already.  How the table lies is written beside it, so that any session can open it.
     """
     spark = df.sparkSession
     spark.sql(f"DROP TABLE IF EXISTS {_name(path)}")
-    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(_name(path))
+    (df if dealt else df.repartition(buckets, key)).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(_name(path))
     columns = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
     put_text(spark, f"{path}_layout/layout.json", json.dumps({"key": key, "buckets": buckets, "columns": columns}))
     return spark.table(_name(path))

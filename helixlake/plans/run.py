@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.mapping import annotate, annotation_report, class_hits_of_reads, colour_classes, kmer_labels, label_hits_of_reads, mapped, read_hashes
+from ..operators.mapping import annotate, annotation_report, class_hits_of_reads, colour_classes, counted_kmers, kmer_labels, label_hits_of_reads, mapped, read_hashes
 from ..operators.search import gather_sample, search
 from ..operators.sketch import sketch
 from ..operators.tables import kept, released
@@ -21,9 +21,9 @@ from .stages import Stages
 def index_bank(genomes: DataFrame, folder: str, k: int = 21, scaled: int = 1000, n: int = 0, buckets: int = 64) -> None:
     """Write the genome and pangenome indexes of genomes (name, species, sequence), in buckets by hash, and their sizes."""
     spark = genomes.sparkSession
-    index = write_buckets(sketch(genomes, "sequence", ["name", "species"], k, scaled, n), f"{folder}/genomes", "h", buckets)
+    index = write_buckets(sketch(genomes, "sequence", ["name", "species"], k, scaled, n, buckets=buckets), f"{folder}/genomes", "h", buckets, dealt=not n)
     index.groupBy("name").agg(F.count("*").alias("n_match")).write.mode("overwrite").parquet(f"{folder}/genome_sizes")
-    whole = write_buckets(index.select(F.col("species"), "h").distinct(), f"{folder}/pangenomes", "h", buckets)
+    whole = write_buckets(index.select(F.col("species"), "h").distinct(), f"{folder}/pangenomes", "h", buckets, dealt=True)
     whole.groupBy(F.col("species").alias("name")).agg(F.count("*").alias("n_match")).write.mode("overwrite").parquet(f"{folder}/pangenome_sizes")
     put_text(spark, f"{folder}/index_info/info.json", json.dumps({"kmer_size": k, "scaled": scaled, "n": n, "buckets": buckets}))
 
@@ -79,13 +79,19 @@ def index_pangenome(genes: DataFrame, folder: str, k: int = 21, min_count: int =
     kinds, families and genomes, that its k-mers share.
     """
     kinds = [c for c in ("family", "genome") if c in genes.columns]
-    parts = [kmer_labels(genes, "sequence", kind, k, min_count, within).select("h", F.lit(kind).alias("kind"), F.col("label").cast("string").alias("label")) for kind in kinds]
+    if within is None:
+        by_kind = {kind: kmer_labels(genes, "sequence", kind, k, min_count).withColumnRenamed("label", kind) for kind in kinds}
+        counted = None
+    else:  # both kinds from one pass over the sequences
+        counted = kept(counted_kmers(genes, "sequence", kinds, k, within))
+        by_kind = {kind: counted.groupBy("h", kind).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count) for kind in kinds}
+    parts = [rows.select("h", F.lit(kind).alias("kind"), F.col(kind).cast("string").alias("label")) for kind, rows in by_kind.items()]
     labelled = kept(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
     by_hash, classes = colour_classes(labelled)
     write_buckets(by_hash, f"{folder}/kmers", "h", buckets)
     classes.repartition("class").sortWithinPartitions("class", "kind", "label").write.mode("overwrite").parquet(f"{folder}/classes")
     put_text(genes.sparkSession, f"{folder}/index_info/info.json", json.dumps({"kmer_size": k, "min_count": min_count, "kinds": kinds}))
-    released(labelled, by_hash)
+    released(counted, labelled, by_hash)
 
 
 @dataclass(frozen=True)

@@ -62,3 +62,37 @@ def test_sizes_of_matches(spark, mode):
         want = sorted(map(tuple, S.search(queries, index, mode, threshold).collect()))
         assert sorted(map(tuple, S.search(queries, known, mode, threshold, sizes=sizes).collect())) == want
         assert mode == "max_containment" or threshold < 0.17 or asked[-1] < 20
+
+
+@pytest.mark.parametrize("scaled", [1, 3])
+def test_sketch_of_labels_as_numbers(spark, monkeypatch, scaled):
+    """The rows of sketch(), from hashes that are shuffled many to a row."""
+    rng = random.Random(7)
+    core = "".join(rng.choice("ACGT") for _ in range(1500))
+    rows = [(("a", "b", None)[i % 3], core[100 * i :] + "".join(rng.choice("ACGTN") for _ in range(300))) for i in range(7)] + [("c", None), ("c", "ACG")]
+    df = spark.createDataFrame(rows, "label string, seq string").repartition(3)
+    monkeypatch.setattr(K, "DEALT", 500)
+    order = lambda x: (x[0] or "", x[1])
+    got = K.label_sketch(df, "seq", "label", 21, scaled)
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(map(tuple, K.sketch(df, "seq", ["label"], 21, scaled).collect()), key=order) != []
+    assert "hashpartitioning(part" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(h" not in plan
+
+
+def test_pangenome_of_one_pass(spark, tmp_path, monkeypatch):
+    """Families and genomes are labelled by one pass over the sequences, with counts by each."""
+    from helixlake.operators import mapping as R
+    from helixlake.plans import run
+
+    rng = random.Random(8)
+    core = "".join(rng.choice("ACGT") for _ in range(60))
+    genes = spark.createDataFrame([(f"f{i % 2}", f"g{i % 3}", core[i:] + "".join(rng.choice("ACGT") for _ in range(30))) for i in range(5)], "family string, genome string, sequence string")
+    known = spark.createDataFrame([(core,)], "s string")
+    passes, step = [], R.hashed_rows
+    monkeypatch.setattr(R, "hashed_rows", lambda *a: passes.append(1) or step(*a))
+    for least in (1, 2):
+        run.index_pangenome(genes, f"{tmp_path}/p{least}", 21, least, R.read_hashes(known, "s", 21), 4)
+        assert len(passes) == least
+        have = run.open_pangenome(spark, f"{tmp_path}/p{least}")
+        for kind in ("family", "genome"):
+            want = R.kmer_labels(genes, "sequence", kind, 21, least).join(R.read_hashes(known, "s", 21), "h", "left_semi")
+            assert sorted(map(tuple, have.labels(kind).collect())) == sorted(map(tuple, want.collect())) != []
