@@ -96,3 +96,18 @@ def test_pangenome_of_one_pass(spark, tmp_path, monkeypatch):
         for kind in ("family", "genome"):
             want = R.kmer_labels(genes, "sequence", kind, 21, least).join(R.read_hashes(known, "s", 21), "h", "left_semi")
             assert sorted(map(tuple, have.labels(kind).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_chosen_names_have_a_size(spark):
+    """The names that a gather asks sizes for are a small table, so no sequence is shuffled to them."""
+    index = spark.createDataFrame([(f"n{i % 5}", f"{i:03d}") for i in range(40)], "name string, h string")
+    query = spark.createDataFrame([("q", f"{i:03d}") for i in range(0, 40, 3)], "query string, h string")
+    asked = []
+
+    def sizes(names):
+        asked.append(names._jdf.queryExecution().optimizedPlan().nodeName())
+        return index.join(names, "name", "left_semi").groupBy("name").agg(F.count("*").alias("n_match"))
+
+    rows = S.gather_sample(query, index.join(query, "h", "left_semi"), 0.0, sizes=sizes)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, S.gather_sample(query, index, 0.0).collect())) != []
+    assert asked == ["LogicalRelation"]  # of files, whose size is known
