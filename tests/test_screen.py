@@ -7,9 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helixlake.functions import codes as C
-from helixlake.functions.dna import projected
+from helixlake.functions.dna import crowded, projected, spread
 from helixlake.operators import mapping as R
 from helixlake.plans import testmap as T
+from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -73,3 +74,36 @@ def test_labels_within_reads(spark, k):
         want = order(R.kmer_labels(genes, "seq", "label", k, least).join(known, "h", "left_semi"))
         assert order(R.kmer_labels(genes, "seq", "label", k, least, within=known)) == want != []
         assert order(R.kmer_labels(genes, "seq", "label", k, least, within=known.select("h"))) == want
+
+
+@pytest.mark.parametrize("name", ["read_kmer_hits"])
+def test_one_row_group_is_dealt(spark, tmp_path, monkeypatch, name):
+    """Documents of a file with one row group, which Spark cuts into many partitions of which one has rows, are worked on by all tasks."""
+    docs = T.table(spark, SMALL, "documents")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    T.table(spark, SMALL, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    made, step = [], R.hashed_rows
+    monkeypatch.setattr(R, "hashed_rows", lambda seqs, *a: made.append(seqs) or step(seqs, *a))
+    try:
+        plain = T.table(spark, str(tmp_path), "documents")
+        held = lambda df: [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert plain.rdd.getNumPartitions() > 4 and held(plain) == [docs.count()]
+        got = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()))
+        assert len(made) == 1 and len(tasks := held(made[0])) >= 4 and max(tasks) < docs.count() / 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(map(tuple, entry.queries()[name](spark, SMALL).collect())) != []
+
+
+def test_even_files_stay(spark, tmp_path):
+    """Files that feed all tasks alike are not shuffled, nor are plans that are no scan."""
+    rows = spark.range(4000, numPartitions=8).withColumn("text", F.md5(F.col("id").cast("string").cast("binary")))
+    rows.write.parquet(str(tmp_path / "x"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 30_000)
+    try:
+        files = spark.read.parquet(str(tmp_path / "x"))
+        assert files.rdd.getNumPartitions() >= 8 and spread(files) is files and spread(rows) is rows
+        assert not crowded(spark.read.parquet(str(tmp_path / "x")).where("false"), 4)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
