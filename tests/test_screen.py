@@ -51,7 +51,7 @@ def screens(spark, monkeypatch, name: str) -> list:
     return made
 
 
-@pytest.mark.parametrize("name", ["read_min_fraction", "kmer_label_within"])
+@pytest.mark.parametrize("name", ["read_min_fraction", "kmer_label_within", "read_top_label"])
 def test_few_kmers_are_hashed(spark, monkeypatch, name):
     """All k-mers of reads are, and hardly any other."""
     ((wanted,),) = screens(spark, monkeypatch, name)
