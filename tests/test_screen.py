@@ -76,7 +76,7 @@ def test_labels_within_reads(spark, k):
         assert order(R.kmer_labels(genes, "seq", "label", k, least, within=known.select("h"))) == want
 
 
-@pytest.mark.parametrize("name", ["read_kmer_hits"])
+@pytest.mark.parametrize("name", ["read_kmer_hits", "mapping_lines"])
 def test_one_row_group_is_dealt(spark, tmp_path, monkeypatch, name):
     """Documents of a file with one row group, which Spark cuts into many partitions of which one has rows, are worked on by all tasks."""
     docs = T.table(spark, SMALL, "documents")
