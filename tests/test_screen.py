@@ -9,6 +9,7 @@ import pytest
 from helixlake.functions import codes as C
 from helixlake.functions.dna import crowded, projected, spread
 from helixlake.operators import mapping as R
+from helixlake.operators import sketch as K
 from helixlake.plans import testmap as T
 from pyspark.sql import functions as F
 
@@ -61,6 +62,30 @@ def test_few_kmers_are_hashed(spark, monkeypatch, name):
     assert wanted(others).mean() < 0.01
 
 
+def test_few_kmers_are_looked_up(spark, monkeypatch):
+    """Only k-mers whose word is in use are looked up in the large table of the reads' k-mers."""
+    ((wanted,),) = screens(spark, monkeypatch, "read_top_label")
+    looked, step = [], K.may_hold
+    monkeypatch.setattr(K, "may_hold", lambda table, values, *a: looked.append(len(values)) or step(table, values, *a))
+    others = numbers_of([some(random.Random(9), 50_000)], T.K)
+    wanted(others)
+    assert 0 < sum(looked) < len(others) / 10
+
+
+@pytest.mark.parametrize("known", [0, 1, 1000, 400_000])
+def test_words_in_use(known):
+    """They change nothing, and are told only if they are few."""
+    rng = np.random.default_rng(known)
+    values, table = rng.integers(0, 2**64, known, np.uint64), np.zeros(1 << K.PREFIX - 6, np.uint64)
+    first = values >> np.uint64(64 - K.PREFIX)
+    np.bitwise_or.at(table, (first >> np.uint64(6)).astype(np.intp), np.uint64(1) << (first & np.uint64(63)))
+    words = K.known_words(table)
+    assert (words is None) == (known == 400_000)
+    asked = np.concatenate([values, rng.integers(0, 2**64, 20_000, np.uint64), values ^ np.uint64(1 << 40)])
+    assert K.may_hold(table, values, 16, words).all() and (K.may_hold(table, asked, 16, words) == K.may_hold(table, asked, 16)).all()
+    assert K.may_hold(table, asked[:0], 16, words).tolist() == []
+
+
 @pytest.mark.parametrize("k", [21, 31, 33])
 def test_labels_within_reads(spark, k):
     """Labels and counts are those that a join on all hashes leaves, for short and long k-mers and hashes given alone."""
