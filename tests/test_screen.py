@@ -1,6 +1,7 @@
 """k-mers of genomes that no read holds: they fall by their numbers, before they are hashed."""
 
 import random
+import tracemalloc
 
 import __spark_entry__ as entry
 import numpy as np
@@ -37,6 +38,30 @@ def test_wanted_kmers(k, monkeypatch):
     assert list(C.kmers_of(seqs, k, lambda x: np.zeros(len(x), bool))) == []
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 8, 9, 15, 16, 17, 21, 31])
+def test_numbers_of_kmers(k):
+    """As the digits of base 4 give them, from codes of any type."""
+    rng = np.random.default_rng(k)
+    for kind in (np.uint8, np.int64):
+        codes = rng.integers(0, 4, 200).astype(kind)
+        number = lambda x: int("".join(map(str, x)), 4)
+        want = [min(number(x), number([3 - i for i in x[::-1]])) for x in (codes[i : i + k].tolist() for i in range(200 - k + 1))]
+        got = C.canonical(codes, k)
+        assert got.dtype == np.uint64 and got.tolist() == want
+    assert C.canonical(codes[: k - 1], k).tolist() == []
+
+
+def test_short_numbers_are_narrow():
+    """Numbers of few letters take few bytes until the last step."""
+    codes = np.random.default_rng(1).integers(0, 4, C.POSITIONS).astype(np.uint8)
+    for k, most in ((4, 1.5), (21, 4)):
+        tracemalloc.start()
+        made = C.canonical(codes, k).nbytes
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * made
+
+
 def test_projected_ends():
     """Each sequence ends where it should, between texts that are empty, null or without letters."""
     texts = ["", None, "ab", "", "12", "Cd é", None, "x", ""]
