@@ -18,7 +18,7 @@ from .. import VERSION
 from ..operators import assign as A
 from ..operators import mixture as M
 from ..operators import solve as S
-from ..operators.tables import quantiles
+from ..operators.tables import kept, quantiles, released
 
 #: Strains that refitted() solves for at once.
 MOST_REFITTED = 64
@@ -135,7 +135,9 @@ def profile(
     Strains in `exclude` are held out of the candidates only (leave-one-out): nodes and
     weights stay, so families that they alone carry become orphans of the others.
     """
+    The graph is made once and kept, and so are the genes, since each is read many times.
     fam = presence.select(F.col("nid").alias("fam"), "strain").distinct()
+    nodes, presence = kept(nodes), kept(presence)
     if out := list(exclude):
         fam = fam.where(~F.col("strain").isin(out))
     depth = M.families(nodes)
@@ -143,20 +145,24 @@ def profile(
     selection, members = (selector or select)(fam, depth, priority, options)
     if members is None or not selection.labels:
         return Profile(selection, None, None)
+        released(nodes, presence)
     spark = nodes.sparkSession
+    edges = kept(edges)
     kind = dict(presence.dtypes)["strain"]
 
-    def given() -> tuple[DataFrame, DataFrame]:
+    def given() -> DataFrame:
         table = spark.createDataFrame([(s, float(x)) for s, x in zip(selection.labels, selection.x, strict=True)], f"component {kind}, a double")
         own = members.join(table.select("component"), "component", "left_semi")
-        return table, (assigner or A.assign)(nodes, edges, presence, own, table, options.impute_min_frac, options.reassign_max_residual)
+        return kept((assigner or A.assign)(nodes, edges, presence, own, table, options.impute_min_frac, options.reassign_max_residual))
 
-    _, genes = given()
+    genes = given()
     if options.refine:
         new = refitted(*A.observed_depth(genes))
         if new.labels:
             selection.labels, selection.x = new.labels, new.x
-            _, genes = given()
+            first, genes = genes, given()
+            released(first)
+    released(nodes, edges, presence)
     return Profile(selection, members, genes)
 
 
