@@ -179,6 +179,19 @@ def deviance(presence: DataFrame, folds: DataFrame, models: DataFrame, floor: fl
     return rows.groupBy("fold", "k").agg((F.sum(each) / F.count("*")).alias("error"))
 
 
+def out_of_reach(presence: DataFrame, depth: DataFrame) -> DataFrame:
+    """(fam) of families that have strains, but none with a covered family: no model expects them, so all give them the same error."""
+    near = presence.join(shuffled(depth.where("y > 0").select("fam")), "fam", "left_semi").select("strain").distinct().withColumn("_near", F.lit(True))
+    return presence.join(near, "strain", "left").groupBy("fam").agg(F.max("_near").alias("_near")).where("_near is null").select("fam")
+
+
+def unmoved_error(presence: DataFrame, folds: DataFrame, floor: float | str) -> DataFrame:
+    """(fold, unmoved): the part of deviance() that is the same in all models, by the families out of reach; inside the fence."""
+    least = F.col(floor) if isinstance(floor, str) else F.lit(floor)
+    rows = folds.join(out_of_reach(presence, folds).withColumn("_out", F.lit(True)), "fam", "left")
+    return rows.groupBy("fold").agg((F.sum(F.when(F.col("_out"), 2 * least).otherwise(F.lit(0.0))) / F.count("*")).alias("unmoved"))
+
+
 def shell_priority(nodes: DataFrame, presence: DataFrame) -> DataFrame:
     """(strain, priority): covered shell families of each strain."""
     shell = nodes.where("partition = 'S' and weight > 0").select("nid")

@@ -113,9 +113,9 @@ def fold_models(g: np.ndarray, b: np.ndarray, pieces: dict[int, tuple[np.ndarray
     return models
 
 
-def stepwise(g: np.ndarray, b: np.ndarray, yty: float, tss: float, names: list, errors: list[list[float]], paired: bool, least_gain: float) -> Selection:
+def stepwise(g: np.ndarray, b: np.ndarray, yty: float, tss: float, names: list, errors: list[list[float]], paired: bool, least_gain: float, unmoved: float = 0.0) -> Selection:
     """The selection that a stop rule makes of columns in order, with a step for each."""
-    k = stop_paired(errors, least_gain) if paired else stop_one_se(errors)
+    k = stop_paired(errors, least_gain, unmoved) if paired else stop_one_se(errors)
     result = finish(g, b, yty, tss, names, list(range(k)))
     for i, c in enumerate(names):
         left = rss(g[: i + 1, : i + 1], b[: i + 1], yty, nnls(g[: i + 1, : i + 1], b[: i + 1]))
@@ -134,14 +134,17 @@ def stop_one_se(errors: list[list[float]]) -> int:
     return k
 
 
-def stop_paired(errors: list[list[float]], least_gain: float = 0.02) -> int:
-    """How many to take: go on while the paired falls exceed their standard error and a relative gain."""
+def stop_paired(errors: list[list[float]], least_gain: float = 0.02, unmoved: float = 0.0) -> int:
+    """How many to take: go on while the paired falls exceed their standard error and a relative gain.
+
+    The gain is relative to the mean error less `unmoved`, the part of it that no column can lower.
+    """
     k = 0
     for now, then in zip(errors[:-1], errors[1:], strict=True):
         if len(now) != len(then) or not len(now):
             break
         fall = np.array(now) - np.array(then)
-        mean = float(np.mean(now))
+        mean = float(np.mean(now)) - unmoved
         if fall.mean() <= fall.std() / np.sqrt(len(fall)) or mean <= 0 or fall.mean() / mean < least_gain:
             break
         k += 1

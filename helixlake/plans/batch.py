@@ -137,7 +137,8 @@ def _stepwise(paired: bool, least_gain: float):
         found = {(k, f): e for k, f, e in errors[["k", "f", "error"]].itertuples(index=False)}
         used = sorted(set(errors["f"]))
         listed = [[found[k, f] for f in used if (k, f) in found] for k in range(len(labels) + 1)]
-        result = S.stepwise(g, b, float(pdf["yty"][0]), float(pdf["tss"][0]), labels, listed, paired, least_gain)
+        unmoved = errors.drop_duplicates("f")["unmoved"].mean() if len(errors) else 0.0
+        result = S.stepwise(g, b, float(pdf["yty"][0]), float(pdf["tss"][0]), labels, listed, paired, least_gain, float(unmoved))
         x = dict(zip(result.labels, result.x, strict=True))
         rows = [(pdf["g"][0], i, s.candidate, s.residual, s.error, s.accepted, s.reason, x.get(s.candidate), result.residual, result.r2) for i, s in enumerate(result.steps, 1)]
         return pd.DataFrame(rows, columns=names).astype({"error": float, "x": float})
@@ -208,7 +209,7 @@ def select_all(presence: DataFrame, depth: DataFrame, priority: DataFrame, optio
     pieces = folds.groupBy("fold").agg(F.count("*").alias("rows")).join(pieces, "fold", "left").select(F.col("fold.g").alias("g"), F.col("fold.f").alias("f"), "rows", "s", "t", "n", "b")
     models = kept(strains.groupBy("g").cogroup(pieces.groupBy("g")).applyInPandas(_fold_models, f"g string, f long, k int, id {kind}, x double"))
     tried = models.select(F.struct("g", "f").alias("fold"), "k", F.when(F.col("id").isNotNull(), F.struct("g", "id")).alias("strain"), "x")
-    errors = M.deviance(chosen, folds, tried, "floor").select(F.col("fold.g").alias("g"), F.col("fold.f").alias("f"), "k", "error")
+    errors = M.deviance(chosen, folds, tried, "floor").join(M.unmoved_error(inside, folds, "floor"), "fold").select(F.col("fold.g").alias("g"), F.col("fold.f").alias("f"), "k", "error", "unmoved")
     schema = f"species string, step int, candidate {kind}, residual double, error double, accepted boolean, reason string, x double, left double, r2 double"
     trace = kept(strains.groupBy("g").cogroup(errors.groupBy("g")).applyInPandas(_stepwise(options.stop_rule == "cv_paired", options.cv_min_gain), schema))
     released(live, depth, inside, strains, chosen, placed, folds, models)

@@ -120,7 +120,8 @@ def select(presence: DataFrame, depth: DataFrame, priority: dict, options: Optio
     table = depth.sparkSession.createDataFrame(models, f"fold long, k int, strain {kind}, x double")  # at most folds * k_max**2 rows
     found = {(r["k"], r["fold"]): r["error"] for r in M.deviance(chosen, folds, table, floor).collect()}
     errors = [[found[k, f] for f in used if (k, f) in found] for k in range(len(order) + 1)]
-    result = S.stepwise(g, b, yty, tss, names, errors, options.stop_rule == "cv_paired", options.cv_min_gain)
+    unmoved = [r["unmoved"] for r in M.unmoved_error(inside, folds, floor).where(F.col("fold").isin(used)).collect()]
+    result = S.stepwise(g, b, yty, tss, names, errors, options.stop_rule == "cv_paired", options.cv_min_gain, float(np.mean(unmoved)) if unmoved else 0.0)
     for df in (depth, inside, chosen, folds):
         df.unpersist()
     return result, members
