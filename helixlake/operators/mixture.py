@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import connected
-from .tables import grouped_quantiles, kept, quantiles, released, running
+from .tables import grouped_quantiles, kept, quantiles, released, running, shuffled
 
 
 def families(nodes: DataFrame) -> DataFrame:
@@ -91,12 +91,12 @@ def similar_strains(presence: DataFrame, least: float = 0.95) -> DataFrame:
 def collapse(presence: DataFrame, least: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """Presence of groups of like strains (single linkage), and (strain, component)."""
     like = kept(equal_strains(presence))
-    one = presence.join(like.where("strain = like").select("strain"), "strain", "left_semi")
+    one = presence.join(shuffled(like.where("strain = like").select("strain")), "strain", "left_semi")
     pairs = similar_sets(one, least).select(F.col("s").alias("a"), F.col("t").alias("b"))
     groups = connected(pairs, like.where("strain = like").select(F.col("strain").alias("node")))
     members = kept(like.join(groups, F.col("like") == F.col("node")).select("strain", "component"))
     released(like)
-    return presence.join(members, "strain").select("fam", F.col("component").alias("strain")).distinct(), members
+    return presence.join(shuffled(members), "strain").select("fam", F.col("component").alias("strain")).distinct(), members
 
 
 def grouped_fence(depth: DataFrame, group: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import assign as A
 from ..operators import mixture as M
 from ..operators import solve as S
-from ..operators.tables import grouped_quantiles, kept, ranked, released
+from ..operators.tables import grouped_quantiles, kept, ranked, released, shuffled
 from .profile import Options, Profile, strain_rows
 
 
@@ -169,7 +169,7 @@ def forward_all(inside: DataFrame, depth: DataFrame, priority: DataFrame, k_max:
 
     presence inside the fence (fam, strain), depth (fam, y), priority (strain, priority).
     """
-    sums = inside.join(depth, "fam").groupBy("strain").agg(F.count("*").cast("double").alias("d"), F.sum("y").alias("b"))
+    sums = inside.join(shuffled(depth), "fam").groupBy("strain").agg(F.count("*").cast("double").alias("d"), F.sum("y").alias("b"))
     kind = dict(sums.select(_id("strain").alias("id")).dtypes)["id"]
     state = sums.join(priority, "strain", "left").join(_squares(depth), F.col("strain.g") == F.col("g"))
     state = kept(state.select("g", _id("strain").alias("id"), "d", "b", F.coalesce("priority", F.lit(0)).alias("priority"), "yty", "tss", F.lit(None).cast("int").alias("place"), F.array().cast("array<double>").alias("columns")))
@@ -193,9 +193,9 @@ def select_all(presence: DataFrame, depth: DataFrame, priority: DataFrame, optio
     live = depth.where("y > 0").select(F.col("fam.g").alias("g")).distinct()
     live = kept(live.join(presence.select(F.col("fam.g").alias("g")).distinct(), "g", "left_semi"))
     within = lambda df: df.join(live, F.col("fam.g") == F.col("g"), "left_semi")
-    grouped, members = M.collapse(kept(within(presence)), options.merge_jaccard)
+    grouped, members = M.collapse(shuffled(kept(within(presence))), options.merge_jaccard)
     depth = kept(M.grouped_fence(within(depth).withColumn("g", F.col("fam.g")), "g"))
-    inside = kept(grouped.join(depth.select("fam"), "fam", "left_semi"))
+    inside = kept(grouped.join(shuffled(depth.select("fam")), "fam", "left_semi"))
     strains = forward_all(inside, depth, priority, options.k_max)
     kind = dict(strains.dtypes)["id"]
     chosen = kept(inside.join(strains.select(F.struct("g", "id").alias("strain")), "strain", "left_semi"))
@@ -238,10 +238,11 @@ def profile_all(nodes: DataFrame, edges: DataFrame, presence: DataFrame, options
     """
     if species is None:
         species = sorted(r["species"] for r in nodes.where("species is not null").select("species").distinct().collect())
-    ids = nodes.where("species is not null").withColumn("nid", pair("nid"))
-    ends = edges.where("species is not null").select(pair("src").alias("src"), pair("dst").alias("dst"))
+    graph = kept(nodes.where("species is not null").withColumn("nid", pair("nid")))
+    ids = shuffled(graph)
+    ends = kept(edges.where("species is not null").select(pair("src").alias("src"), pair("dst").alias("dst")))
     held = kept(presence.where("species is not null").select(pair("nid").alias("nid"), pair("strain").alias("strain")).distinct())
-    fam = held.select(F.col("nid").alias("fam"), "strain")
+    fam = shuffled(held.select(F.col("nid").alias("fam"), "strain"))
     trace, members = select_all(fam, M.families(ids), M.shell_priority(ids, fam), options)
     strains = kept(trace.where("x is not null").select(F.col("species").alias("g"), F.col("step").alias("place"), F.col("candidate").alias("id"), "x"))
 
@@ -255,6 +256,7 @@ def profile_all(nodes: DataFrame, edges: DataFrame, presence: DataFrame, options
         strains, first, old = refitted_all(genes, strains), strains, genes
         genes = given(strains)
         released(first, old)
+    released(graph, ends, held)
     total = F.sum("x").over(W.partitionBy("g"))  # at most k_max strains of a species
     shares = strains.select(F.col("g").alias("species"), "place", F.col("id").alias("strain"), "x", F.when(total > 0, F.col("x") / total).otherwise(F.col("x")).alias("ra"))
     return Profiles(

@@ -18,7 +18,7 @@ from .. import VERSION
 from ..operators import assign as A
 from ..operators import mixture as M
 from ..operators import solve as S
-from ..operators.tables import kept, quantiles, released
+from ..operators.tables import kept, quantiles, released, shuffled
 
 #: Strains that refitted() solves for at once.
 MOST_REFITTED = 64
@@ -135,20 +135,21 @@ def profile(
 
     Strains in `exclude` are held out of the candidates only (leave-one-out): nodes and
     weights stay, so families that they alone carry become orphans of the others.
-    """
     The graph is made once and kept, and so are the genes, since each is read many times.
+    """
+    graph, presence = kept(nodes), kept(presence)
+    nodes = shuffled(graph)
     fam = presence.select(F.col("nid").alias("fam"), "strain").distinct()
-    nodes, presence = kept(nodes), kept(presence)
     if out := list(exclude):
         fam = fam.where(~F.col("strain").isin(out))
     depth = M.families(nodes)
     priority = {r["strain"]: r["priority"] for r in M.shell_priority(nodes, fam).collect()}
     selection, members = (selector or select)(fam, depth, priority, options)
     if members is None or not selection.labels:
+        released(graph, presence)
         return Profile(selection, None, None)
-        released(nodes, presence)
-    spark = nodes.sparkSession
     edges = kept(edges)
+    spark = nodes.sparkSession
     kind = dict(presence.dtypes)["strain"]
 
     def given() -> DataFrame:
@@ -163,7 +164,7 @@ def profile(
             selection.labels, selection.x = new.labels, new.x
             first, genes = genes, given()
             released(first)
-    released(nodes, edges, presence)
+    released(graph, edges, presence)
     return Profile(selection, members, genes)
 
 
