@@ -1,5 +1,11 @@
 """Tables that grow with families and strains are shuffled to others, and strains far from a sample do not change its profile."""
 
+import glob
+import os
+import random
+
+import pytest
+from helixlake.operators import mapping as R
 from helixlake.operators import mixture as M
 from helixlake.operators import solve as S
 from helixlake.plans import profile as P
@@ -57,3 +63,26 @@ def test_gain_is_relative_to_what_may_be_lowered():
     errors = [[10.2, 10.2], [10.1, 10.1]]
     assert S.stop_paired(errors, 0.02) == 0
     assert S.stop_paired(errors, 0.02, 10.0) == 1
+
+
+@pytest.mark.parametrize("k", [21, 33])
+def test_labels_by_turns(spark, monkeypatch, k):
+    """Each k-mer has one turn, whose shuffle is deleted; the spans are those of all k-mers at once."""
+    rng = random.Random(9)
+    core = "".join(rng.choice("ACGT") for _ in range(900))
+    rows = [("abc"[i % 3], core[60 * i :] + "".join(rng.choice("ACGTN") for _ in range(200))) for i in range(8)] + [("d", None)]
+    df = spark.createDataFrame(rows, "label string, seq string").repartition(3)
+    whole = {}
+    for r in R.kmer_labels(df, "seq", "label", k).collect():
+        whole.setdefault(r["label"], []).append(r["h"])
+    want = sorted((x, len(h), min(h), max(h)) for x, h in whole.items())
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: sum(len(glob.glob(f"{d}/*/shuffle_*.data")) for d in folder if os.path.isdir(d))
+    turns, step = [], R.distinct_kmers
+    monkeypatch.setattr(R, "distinct_kmers", lambda *a: turns.append(a[-2:]) or step(*a))
+    monkeypatch.setattr(R, "LETTERS_A_TURN", 1000)
+    before = files()
+    got = R.label_spans(df, "seq", "label", k, 6500)
+    assert turns == ([(i, 7) for i in range(7)] if k <= 31 else [])
+    assert files() <= before
+    assert sorted(map(tuple, got.collect())) == want
